@@ -242,8 +242,9 @@ def share_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> tuple
     with open(path, "rb") as f:
         name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:16]}.bin"
     os.rename(path, named := os.path.join(folder, name))
-    spark.sparkContext.addFile(named)
-    spark.sparkContext.addFile(tokenizer)
+    for shared in (named, tokenizer):
+        if not any(x.rsplit("/", 1)[-1] == os.path.basename(shared) for x in spark.sparkContext.listFiles):  # an equal lexicon is there already
+            spark.sparkContext.addFile(shared)
     return os.path.basename(tokenizer), name
 
 

@@ -96,8 +96,9 @@ def vocabulary(path: str) -> list[bytes]:
 
 def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of every row."""
-    docs.sparkSession.sparkContext.addFile(tokenizer)
     name = tokenizer.rsplit("/", 1)[-1]
+    if not any(x.rsplit("/", 1)[-1] == name for x in docs.sparkSession.sparkContext.listFiles):
+        docs.sparkSession.sparkContext.addFile(tokenizer)
 
     def run(batches):
         if name not in _OPEN:
