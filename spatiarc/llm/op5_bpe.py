@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from spatiarc.llm.common import field_sql, table, text_slices, with_columns
 
-LEXICON, LONGEST, CACHE = 65_536, 48, 300_000
+LEXICON, LONGEST, LONG, CACHE = 65_536, 48, 64, 300_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -56,28 +56,91 @@ class Vocabulary:
             self.bytes_of[v] = k.encode()
         self.single = [ids[bytes([b])] for b in range(256)]
         self.merges = {}
+        self.made = []  # by rank
         for rank, pair in enumerate(raw["model"]["merges"]):
             a, b = (plain(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a] << 20 | ids[b]] = rank
+            self.made.append(ids[a + b])
+        self._tables()
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
+    def _tables(self) -> None:
+        self.pairs = np.array(sorted(self.merges), np.int64)
+        self.ranks = np.array([self.merges[k] for k in self.pairs.tolist()], np.int64)
+        self.of_rank, self.single_of = np.array(self.made, np.int64), np.array(self.single, np.int64)
+        self.last = len(self.made)
+        self.byte_rank = self._rank(np.repeat(self.single_of, 256), np.tile(self.single_of, 256))
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        want = a << 20 | b
+        i = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+        return np.where(self.pairs[i] == want, self.ranks[i], self.last)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token as little-endian unsigned 32-bit integers. The lowest rank of a word merges first, leftmost
+        of equals; in each round every word that is not done makes one merge, all of them together."""
+        out: list[bytes] = [b""] * len(words)
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = np.array(self.merge(w), "<u4").tobytes()
+        todo = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
+        if not todo or not len(self.pairs):
+            for i in todo:
+                out[i] = self.single_of[np.frombuffer(words[i], np.uint8)].astype("<u4").tobytes()
+            return out
+        raw = np.frombuffer(b"".join([words[i] for i in todo]), np.uint8).astype(np.int64)
+        who, sizes = np.array(todo), np.array([len(words[i]) for i in todo], np.int64)
+        ids = self.single_of[raw]
+        rank = np.full(len(ids), self.last)
+        rank[:-1] = self.byte_rank[raw[:-1] * 256 + raw[1:]]
+        while len(who):
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            rank[ends - 1] = self.last
+            low = np.minimum.reduceat(rank, starts)
+            done = low == self.last
+            if done.any():
+                gone = np.repeat(done, sizes)
+                blob, at = ids[gone].astype("<u4").tobytes(), 0
+                for i, n in zip(who[done].tolist(), (4 * sizes[done]).tolist(), strict=True):
+                    out[i] = blob[at : at + n]
+                    at += n
+                who, sizes, low, ids, rank = who[~done], sizes[~done], low[~done], ids[~gone], rank[~gone]
+                if not len(who):
+                    break
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+            places = np.flatnonzero(rank == np.repeat(low, sizes))
+            owner = np.searchsorted(ends, places, side="right")
+            first = places[np.concatenate(([True], owner[1:] != owner[:-1]))]
+            ids[first] = self.of_rank[low]
+            keep = np.ones(len(ids), bool)
+            keep[first + 1] = False
+            ids, rank, sizes = ids[keep], rank[keep], sizes - 1
+            first = first - np.arange(len(first))  # where they are after the removals before them
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            for at in (first[first < ends - 1], first[first > starts] - 1):
+                rank[at] = self._rank(ids[at], ids[at + 1])
+        return out
+
     def merge(self, word: bytes) -> list[int]:
-        """Ids of a pre-token: the lowest rank merges first, leftmost of equals; a heap keeps long ones near-linear."""
-        ids = [self.single[b] for b in word]
-        n, merges = len(ids), self.merges
+        """The same for one pre-token, with a heap of candidate pairs, so that a long run stays near-linear."""
+        ids, rank = [self.single[b] for b in word], self.merges.get
+        n = len(ids)
         right, left, alive = [*range(1, n + 1)], [*range(-1, n - 1)], [True] * n
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := rank(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             if not alive[i] or ids[i] != a or (j := right[i]) >= n or ids[j] != b:
                 continue
-            ids[i], alive[j], right[i] = made, False, right[j]
+            ids[i], alive[j], right[i] = self.made[m], False, right[j]
             if right[j] < n:
                 left[right[j]] = i
             for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y < n and (m := merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                if x >= 0 and y < n and (m := rank(ids[x] << 20 | ids[y])) is not None:
+                    heapq.heappush(heap, (m, x, ids[x], ids[y]))
         return [x for x, on in zip(ids, alive, strict=True) if on]
 
 
@@ -165,36 +228,42 @@ class Encoder:
     """Pre-tokens to ids: a cache of the worker, then the automaton, then exact merges."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: dict[str, np.ndarray] | None):
-        self.v, self.lexicon, self.known, self.seen = vocabulary, lexicon, {}, [0, 0]
+        self.v, self.lexicon, self.known = vocabulary, lexicon, {}
         self.find = regex.compile(PATTERN).findall
 
-    def pieces(self, text: str) -> list[str]:
-        return self.find(text)
-
     def learn(self, words: set[str]) -> None:
+        """Put ids of all ``words`` in the cache, which starts anew when it would hold over ``CACHE`` words besides."""
         fresh = [w for w in words if w not in self.known]
         if len(self.known) + len(fresh) > CACHE:
             self.known, fresh = {}, list(words)
         raw = [w.encode() for w in fresh]
         numbers = lookup(self.lexicon, raw).tolist() if self.lexicon is not None and fresh else [-1] * len(fresh)
-        for w, b, i in zip(fresh, raw, numbers, strict=True):
-            self.seen[i < 0] += 1
-            if i >= 0:
-                self.known[w] = self.lexicon["ids"][self.lexicon["at"][i] : self.lexicon["at"][i + 1]].tobytes()
-            else:
-                self.known[w] = np.array(self.v.merge(b), "<u4").tobytes()
+        found = [(w, i) for w, i in zip(fresh, numbers, strict=True) if i >= 0]
+        unseen = [(w, b) for w, b, i in zip(fresh, raw, numbers, strict=True) if i < 0]
+        for w, i in found:
+            self.known[w] = self.lexicon["ids"][self.lexicon["at"][i] : self.lexicon["at"][i + 1]].tobytes()
+        self.known.update(zip((w for w, _ in unseen), self.v.merge_all([b for _, b in unseen]), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; words new to the worker are looked up together."""
+        special = lambda t: self.v.split is not None and any(s in t for s in self.v.special)
+        parts = [[(p, p in self.v.special) for p in self.v.split.split(t) if p] if special(t) else [(t, False)] for t in texts]
+        split = [[[p] if mark else self.find(p) for p, mark in ps] for ps in parts]
+        words: set[str] = set()
+        for ps, ws in zip(parts, split, strict=True):
+            for (_, mark), w in zip(ps, ws, strict=True):
+                if not mark:
+                    words.update(w)
+        self.learn(words)
+        get = self.known.__getitem__
+        out = []
+        for ps, ws in zip(parts, split, strict=True):
+            done = [self.v.special[p].to_bytes(4, "little") if mark else b"".join(map(get, w)) for (p, mark), w in zip(ps, ws, strict=True)]
+            out.append(done[0] if len(done) == 1 else b"".join(done))
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for part in self.v.split.split(text) if self.v.split and any(s in text for s in self.v.special) else [text]:
-            if part in self.v.special:
-                out.append(np.array([self.v.special[part]], "<u4").tobytes())
-            elif part:
-                words = self.find(part)
-                self.learn(set(words))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -211,22 +280,27 @@ def _encoder(vocabulary: str, lexicon: str) -> Encoder:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Pre-tokens of at most ``LONGEST`` bytes (longer ones are never frequent enough to compile) with their counts over all texts."""
+    """Space-led runs of letters and of digits, of at most ``LONGEST`` bytes, with their counts over all texts.
+
+    These are the pre-tokens that repeat; counting runs between white space that are wholly one is cheaper than
+    splitting by the full pattern, and which words the lexicon holds never changes an id.
+    """
+
+    def counted(counts):
+        kept = [(b" " + w, n) for w, n in counts.items() if len(w) < LONGEST]
+        words = [(w.decode("utf-8", "replace"), n) for w, n in kept]
+        words = [(w, n) for w, n in words if w[1:].isalpha() or w[1:].isdecimal()]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int64())], names=["word", "n"])
 
     def run(batches):
-        find = regex.compile(PATTERN).findall
         counts: Counter = Counter()
         for _, texts in text_slices(batches):
             for t in texts:
-                counts.update(find(t.decode("utf-8", "replace")))
+                counts.update(t.split())
             if len(counts) > CACHE:
-                yield _counted(counts)
+                yield counted(counts)
                 counts.clear()
-        yield _counted(counts)
-
-    def _counted(counts):
-        kept = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+        yield counted(counts)
 
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -234,7 +308,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def share_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> tuple[str, str]:
     """Compile the ``size`` most frequent words and give both files to all executors; returns their names there."""
     spark = docs.sparkSession
-    top = word_counts(docs).where("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"]
+    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"]
     v = Vocabulary(tokenizer)
     folder = tempfile.mkdtemp(prefix="spatiarc-lexicon-")  # the driver's; Spark copies the file to executors, new ones too
     path = os.path.join(folder, "lexicon.bin")
@@ -256,7 +330,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, le
         encoder = _encoder(*names)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for b, texts in text_slices(batches):
-            ids = [encoder.encode(t.decode("utf-8", "replace")) for t in texts]
+            ids = encoder.encode_all([t.decode("utf-8", "replace") for t in texts])
             texts = [encoder.decode(x) for x in ids]
             new = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": list(map(sha, ids)), "decoded_sha256": [sha(t.encode()) for t in texts]}
             if with_ids:
