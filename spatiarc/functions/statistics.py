@@ -93,18 +93,20 @@ def wilcoxon(pairs: DataFrame, by: str) -> DataFrame:
 
 
 def proportion_test(successes: int, n: int, p0: float = 0.5, alternative: str = "less", continuity: bool = True) -> dict[str, float]:
-    """One-sided test of a proportion by the normal approximation: ``proportion, z, pvalue`` (NaN if n is not positive)."""
-    if alternative not in ("less", "greater"):
-        raise ValueError("alternative is less or greater")
+    """Test of a proportion by the normal approximation: ``proportion, z, pvalue`` (NaN if n is not positive)."""
+    if alternative not in ("less", "greater", "two-sided"):
+        raise ValueError("alternative is less, greater or two-sided")
     if n <= 0:
         return dict.fromkeys(("proportion", "z", "pvalue"), math.nan)
-    share = successes / n
-    shift = (0.5 / n if alternative == "less" else -0.5 / n) if continuity else 0.0
+    share, by = successes / n, 0.5 / n if continuity else 0.0
     spread = math.sqrt(p0 * (1 - p0) / n)
     if not spread:
         return {"proportion": share, "z": math.nan, "pvalue": math.nan}
-    z = (share - p0 + shift) / spread
-    return {"proportion": share, "z": z, "pvalue": normal_sf(-z) if alternative == "less" else normal_sf(z)}
+    if alternative == "two-sided":
+        z = max(abs(share - p0) - by, 0.0) / spread
+        return {"proportion": share, "z": z, "pvalue": 2 * normal_sf(z)}
+    z = (share - p0 + (by if alternative == "less" else -by)) / spread
+    return {"proportion": share, "z": z, "pvalue": normal_sf(-z if alternative == "less" else z)}
 
 
 def density(rows: DataFrame, value: str, points: int = 400) -> DataFrame:

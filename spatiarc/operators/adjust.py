@@ -13,7 +13,7 @@ from spatiarc.sources.points import PointSet
 
 
 def transform_matrix(rotate: float = 0, mirror: str | None = None, operator=None) -> list[list[float]]:
-    """Mirror (N, X or Y) first, then a clockwise rotation; or the given 2 x 2 matrix. Quarter turns are exact."""
+    """Mirror (N: not, X: negate x, Y: negate y) first, then a clockwise rotation; or the given 2 x 2 matrix. Quarter turns are exact."""
     if operator is not None:
         m = [[float(v) for v in row] for row in operator]
         if len(m) != 2 or any(len(row) != 2 for row in m):
@@ -26,8 +26,8 @@ def transform_matrix(rotate: float = 0, mirror: str | None = None, operator=None
     if side not in ("N", "X", "Y"):
         raise ValueError("mirror is N, X or Y")
     c, s = quarter[rotate]
-    mx, my = (1.0 if side in ("N", "X") else -1.0), (1.0 if side in ("N", "Y") else -1.0)
-    return [[c * mx, s * my], [-s * mx, c * my]]
+    mx, my = (-1.0 if side == "X" else 1.0), (-1.0 if side == "Y" else 1.0)
+    return [[c * mx + 0.0, s * my + 0.0], [-s * mx + 0.0, c * my + 0.0]]  # no negative zeros
 
 
 def adjust(points: PointSet, feature: str | None = None, sample=None, rotate: float = 0, mirror: str | None = None, operator=None) -> DataFrame:

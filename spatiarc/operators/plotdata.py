@@ -27,14 +27,18 @@ def magnitude_against_score(lengths: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.where("vector_len IS NOT NULL AND projected_score IS NOT NULL").select("feature", "vector_len", "projected_score")
 
 
-def heatmap_cells(scores: DataFrame, order: list[str], triangle: str | None = "upper", vmax: float = 0.0) -> DataFrame:
-    """Mean scores by pair with their places in ``order``; the masked triangle (with the diagonal) is left out. ``vmin`` and ``vmax`` come along."""
+def heatmap_cells(scores: DataFrame, order: list[str], triangle: str | None = "lower", vmax: float | None = 0.0) -> DataFrame:
+    """Mean scores by pair with their places in ``order``; of a triangle, only its cells without the diagonal. ``vmin`` and
+    ``vmax`` (None: the greatest score) come along."""
+    if triangle not in ("lower", "upper", None, "none"):
+        raise ValueError("triangle is lower, upper or None")
     at = F.create_map(*[x for i, n in enumerate(order) for x in (F.lit(n), F.lit(i))])
     rows = scores.groupBy("target", "feature").agg(F.avg("projected_score").alias("score"))
     rows = rows.withColumn("row", F.try_element_at(at, "target")).withColumn("col", F.try_element_at(at, "feature")).where("row IS NOT NULL AND col IS NOT NULL")
-    if triangle is not None:
-        rows = rows.where("col < row" if triangle == "upper" else "col > row")
-    return rows.crossJoin(F.broadcast(rows.agg(F.min("score").alias("vmin"), F.lit(float(vmax)).alias("vmax"))))
+    if triangle in ("lower", "upper"):
+        rows = rows.where("col < row" if triangle == "lower" else "col > row")
+    high = F.max("score") if vmax is None else F.lit(float(vmax))
+    return rows.crossJoin(F.broadcast(rows.agg(F.min("score").alias("vmin"), high.alias("vmax"))))
 
 
 def paired_scores(sample_scores: DataFrame, first: str, second: str) -> DataFrame:
@@ -54,11 +58,12 @@ def colocalization_counts(scores: DataFrame, threshold: float = 0.0) -> DataFram
     return by.withColumn("percent_below", F.expr("try_divide(100 * CAST(n_below AS DOUBLE), CAST(n AS DOUBLE))"))
 
 
-def colocalization_summary(scores: DataFrame, threshold: float = 0.0, p0: float = 0.5, alternative: str = "less") -> dict[str, float]:
-    """The counts with the one-sided proportion test (one row, on the driver)."""
+def colocalization_summary(scores: DataFrame, threshold: float = 0.0, p0: float = 0.5) -> dict[str, float]:
+    """The counts with the one-sided proportion test of those below (one row, on the driver); no score raises."""
     row = colocalization_counts(scores, threshold).first()
-    test = proportion_test(row.n - row.n_below if alternative == "less" else row.n_below, row.n, p0, alternative)
-    return {"n": row.n, "n_below": row.n_below, "percent_below": row.percent_below, "pvalue": test["pvalue"]}
+    if not row.n:
+        raise ValueError("no projected scores")
+    return {"n": row.n, "n_below": row.n_below, "percent_below": row.percent_below, "pvalue": proportion_test(row.n_below, row.n, p0)["pvalue"]}
 
 
 def colocalization_density(scores: DataFrame, points: int = 400) -> DataFrame:

@@ -107,7 +107,7 @@ def adjusted(x: str, y: str) -> str:
 
 BINS = f"""WITH {CELLS},
 span AS (SELECT sample, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells GROUP BY sample),
-binned AS (SELECT c.sample, c.{T} AS value, len(list_filter(range(1, 8), lambda i: x >= x0 + i * ((x1 - x0) / 8))) AS col, 5 - len(list_filter(range(1, 9), lambda i: y >= y0 + i * ((y1 - y0) / 6))) AS row FROM cells c JOIN span USING (sample)),
+binned AS (SELECT c.sample, c.{T} AS value, len(list_filter(range(1, 8), lambda i: x >= x0 + i * ((x1 - x0) / 8))) AS col, 5 - len(list_filter(range(1, 6), lambda i: y >= y0 + i * ((y1 - y0) / 6))) AS row FROM cells c JOIN span USING (sample)),
 frame AS (SELECT sample, CAST(r.range AS INTEGER) AS row, CAST(c.range AS INTEGER) AS col FROM span, range(6) r, range(8) c),
 tallied AS (SELECT sample, row, col, count(value) AS n, avg((value > 2)::INT::DOUBLE) AS share FROM binned GROUP BY ALL),
 out AS (SELECT f.sample, f.row, f.col, coalesce(n, 0) AS n, CASE WHEN n > 3 THEN share END AS pct FROM frame f LEFT JOIN tallied t ON t.sample = f.sample AND t.row = f.row AND t.col = f.col)
@@ -223,7 +223,7 @@ ORACLE_SQL = {
     "grid_feature_map_quantile": f"""WITH {BASE}, {grid()}, q AS (SELECT sample, quantile_cont({T}, 0.75) AS cutoff FROM grid GROUP BY sample)
 SELECT sample, gx, gy, n_cells, round({T}, 9) AS value, round(cutoff, 9) AS cutoff, coalesce({T} > cutoff, false) AS positive FROM grid JOIN q USING (sample)""",
     "spatial_adjust_rot90": adjusted("y", "0 - x"),
-    "spatial_adjust_mirror": adjusted("0 - x", "y"),
+    "spatial_adjust_mirror": adjusted("x", "0 - y"),
     "binstat": BINS,
     "cutoff_median_of_medians_cell": f"WITH {units('cell')}, s AS (SELECT feature, sample, median(value) AS v FROM units GROUP BY ALL) SELECT feature, round(median(v), 9) AS cutoff FROM s GROUP BY ALL",
     "cutoff_mean_of_means_grid": f"WITH {units('grid')}, s AS (SELECT feature, sample, avg(value) AS v FROM units GROUP BY ALL) SELECT feature, round(avg(v), 9) AS cutoff FROM s GROUP BY ALL",
