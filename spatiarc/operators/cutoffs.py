@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import names_of, ratio
 from spatiarc.operators.raster import explicit_cutoffs, grid_values
+from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet
 
 #: Canonical methods and their other spellings.
@@ -61,7 +62,7 @@ def units(points: PointSet, features, level: str, grid_size=20.0, agg="mean", mi
     if cutoff_level(level) == "cell":
         rows = points.values(features).select("feature", "sample", F.col("obs_idx").cast("string").alias("key"), "value")
     else:
-        rows = grid_values(points, features, grid_size, agg, min_cells).select("feature", "sample", F.concat_ws("|", "gx", "gy").alias("key"), "value")
+        rows = once(grid_values(points, features, grid_size, agg, min_cells), "grid-units").select("feature", "sample", F.concat_ws("|", "gx", "gy").alias("key"), "value")
     return rows.where("value IS NOT NULL")
 
 

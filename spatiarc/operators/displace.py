@@ -1,18 +1,20 @@
 """How the overlap of two binary grids changes as one is displaced.
 
-Masks stay wide (one row per occupied grid cell, a boolean per feature). All displacements of all features are one
+Rasters are written once, so points are not scanned again for each reader. Masks stay wide (one row per occupied grid cell,
+a boolean per feature). All displacements of all features are one
 equi-join of the masks with themselves on shifted keys, computed before the join, followed by one aggregation with a few
 sums per feature; its partial results are tiny, so the shuffle behind it is too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import grid_steps, names_of, operator_shift_rows, rounded_ratio, shift_rows, shift_table
 from spatiarc.operators.niches import Niches
-from spatiarc.operators.raster import above, explicit_cutoffs, local_cutoffs, raster
+from spatiarc.operators.raster import above, explicit_cutoffs, local_cutoffs, occupancy, raster
+from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet, unpivot
 
 GRID = ["sample", "gx", "gy"]
@@ -41,11 +43,9 @@ def wide_masks(points: PointSet, names: list[str], grid_size=20.0, agg="mean", m
         raise ValueError(f"niches of features that are not asked for: {extra}")
     plain = [n for n in names if n not in by_niche]
     if plain:
-        grid = raster(points, plain, grid_size, agg, min_cells)
+        grid = once(raster(points, plain, grid_size, agg, min_cells), "raster")
     else:
-        from spatiarc.operators.raster import occupancy
-
-        grid = occupancy(points.cells, grid_size, min_cells)
+        grid = once(occupancy(points.cells, grid_size, min_cells), "raster")
     cut = local_cutoffs(unpivot(grid, GRID, plain), quantiles, cutoffs) if plain else None
     out = grid
     if plain:
@@ -192,8 +192,6 @@ def projected_score(vectors: DataFrame, by=()) -> DataFrame:
 
 def vector_length(vectors: DataFrame, by=()) -> DataFrame:
     """Length of the path from the origin through the vectors in order of step, missing coordinates as 0."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by, "feature").orderBy("step")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     leg = lambda c: F.pow(F.col(c) - F.lag(c, 1, 0.0).over(w), 2)

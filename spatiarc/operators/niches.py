@@ -13,6 +13,7 @@ from spatiarc.functions.expressions import names_of, ratio
 from spatiarc.operators.cutoffs import merged_cutoffs
 from spatiarc.operators.raster import above, grid_values, place
 from spatiarc.plans.components import connected_components
+from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet, sanitized, write_back
 
 
@@ -126,9 +127,9 @@ def find_niches(
     how = {"level": level, "grid_size": grid_size, "agg": agg, "min_cells": min_cells, "samples": cutoff_samples} | how
     cut = merged_cutoffs(points, names, cutoff, **how, **({"method": method} if method else {}))
     values = grid_values(chosen, names, grid_size, agg, min_cells).join(cut, "feature", "left")
-    values = values.withColumn("positive", above(F.col("value"), F.col("cutoff")))
+    values = once(values.withColumn("positive", above(F.col("value"), F.col("cutoff"))), "niche-values")
     keys = ["sample", "feature"]
-    labelled = components(values.where("positive"), connectivity, distributed)
+    labelled = once(components(values.where("positive"), connectivity, distributed), "niche-labels")
     sizes = labelled.groupBy(*keys, "root_gx", "root_gy").agg(F.count("*").alias("n_grids"))
     kept = sizes.where(F.col("n_grids") >= min_grids).withColumn("niche_id", F.row_number().over(Window.partitionBy(*keys).orderBy("root_gy", "root_gx")))
     sizes = sizes.join(kept.select(*keys, "root_gx", "root_gy", "niche_id"), [*keys, "root_gx", "root_gy"], "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spatiarc.functions.expressions import names_of, radius_steps, rounded_ratio, shift_rows, shift_table
 from spatiarc.operators.displace import niche_map, quoted
 from spatiarc.operators.raster import above, local_cutoffs
+from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet
 
 
@@ -38,7 +39,7 @@ def active_points(points: PointSet, names: list[str], quantiles=None, cutoffs=No
         member = found.cells.where((F.col("feature") == n) & F.col("in_niche")).select("obs_idx")
         rows = points.cells.select("sample", "obs_idx", "x", "y").join(member, "obs_idx").select("sample", "obs_idx", "x", "y", F.lit(n).alias("feature"))
         out = rows if out is None else out.unionByName(rows)
-    return out, cut
+    return once(out, "active-points"), cut
 
 
 def within(anchors: DataFrame, actives: DataFrame, radius: float) -> DataFrame:

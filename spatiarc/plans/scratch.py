@@ -44,3 +44,8 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """A table that several parts of a plan read, written so that its input is scanned once and not per reader."""
+    return Scratch(df.sparkSession, name).save(df, "table")
