@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spatiarc.llm.common import field_sql, table, text_slices, with_columns
+from spatiarc.plans.scratch import Scratch
 
 LEXICON, LONGEST, LONG, CACHE = 65_536, 48, 64, 300_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -305,10 +306,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, size: int) -> list[str]:
+    """At most ``size`` words, all those with counts above one level; the level is found from a histogram of bounded size."""
+    words = Scratch(docs.sparkSession, "words").save(word_counts(docs).where("n > 1"), "words")
+    level = F.floor(F.log2("n") * 64).cast("int")
+    histogram = sorted(((r.level, r.m) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect()), reverse=True)  # under 64 x 64 rows
+    total, least = 0, None
+    for at, m in histogram:
+        if (total := total + m) > size:
+            break
+        least = at
+    return [] if least is None else sorted(r.word for r in words.where(level >= least).select("word").collect())
+
+
 def share_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> tuple[str, str]:
-    """Compile the ``size`` most frequent words and give both files to all executors; returns their names there."""
+    """Compile the most frequent words, at most ``size``, and give both files to all executors; returns their names there."""
     spark = docs.sparkSession
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"]
+    top = frequent_words(docs, size)
     v = Vocabulary(tokenizer)
     folder = tempfile.mkdtemp(prefix="spatiarc-lexicon-")  # the driver's; Spark copies the file to executors, new ones too
     path = os.path.join(folder, "lexicon.bin")
