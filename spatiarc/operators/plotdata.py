@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import names_of
 from spatiarc.functions.statistics import density, proportion_test, wilcoxon
+from spatiarc.operators.cutoffs import merged_cutoffs
 from spatiarc.operators.niches import Niches
 from spatiarc.operators.radius import domain_map
 from spatiarc.operators.raster import grid_values, local_cutoffs, masks, place
@@ -146,10 +147,24 @@ def niche_overlay(first: Niches, second: Niches, feature1: str, feature2: str, s
     return rows.withColumn("category", category(F.col("a"), F.col("b"), ("other", "niche1", "niche2", "overlap")))
 
 
-def niche_positive_overlay(niches: Niches, niche_feature: str, positive: DataFrame, space: str = "grid") -> DataFrame:
-    """Niche cells against a positive mask (sample, gx, gy, active) of the same grid."""
+def positive_for(points: PointSet, niches: Niches, feature: str, cutoff: float | None = None, method: str | None = None, agg: str = "mean", **how) -> DataFrame:
+    """Positive grid cells of a feature on the niches' own grid (sample, gx, gy, active), checked to be that grid. Cutoffs:
+    the given one, the cohort method, or the sample's mean."""
+    values = grid_values(points, feature, niches.grid_size, agg, niches.min_cells)
+    niches.check_geometry(values, niches.grid_size)
+    given = None if cutoff is None else {feature: cutoff}
+    if given is None and method is not None:
+        given = merged_cutoffs(points, feature, None, level="grid", method=method, grid_size=niches.grid_size, agg=agg, min_cells=niches.min_cells, **how)
+    return masks(values, local_cutoffs(values, None, given)).select("sample", "gx", "gy", "active")
+
+
+def niche_positive_overlay(niches: Niches, niche_feature: str, positive: DataFrame, points: PointSet | None = None) -> DataFrame:
+    """Niche cells against a positive mask (sample, gx, gy, active) of the same grid; with ``points``, a row per point."""
     mine = niches.grids.where(F.col("feature") == niche_feature).select("sample", "gx", "gy", F.col("niche").alias("a"))
     rows = mine.join(positive.select("sample", "gx", "gy", F.col("active").alias("b")), ["sample", "gx", "gy"])
+    if points is not None:
+        placed = place(points.cells.select("obs_idx", "sample", "x", "y"), niches.grid_size).select("obs_idx", "sample", "x", "y", "gx", "gy")
+        rows = placed.join(rows, ["sample", "gx", "gy"], "left").na.fill(False, ["a", "b"])
     return rows.withColumn("category", category(F.col("a"), F.col("b"), ("other", "niche", "positive", "overlap")))
 
 

@@ -214,7 +214,40 @@ LEGS = lambda src, by: f"""legs AS (SELECT {by}feature, sqrt(power(coalesce(mn,
   FROM {src} WINDOW w AS (PARTITION BY {by}feature ORDER BY step))"""
 NICHE_T = f"WITH RECURSIVE {niche_ctes()}"
 
+CVEC = "vectors AS (SELECT sample, feature, step, min(diff_pct) AS mn, max(diff_pct) AS mx, any_value(cnt_all) AS n_bins, any_value(ot) AS nt, any_value(nf) AS nf FROM stat GROUP BY ALL)"
+OBJ = BASE.replace("event_type AS sample_name", "'obj' AS sample_name")
+EXPLICIT = MASKS.replace(LOCAL, f"""cut AS (SELECT sample, feature, CASE WHEN feature = '{F1}' THEN 2.5::DOUBLE ELSE avg(value) END AS cutoff FROM lg GROUP BY sample, feature),
+m AS (SELECT lg.*, cutoff, coalesce(value > cutoff, false) AS active FROM lg JOIN cut USING (sample, feature))""")
+QUANTILE = f"""{BASE},
+{grid('max', 2)},
+{LONG_GRID},
+cut AS (SELECT sample, feature, quantile_cont(value, 0.5) AS cutoff FROM lg GROUP BY ALL), m AS (SELECT lg.*, cutoff, coalesce(value > cutoff, false) AS active FROM lg JOIN cut USING (sample, feature))"""
+POSITIVE = f"fm AS (SELECT sample, gx, gy, value, value > avg(value) OVER (PARTITION BY sample) AS active FROM lg WHERE feature = '{F1}')"
+KIND = "CASE WHEN n.niche AND fm.active THEN 'overlap' WHEN n.niche THEN 'niche' WHEN fm.active THEN 'positive' ELSE 'other' END AS category"
+
 ORACLE_SQL = {
+    "grid_edges": f"WITH {BASE}, e AS (SELECT sample, min(x) AS x0, max(gx) AS nx FROM placed GROUP BY sample) SELECT sample, CAST(i AS INTEGER) AS i, x0 + i * 20::DOUBLE AS x_edge FROM (SELECT *, unnest(range(0, nx + 2)) AS i FROM e)",
+    "stream_raster": f"WITH {CELLS} SELECT sample, CAST(floor(x / 20::DOUBLE + 1e-12) AS BIGINT) AS gx, CAST(floor(y / 20::DOUBLE + 1e-12) AS BIGINT) AS gy, count(*) AS n_cells, round(avg({T}), 9) AS value FROM cells GROUP BY ALL",
+    "vectors_grid_all_points": f"WITH {OBJ},\n{grid()},\n{LONG_GRID},\n{LOCAL},\n{stat(shift_rows([2.0, 4.0]), [F1])}, {CVEC} {vector_rows('vectors')}",
+    "vectors_grid_explicit": f"WITH {EXPLICIT},\n{stat(shift_rows([4.0]), [F1, F2])}, {CVEC} {vector_rows('vectors')}",
+    "vectors_grid_quantile": f"WITH {QUANTILE},\n{stat(shift_rows([4.0]), [F1, F2])}, {CVEC} {vector_rows('vectors')}",
+    "vector_path": f"""{COHORT} SELECT feature, step, round(coalesce(lag(mn) OVER w, 0), 9) AS x0, round(coalesce(lag(mx) OVER w, 0), 9) AS y0, round(mn, 9) AS x1, round(mx, 9) AS y1, step = 12 AS is_final
+FROM cohort WINDOW w AS (PARTITION BY feature ORDER BY step)""",
+    "magnitude_projected": f"""{COHORT}, {LEGS('cohort', '')}, p AS (SELECT feature, (coalesce(mn, 0) + coalesce(mx, 0)) / 2 AS v FROM cohort WHERE step = 12)
+SELECT feature, round(sum(leg), 9) AS vector_len, round(any_value(v), 9) AS projected_score FROM legs JOIN p USING (feature) GROUP BY feature""",
+    "paired_scores": f"{SCORES} SELECT sample, round(max(projected_score) FILTER (feature = '{F1}'), 9) AS a, round(max(projected_score) FILTER (feature = '{F2}'), 9) AS b FROM sp GROUP BY sample",
+    "projected_heatmap": f"""WITH {PAIRS_GRID}, o(name, i) AS (VALUES ('{T}', 0), ('{F1}', 1), ('{F2}', 2)), h AS (SELECT target, feature, avg(projected_score) AS score FROM ps GROUP BY ALL),
+k AS (SELECT target, feature, score, r.i AS row, c.i AS col FROM h JOIN o r ON r.name = target JOIN o c ON c.name = feature WHERE c.i < r.i)
+SELECT target, feature, round(score, 9) AS score, row, col, round(min(score) OVER (), 9) AS vmin, 0::DOUBLE AS vmax FROM k""",
+    "radius_domain_categories": f"""WITH {RACTIVE}, {STILL}, md AS (SELECT DISTINCT c.obs_idx FROM rc c JOIN (SELECT *, 20::DOUBLE AS dx, -10::DOUBLE AS dy FROM act WHERE feature = '{F1}') a ON a.sample = c.sample AND {NEAR}),
+k AS (SELECT sample, obs_idx IN (SELECT obs_idx FROM dom WHERE feature = '{T}') AS t, obs_idx IN (SELECT obs_idx FROM md) AS f FROM rc)
+SELECT sample, CASE WHEN t AND f THEN 'overlap' WHEN t THEN 'target' WHEN f THEN 'feature' ELSE 'neither' END AS category, count(*) AS n FROM k GROUP BY ALL""",
+    "niche_positive_counts_grid": f"{NICHE_T}, {POSITIVE}, k AS (SELECT n.sample, {KIND} FROM ngrid n JOIN fm USING (sample, gx, gy)) SELECT sample, category, count(*) AS n FROM k GROUP BY ALL",
+    "niche_positive_counts_cell": f"{NICHE_T}, {POSITIVE}, k AS (SELECT n.sample, {KIND} FROM placed p JOIN ngrid n USING (sample, gx, gy) JOIN fm USING (sample, gx, gy)) SELECT sample, category, count(*) AS n FROM k GROUP BY ALL",
+    "niche_feature_range": f"""{NICHE_T}, v AS (SELECT sample, gx, gy, value FROM lg WHERE feature = '{F1}'), q AS (SELECT sample, quantile_cont(value, 0.01) AS vmin, quantile_cont(value, 0.99) AS vmax FROM v GROUP BY sample)
+SELECT v.sample, v.gx, v.gy, round(v.value, 9) AS value, n.niche, round(vmin, 9) AS vmin, round(vmax, 9) AS vmax FROM v JOIN ngrid n USING (sample, gx, gy) JOIN q ON q.sample = v.sample""",
+    "spatial_overlap_points": f"""WITH {CELLS}, {LONG_CELL}, c AS (SELECT sample, feature, CASE WHEN feature = '{T}' THEN 1.5::DOUBLE ELSE avg(value) END AS cutoff FROM lc GROUP BY sample, feature)
+SELECT obs_idx, sample, feature, CASE WHEN feature = '{F1}' THEN x + 5 ELSE x END AS x, y, round(value, 9) AS value FROM lc JOIN c USING (sample, feature) WHERE feature <> '{F2}' AND value > cutoff""",
     "grid_occupancy": f"WITH {BASE}, {grid()} SELECT sample, gx, gy, n_cells FROM grid",
     "grid_mean": RASTER("avg"),
     "grid_sum": RASTER("sum"),

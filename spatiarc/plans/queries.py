@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spatiarc.api import spatial_vector
 from spatiarc.functions.expressions import shift_rows, shift_table
 from spatiarc.functions.statistics import density, proportion_test
 from spatiarc.operators import adjust as A
@@ -16,6 +17,7 @@ from spatiarc.operators import plotdata as P
 from spatiarc.operators import radius as R
 from spatiarc.operators import raster as G
 from spatiarc.sources.fixtures import SETS, fixture
+from spatiarc.streaming.raster_stream import stream_raster
 
 T, F1, F2 = "hypoxia_score", "inflammation_score", "noise_score"
 FEATURES = [F1, F2]
@@ -195,6 +197,63 @@ def _proportion(s, d):
     return s.createDataFrame([(got["proportion"], got["z"], got["pvalue"])], "proportion double, z double, pvalue double")
 
 
+def _edges(s, d):
+    by = G.edges(fixture(s, d), 20.0)
+    return by.select("sample", F.posexplode("x_edges").alias("i", "x_edge"))
+
+
+def _obj_vectors(s, d):
+    return _vector_rows(spatial_vector(fixture(s, d), T, [F1], steps=[2, 4]).vectors)
+
+
+def _explicit_vectors(s, d):
+    return _vector_rows(_vectors(s, d, steps=[4], cutoffs={F1: 2.5}))
+
+
+def _quantile_vectors(s, d):
+    return _vector_rows(_vectors(s, d, steps=[4], quantiles=0.5, agg="max", min_cells=2))
+
+
+def _path(s, d):
+    return rounded(P.vector_path(D.cohort_vectors(_vectors(s, d))), "x0", "y0", "x1", "y1")
+
+
+def _magnitude(s, d):
+    v = D.cohort_vectors(_vectors(s, d))
+    return rounded(P.magnitude_against_score(D.vector_length(v), D.projected_score(v)), "vector_len", "projected_score")
+
+
+def _heatmap(s, d):
+    return rounded(P.heatmap_cells(_pairs(s, d), [T, F1, F2]), "score", "vmin")
+
+
+def _paired_scores(s, d):
+    return rounded(P.paired_scores(D.projected_score(_vectors(s, d), ["sample"]), F1, F2), "a", "b")
+
+
+def _domain_categories(s, d):
+    return P.category_counts(P.domain_categories(_radius_points(s, d), T, F1, radius=RADIUS, shift=(20.0, -10.0)))
+
+
+def _niche_positive(s, d, cells=False):
+    points, found = fixture(s, d), _niches(s, d)
+    return P.category_counts(P.niche_positive_overlay(found, T, P.positive_for(points, found, F1), points if cells else None))
+
+
+def _niche_range(s, d):
+    points, found = fixture(s, d), _niches(s, d)
+    rows = P.niche_feature_values(found, T, G.grid_values(points, F1))
+    return rounded(rows.select("sample", "gx", "gy", "value", "niche", "vmin", "vmax"), "value", "vmin", "vmax")
+
+
+def _overlap_points(s, d):
+    return rounded(P.overlap_points(fixture(s, d), T, F1, {T: 1.5}, (5.0, 0.0)), "value")
+
+
+def _stream_static(s, d):
+    return rounded(stream_raster(fixture(s, d).cells, T), "value")
+
+
 QUERIES = {
     "grid_occupancy": lambda s, d: G.occupancy(fixture(s, d).cells, 20.0),
     "grid_mean": _raster("mean"),
@@ -202,6 +261,8 @@ QUERIES = {
     "grid_max": _raster("max"),
     "grid_min_cells": lambda s, d: rounded(G.raster(fixture(s, d), [T], min_cells=3), T),
     "grid_feature_map_quantile": _map,
+    "grid_edges": _edges,
+    "stream_raster": _stream_static,
     "spatial_adjust_rot90": _adjust(rotate=90),
     "spatial_adjust_mirror": _adjust(rotate=180, mirror="X"),
     "binstat": _bins,
@@ -227,12 +288,20 @@ QUERIES = {
     "vectors_grid_cohort": _cohort_vectors,
     "vectors_grid_niche_target": _niche_vectors,
     "vectors_grid_genes": _gene_vectors,
+    "vectors_grid_all_points": _obj_vectors,
+    "vectors_grid_explicit": _explicit_vectors,
+    "vectors_grid_quantile": _quantile_vectors,
+    "vector_path": _path,
+    "magnitude_projected": _magnitude,
+    "paired_scores": _paired_scores,
     "projected_score": _projected,
     "vector_magnitude": _lengths,
     "sample_projected_score": _sample_projected,
     "pairwise_long": _pairs,
     "pairwise_matrix": _matrix,
+    "projected_heatmap": _heatmap,
     "radius_domain": _radius_domain,
+    "radius_domain_categories": _domain_categories,
     "radius_coverage": _radius_coverage,
     "vectors_radius_sphere": _radius_vectors(),
     "vectors_radius_euclidean": _radius_vectors(direction_mode="euclidean"),
@@ -244,6 +313,10 @@ QUERIES = {
     "overlay_counts_grid": _overlay("grid"),
     "niche_overlay_counts": _niche_overlay,
     "niche_boundary_segments": _boundary,
+    "niche_positive_counts_grid": _niche_positive,
+    "niche_positive_counts_cell": lambda s, d: _niche_positive(s, d, cells=True),
+    "niche_feature_range": _niche_range,
+    "spatial_overlap_points": _overlap_points,
     "coloc_summary": _coloc,
     "kde_curve": _kde,
     "paired_wilcoxon": _paired,
