@@ -8,7 +8,7 @@ of itself with the components last seen on its lists, cannot beat its kth score;
 stops only strictly below the kth. Scores are integers and exact: products run in doubles, which hold them below 2**53.
 
 Defined cases: vectors null, empty, or with null or non-finite components take no part, nor do null ids; queries with
-fewer candidates return all; repeated vec_ids are candidates each, and a row never matches its own vec_id; extra columns
+fewer candidates return all; repeated vec_ids are candidates each, one of them is the query, and a row never matches its own vec_id; extra columns
 play no part.
 """
 

@@ -7,7 +7,7 @@ walk the tree together, nearer child first. Distances are Euclidean in double pr
 differences of the original vectors.
 
 Every row is indexed, in the tree of its shard. Defined cases: vectors null, empty, zero, or with null or non-finite
-components take no part; queries with fewer candidates return all found; repeated vec_ids are candidates each, and a row
+components take no part; queries with fewer candidates return all found; repeated vec_ids are candidates each, one of them is the query, and a row
 never matches its own vec_id; ties go to smaller ids; extra columns play no part.
 """
 

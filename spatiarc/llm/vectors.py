@@ -48,7 +48,7 @@ def search_shards(rows: DataFrame, every: int, k: int, search, out: str) -> Data
     n = rows.count()
     shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
     points = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.lit(-1))
-    queries = rows.where(F.col("vec_id") % every == 0)
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("d", "x")).alias("v")).select("vec_id", "v.d", "v.x")  # of repeated ids, one
     blocks = max(1, -(-n // (every * QUERY_BLOCK)))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
 
