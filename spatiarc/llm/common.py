@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word operators; the same bytes on which ``bytes.split()`` splits.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,3 +62,16 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             last = key
     if held:
         yield last, pa.Table.from_batches(held)
+
+
+def hash_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """The ``size`` rows that are first in order of a hash of their key, or all; the order of rows plays no part.
+
+    Only rows below a bound on the hash, which holds the wanted number with room to spare, are sorted.
+    """
+    n = rows.count()
+    h = F.xxhash64(key)
+    if n > size:
+        share = min(1.0, (size + 8 * size**0.5 + 64) / n)
+        rows = rows.where(h <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1))
+    return rows.orderBy(h, key).limit(size)

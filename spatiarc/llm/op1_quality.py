@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiarc.llm.common import field_sql, table, text_slices, with_columns
+from spatiarc.llm.common import field_sql, hash_sample, table, text_slices, with_columns
 
 SAMPLE, BUCKETS, RANK, NEIGHBOURS, POWER, THRESHOLD, FORM_WEIGHT = 4096, 4096, 64, 15, 8.0, 0.3, 2.0
 _CLASS = np.zeros(256, np.int64)  # 0 other symbols, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 plain punctuation, 7 beyond ASCII
@@ -104,16 +104,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Latent | No
     """A latent space from at most ``sample`` labelled rows, the first in hash order."""
     known = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL AND NOT isnan(quality)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hash_sample(known, "doc_id", sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the limit bounds the broadcast
 
     def run(batches):
         for b, texts in text_slices(batches):
             grams, forms = features(texts)
             packed = [zlib.compress(g.astype("<f4").tobytes(), 1) for g in np.concatenate([grams, forms], 1)]
-            yield with_columns(b, ["quality"], packed=pa.array(packed, pa.binary()))
+            yield with_columns(b, ["doc_id", "quality"], packed=pa.array(packed, pa.binary()))
 
-    got = rows.select("quality", "text", "doc_id").mapInArrow(run, "quality double, packed binary").toPandas()
+    found = rows.select("doc_id", "quality", "text").mapInArrow(run, field_sql(docs, "doc_id") + ", quality double, packed binary")
+    got = found.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("packed").alias("packed")).select("quality", "packed").toPandas()  # one row of each id, ``sample`` at most
     if not len(got):
         return None
     order = np.lexsort((got["packed"].map(hash_bytes).to_numpy(), got["quality"].to_numpy()))
