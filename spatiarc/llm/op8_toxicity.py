@@ -4,7 +4,7 @@ Categories are predicted one after the other, by linear (logistic) models over t
 each later model also gets the probabilities of the earlier categories. In training those are out-of-fold predictions, so
 a later model sees them as unsure as they will be. The chain is ``junk`` (quality label 0), ``severe`` (a toxic row with
 more marked words than the median toxic row) and ``toxic``, the label itself; a document is rejected if the last
-probability reaches ``THRESHOLD`` (0.2: a toxic document kept counts as four clean ones lost).
+probability reaches ``THRESHOLD`` (0.35: a toxic document kept counts as two clean ones lost).
 
 Models are fitted on the driver from at most ``SAMPLE`` labelled rows, the first in hash order; features are chosen from
 the sample by their odds. Scoring reads whole texts; a word's weights are looked up once per worker and word.
@@ -24,27 +24,32 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiarc.llm.common import field_sql, table, text_slices, with_columns
+from spatiarc.llm.common import field_sql, hash_sample, table, text_slices, with_columns
 
-SAMPLE, FOLDS, FEATURES, RARE, THRESHOLD, CACHE = 8192, 4, 1024, 3, 0.2, 300_000
+SAMPLE, FOLDS, FEATURES, RARE, CLEAR, THRESHOLD, CACHE = 8192, 4, 1024, 5, 2.5, 0.35, 300_000
 CATEGORIES = ("junk", "severe", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str) -> list[str]:
-    """The word, and its first four and five letters where it has more."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
+def word_features(word: str) -> list[int]:
+    """Hashes of the word (odd) and of its first four and five letters where it has more (even)."""
+    h = xxhash.xxh64_intdigest
+    return [h(word) >> 1 | 1, *(h(word[:n]) >> 2 << 1 for n in (4, 5) if len(word) > n)]
 
 
 def text_words(text: bytes) -> set[str]:
     return set(_WORD.findall(text.decode("utf-8", "replace").lower()))
 
 
+def text_features(text: bytes) -> np.ndarray:
+    return np.unique(np.fromiter((f for w in text_words(text) for f in word_features(w)), np.int64))
+
+
 class Chain:
     """Weights by feature for every category, and of the earlier categories' log-odds."""
 
-    def __init__(self, names: list[str], weights: np.ndarray, bias: np.ndarray, links: np.ndarray):
-        self.index = {x: i for i, x in enumerate(names)}
+    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: np.ndarray, links: np.ndarray):
+        self.index = {x: i for i, x in enumerate(features.tolist())}
         self.weights, self.bias, self.links = np.vstack([weights, np.zeros(len(bias))]), bias, links
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -94,12 +99,14 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, extra:
         grad, curve = back(p - y) + pen * w, np.maximum(p * (1 - p), 1e-6)
         step, r = np.zeros_like(w), -grad
         d, rr = r.copy(), r @ r
+        if rr < 1e-18:
+            break
         for _ in range(25):
             hd = back(curve * times(d)) + pen * d
             a = rr / max(d @ hd, 1e-12)
             step, r = step + a * d, r - a * hd
             new = r @ r
-            if new < 1e-6 * (grad @ grad):
+            if new < 1e-6 * (grad @ grad) or new < 1e-18:
                 break
             d, rr = r + d * new / rr, new
         size = 1.0
@@ -113,39 +120,45 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, extra:
     return w[:width], w[width:-1], w[-1]
 
 
-def fit_chain(words: list[set[str]], quality: np.ndarray, toxic: np.ndarray) -> Chain:
-    """``words`` of each labelled text with its labels (NaN: unknown quality)."""
-    n = len(words)
-    seen: dict[str, list[int]] = {}
-    for i, ws in enumerate(words):
-        for f in {f for w in ws for f in word_features(w)}:
-            seen.setdefault(f, []).append(i)
-    junk = (quality == 0).astype(float)
-    common = sorted(f for f, at in seen.items() if len(at) >= RARE)
+def fit_chain(texts: list[np.ndarray], quality: np.ndarray, toxic: np.ndarray) -> Chain:
+    """``texts``: the features of each labelled text, with its labels (NaN: unknown quality)."""
+    n = len(texts)
+    seen, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *texts]), return_counts=True)
+    seen, total = seen[counts >= RARE], counts[counts >= RARE].astype(float)
+    junk, toxic = (quality == 0).astype(float), toxic.astype(float)
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, ids in enumerate(texts):
+        at = np.minimum(np.searchsorted(seen, ids), max(len(seen) - 1, 0))
+        cols.append(at[seen[at] == ids] if len(seen) else at[:0])
+        rows.append(np.full(len(cols[-1]), i))
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
 
     def odds(y):
-        on, total = np.array([y[seen[f]].sum() for f in common]), np.array([len(seen[f]) for f in common])
-        p1, p0 = (on + 0.5) / (y.sum() + 1), (total - on + 0.5) / (n - y.sum() + 1)
-        return np.abs(np.log(p1 / p0)) * np.sqrt(np.maximum(on, total * (y.sum() / n))), (on, total)
-
-    strength, marked = {}, set()
-    if n and common:
-        for y in (junk, toxic):
-            s, (on, total) = odds(y)
-            strength |= {common[i]: 1 for i in np.argsort(-s, kind="stable")[: FEATURES // 2]}
-            if y is toxic:
-                marked = {common[i] for i in np.flatnonzero((on >= RARE) & (on >= 0.9 * total)) if not common[i].endswith("*")}
-    names = sorted(strength)
-    index = {f: i for i, f in enumerate(names)}
-    rows = np.array([i for f in names for i in seen[f]], np.int64)
-    cols = np.array([index[f] for f in names for _ in seen[f]], np.int64)
-    hits = np.array([len(ws & marked) for ws in words], float)
+        """Log-odds of a category given each feature, and their strength."""
+        on = np.bincount(cols, y[rows], len(seen))
+        log = np.log((on + 0.5) / (y.sum() + 1)) - np.log((total - on + 0.5) / (n - y.sum() + 1))
+        return log, np.abs(log) * np.sqrt(np.maximum(on, total * (y.sum() / max(n, 1))))
+
+    of = np.zeros((3, len(seen)), bool)  # features of each category's model
+    _, strength = odds(junk)
+    of[0, np.argsort(-strength, kind="stable")[: FEATURES // 2]] = True
+    log, strength = odds(toxic)  # only clear marks: a frequent word with slight odds would outweigh one rare insult
+    order = np.argsort(-strength, kind="stable")
+    of[1:, order[log[order] >= CLEAR][: FEATURES // 2]] = True
+    used = np.flatnonzero(of.any(0))
+    number = np.full(len(seen), -1)
+    number[used] = np.arange(len(used))
+    on = number[cols] >= 0 if len(cols) else np.zeros(0, bool)
+    all_rows, all_cols, names, of = rows[on], number[cols[on]], seen[used], of[:, used]
+    hits = np.bincount(all_rows, (of[2] & (names % 2 == 1))[all_cols].astype(float), n)  # marked words of each text
     middle = np.median(hits[toxic > 0]) if (toxic > 0).any() else 0.0
     severe = ((toxic > 0) & (hits > middle)).astype(float)
     folds = np.arange(n) % FOLDS
     weights, bias, links = np.zeros((len(names), 3)), np.zeros(3), np.zeros((3, 3))
     earlier = np.zeros((n, 0))
-    for k, y in enumerate((junk, severe, toxic.astype(float))):
+    for k, y in enumerate((junk, severe, toxic)):
+        mine = of[k][all_cols] if len(all_cols) else np.zeros(0, bool)
+        rows, cols = all_rows[mine], all_cols[mine]
         w, e, b = fit_logistic(rows, cols, n, len(names), earlier, y)
         weights[:, k], bias[k], links[k, :k] = w, b, e
         out = np.zeros(n)
@@ -164,17 +177,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
     known = labels.select("doc_id", number("quality"), number("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hash_sample(known, "doc_id", sample)
 
     def run(batches):
         for b, texts in text_slices(batches):
-            yield with_columns(b, ["quality", "toxic"], words=pa.array([" ".join(sorted(text_words(t))) for t in texts], pa.string()))
+            yield with_columns(b, ["doc_id", "quality", "toxic"], features=pa.array([text_features(t).tobytes() for t in texts], pa.binary()))
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "toxic", "text")  # the limit bounds the broadcast
-    got = rows.mapInArrow(run, "quality double, toxic double, words string").collect()
-    got.sort(key=lambda r: (xxhash.xxh64_intdigest(r["words"]), r["toxic"]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "toxic", "text")  # the limit bounds the broadcast
+    found = rows.mapInArrow(run, field_sql(docs, "doc_id") + ", quality double, toxic double, features binary").groupBy("doc_id")
+    got = found.agg(F.first("quality").alias("quality"), F.first("toxic").alias("toxic"), F.min("features").alias("features")).collect()  # one row of each id, ``sample`` at most
+    got.sort(key=lambda r: (xxhash.xxh64_intdigest(bytes(r["features"])), r["toxic"]))
     return fit_chain(
-        [set(r["words"].split()) for r in got],
+        [np.frombuffer(r["features"], np.int64) for r in got],
         np.array([np.nan if r["quality"] is None else r["quality"] for r in got], float),
         np.array([r["toxic"] > 0.5 for r in got], float),
     )

@@ -445,8 +445,9 @@ def test_chain_uses_earlier_categories():
     words = [{f"w{i}x" for i in rng.integers(0, 30, 6)} | ({"awfulness"} if k % 4 == 0 else set()) for k in range(400)]
     words = [{re.sub(r"\d", lambda m: "abcdefghij"[int(m.group())], w) for w in ws} for ws in words]
     toxic = np.array([float(k % 4 == 0) for k in range(400)])
-    chain = q8.fit_chain(words, np.ones(400), toxic)
-    p = chain.probabilities([" ".join(ws).encode() for ws in words])
+    texts = [" ".join(ws).encode() for ws in words]
+    chain = q8.fit_chain([q8.text_features(t) for t in texts], np.ones(400), toxic)
+    p = chain.probabilities(texts)
     assert ((p[:, 2] >= 0.5) == (toxic > 0)).mean() > 0.98 and p.shape == (400, 3)
 
 
