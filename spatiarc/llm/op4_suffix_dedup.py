@@ -193,10 +193,10 @@ def partial_masks(shared: DataFrame, keyed: DataFrame, span: int = SPAN, reach:
     def compare(batches):
         held, rows = [], 0
         for b in batches:
-            cut_at = b.num_rows
-            if b.num_rows:  # hold back the last k, which may go on
-                ks = b.column("k").to_numpy()
-                cut_at = int(np.flatnonzero(ks == ks[-1])[0])
+            if not b.num_rows:
+                continue
+            ks = b.column("k").to_numpy()
+            cut_at = int(np.flatnonzero(ks == ks[-1])[0])  # the last k is held back, it may go on
             if cut_at:
                 held.append(b.slice(0, cut_at))
                 if (rows := rows + cut_at) >= 50_000:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spatiarc.llm.common import field_sql, table, text_slices, with_columns
 
-GUESSES, SHORTEST, WALK = 10.0, 6, 24
+GUESSES, SHORTEST, WALK, MOST = 10.0, 6, 24, 13
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -57,8 +57,8 @@ def _alphabet(value: str) -> int:
     return n + 33 * any(not (c.isdigit() or c.isalpha()) for c in value) or 10
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; best[i][k] covers the first i characters in k spans."""
+def cheap_spans(value: str) -> list[list[tuple[int, float]]]:
+    """For each start, (end, log10 guesses) of the words, dates, repeats and keyboard walks there."""
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     per_char = math.log10(_alphabet(value))
@@ -77,9 +77,8 @@ def guess_cost(value: str) -> float:
                     cased = value[i:j]
                     caps = 1 if cased == low[i:j] else 2 if cased[1:] == low[i + 1 : j] or cased.isupper() else 2 ** sum(map(str.isupper, cased))
                     ends[i].append((j, math.log10(_RANK[form] * extra * caps + 1)))
-        for m in [_DATE.match(value, i)]:
-            if m:
-                ends[i].append((m.end(), math.log10(365 * 120 if m.end() - i > 6 else 120 * 12 if m.end() - i > 4 else 120)))
+        if m := _DATE.match(value, i):
+            ends[i].append((m.end(), math.log10(365 * 120 if m.end() - i > 6 else 120 * 12 if m.end() - i > 4 else 120)))
         for size, run in runs.items():
             times = 1 + run[i] // size
             if times * size >= max(3, 2 * size):
@@ -90,7 +89,16 @@ def guess_cost(value: str) -> float:
             turns, step = turns + (step is not None and now != step), now
             if j - i >= 3:
                 ends[i].append((j + 1, math.log10(47 * (j + 1 - i)) + turns * math.log10(6)))
-    most = min(n, 12)  # more spans cost more in factorials than brute force, which is one span
+    return ends
+
+
+def guess_cost(value: str) -> float:
+    """log10 of the guesses of the cheapest segmentation; best[i][k] covers the first i characters in k spans.
+
+    At most ``MOST`` spans are tried: the orders of more alone cost more than any threshold in use.
+    """
+    n, per_char, ends = len(value), math.log10(_alphabet(value)), cheap_spans(value)
+    most = min(n, MOST)
     best = [[math.inf] * (most + 1) for _ in range(n + 1)]
     brute = [[math.inf] * (most + 1) for _ in range(n + 1)]  # the last span is brute force and still open
     best[0][0] = 0.0

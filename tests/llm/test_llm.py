@@ -338,6 +338,28 @@ def test_guess_costs():
     assert ("guess", 5, 17) in q6.find_secrets("pwd: xK9#mQ2$vL7p") and not q6.find_secrets("pwd: password1")
 
 
+def brute_cost(value):
+    """The least over all segmentations, by trying them."""
+    ends, per_char, n = q6.cheap_spans(value), math.log10(q6._alphabet(value)), len(value)
+
+    def ways(i):
+        if i == n:
+            yield []
+        for j in range(i + 1, n + 1):
+            for cost in [(j - i) * per_char, *(c for e, c in ends[i] if e == j)]:
+                yield from ([cost, *rest] for rest in ways(j))
+
+    return min((sum(w) + math.log10(math.factorial(len(w))) for w in ways(0)), default=0.0)
+
+
+def test_guess_cost_is_least():
+    rng = random.Random(2)
+    parts = ["test", "dog", "2023", "11", "aaa", "qwer", "X", "7", "#", "key", "abab"]
+    for _ in range(150):
+        value = "".join(rng.choice(parts) for _ in range(3))[:9]
+        assert math.isclose(q6.guess_cost(value), brute_cost(value), abs_tol=1e-9), value
+
+
 def test_redaction(spark, odd, none):
     text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" z'
     assert q6.redact(text, q6.find_secrets(text)) == 'a [assign removed]" z'
