@@ -145,9 +145,9 @@ def _split(options: dict) -> tuple[dict, dict]:
 
 
 def _result(rows: DataFrame, pooled: DataFrame, target, features, settings) -> VectorResult:
-    return VectorResult(
-        pooled, target, features, _displace.projected_score(pooled), _displace.vector_length(pooled), rows, _displace.projected_score(rows, ["sample"]), _displace.vector_length(rows, ["sample"]), settings
-    )
+    ends = ("min_djaccard", "max_djaccard")
+    by_sample = _displace.projected_score(rows, ["sample"], ends), _displace.vector_length(rows, ["sample"])
+    return VectorResult(pooled, target, features, _displace.projected_score(pooled), _displace.vector_length(pooled), rows, *by_sample, settings)
 
 
 def spatial_vector(points: PointSet, target: str, features, sample=None, steps=None, backend="grid", cutoffs=None, quantile_cutoffs=None, cutoff_method=None, cutoff_samples=None, niche_features=None, **options) -> VectorResult:
@@ -169,7 +169,7 @@ def spatial_vector_x(points: PointSet, target: str, features, samples=None, step
         samples = [s for s in samples if s in there]
     chosen = points.where(samples)
     rows = _vectors(chosen, points, target, features, backend, steps, cutoffs, quantile_cutoffs, cutoff_method, cutoff_samples or samples, niche_features, cut, rest)
-    return _result(rows, _displace.cohort_vectors(rows), target, features, {"backend": backend, "steps": steps, "samples": samples, "cutoff_method": cutoff_method or "sample_mean", **options})
+    return _result(rows, _displace.cohort_vectors(rows).withColumn("sample", F.lit("obj")), target, features, {"backend": backend, "steps": steps, "samples": samples, "cutoff_method": cutoff_method or "sample_mean", **options})
 
 
 def pairwise_projected_scores(points: PointSet, features, samples=None, final_step=None, backend="grid", cutoffs=None, quantile_cutoffs=None, cutoff_method=None, cutoff_samples=None, niche_features=None, **options) -> PairwiseResult:

@@ -132,9 +132,12 @@ def positive_proportions(points: PointSet, cutoffs, features=None, level: str =
     names = names_of(features or list(given))
     if missing := [n for n in names if n not in given]:
         raise KeyError(f"no cutoff for {missing}")
-    rows = units(points.where(samples), names, level, grid_size, agg, min_cells)
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(given[n]).alias("cutoff")) for n in names])
-    cut = points.cells.sparkSession.range(1).select(F.explode(pairs).alias("c")).select("c.*")
-    by = rows.join(F.broadcast(cut), "feature").groupBy("sample", "feature", "cutoff")  # as many rows as named features
-    by = by.agg(F.count("*").alias("n_units"), F.count_if(F.col("value") > F.col("cutoff")).alias("n_positive"))
-    return by.select("sample", "feature", F.lit(cutoff_level(level)).alias("level"), "cutoff", "n_units", "n_positive", ratio("n_positive", "n_units").alias("positive_fraction"))
+    chosen = points.where(samples)
+    rows = units(chosen, names, level, grid_size, agg, min_cells)
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(given[n]).alias("cutoff")) for n in names])).alias("c")
+    frame = chosen.cells.select("sample").distinct().select("sample", pairs).select("sample", "c.feature", "c.cutoff")
+    cut = points.cells.sparkSession.createDataFrame([(n, given[n]) for n in names], "feature string, c double")
+    by = rows.join(F.broadcast(cut), "feature").groupBy("sample", "feature")  # as many rows as named features
+    by = by.agg(F.count("*").alias("n_units"), F.count_if(F.col("value") > F.col("c")).alias("n_positive"))
+    out = frame.join(by, ["sample", "feature"], "left").na.fill(0, ["n_units", "n_positive"])  # a sample without units has none and no fraction
+    return out.select("sample", "feature", F.lit(cutoff_level(level)).alias("level"), "cutoff", "n_units", "n_positive", ratio("n_positive", "n_units").alias("positive_fraction"))

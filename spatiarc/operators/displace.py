@@ -182,12 +182,12 @@ def cohort_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("feature", "step").agg(F.avg("min_djaccard").alias("min_djaccard"), F.avg("max_djaccard").alias("max_djaccard"), F.count("*").alias("n_samples"))
 
 
-def projected_score(vectors: DataFrame, by=()) -> DataFrame:
-    """(min + max) / 2 at the last step, missing values as 0."""
+def projected_score(vectors: DataFrame, by=(), keep=()) -> DataFrame:
+    """(min + max) / 2 at the last step, missing values as 0; with other columns of that step in ``keep``."""
     by = list(by)
     last = vectors.join(vectors.groupBy(*by).agg(F.max("step").alias("__last")), by) if by else vectors.crossJoin(vectors.agg(F.max("step").alias("__last")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return last.where("step = __last").select(*by, "feature", ((zero("min_djaccard") + zero("max_djaccard")) / 2).alias("projected_score"))
+    return last.where("step = __last").select(*by, "feature", *keep, ((zero("min_djaccard") + zero("max_djaccard")) / 2).alias("projected_score"))
 
 
 def vector_length(vectors: DataFrame, by=()) -> DataFrame:

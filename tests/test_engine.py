@@ -238,6 +238,8 @@ def test_draws_and_methods(spark):
         cohort_cutoffs(holes, ["f"], level="cell")
     props = {(r["sample"], r.feature): r.positive_fraction for r in api.positive_proportions(points, {"f": 4.0}, level="cell").collect()}
     assert props == {("a", "f"): 25 / 30, ("b", "f"): 0.5}
+    empty = {r["sample"]: (r.n_units, r.positive_fraction) for r in api.positive_proportions(holes, {"f": 0.5}).collect()}
+    assert empty == {"a": (0, None), "b": (1, 1.0)}
     with pytest.raises(KeyError):
         api.positive_proportions(points, {"f": 4.0}, ["f", "g"])
 
