@@ -64,7 +64,9 @@ def operator_shift_rows(right: int, left: int, up: int, down: int) -> list[tuple
 
 
 def shift_table(spark: SparkSession, rows) -> DataFrame:
-    return spark.createDataFrame(list(rows), "step double, direction string, dx double, dy double")
+    """A table of literals, so it is a local relation of the plan and no Python rows."""
+    values = ", ".join(f"({s!r}D, '{d}', {x!r}D, {y!r}D)" for s, d, x, y in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS shifts(step, direction, dx, dy)")
 
 
 def grid_steps(steps=None) -> list[float]:
