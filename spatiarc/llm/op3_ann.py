@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spatiarc.llm.common import table
 from spatiarc.llm.vectors import packed, search_shards, usable
 
-K, EVERY, FACTOR, LEAF = 10, 100, 4.0, 128
+K, EVERY, FACTOR, LEAF = 10, 100, 5.0, 128
 
 
 class VPTree:
