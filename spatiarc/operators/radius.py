@@ -1,7 +1,7 @@
 """Neighbourhoods of a radius around points instead of grid cells.
 
-"Within the radius of an active point" is a range join: both sides are dealt into squares as wide as the radius, the active
-side into the nine squares around its own, so Spark sees an equi-join with the exact distance as a residual.
+"Within the radius of an active point" is a range semi-join: both sides are dealt into squares as wide as the radius, one of
+them into the nine squares around its own, so Spark sees an equi-join with the exact distance as a residual.
 """
 
 from __future__ import annotations
@@ -42,30 +42,42 @@ def active_points(points: PointSet, names: list[str], quantiles=None, cutoffs=No
     return once(out, "active-points"), cut
 
 
-def within(anchors: DataFrame, actives: DataFrame, radius: float) -> DataFrame:
-    """Pairs of rows of the same sample less than ``radius`` apart; both have ``sample, x, y``, actives other names besides."""
-    r = F.lit(float(radius))
-    cell = lambda c: F.floor(F.col(c) / r).cast("bigint")
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = anchors.withColumn("bx", cell("x")).withColumn("by", cell("y"))
-    right = actives.withColumnsRenamed({"x": "ax", "y": "ay"}).withColumn("o", F.explode(near))
-    right = right.withColumn("bx", cell("ax") + F.col("o.i")).withColumn("by", cell("ay") + F.col("o.j")).drop("o")
-    dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    return left.join(right, ["sample", "bx", "by"]).where(dx * dx + dy * dy < r * r).drop("bx", "by")
+def near(probe: DataFrame, sites: DataFrame, radius: float, keys: list[str], probe_moves: bool) -> DataFrame:
+    """Rows of ``probe`` (keys, x, y, dx, dy) with a site (keys, x, y) less than ``radius`` away once the moving side is
+    displaced by (dx, dy): active points move, anchors don't. A semi-join stops at the first site, so nothing is paired and
+    made distinct again."""
+    r, sign = F.lit(float(radius)), 1 if probe_moves else -1
+    square = lambda c: F.floor(c / r).cast("bigint")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left = probe.withColumn("bx", square(F.col("x") + sign * F.col("dx"))).withColumn("by", square(F.col("y") + sign * F.col("dy")))
+    right = sites.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode(around).alias("o"))
+    right = right.select("*", (square(F.col("sx")) + F.col("o.i")).alias("sbx"), (square(F.col("sy")) + F.col("o.j")).alias("sby")).drop("o")
+    gap = lambda p, q, d: F.col(q) - F.col(p) - F.col(d) if probe_moves else F.col(p) - F.col(q) - F.col(d)
+    gx, gy = gap("x", "sx", "dx"), gap("y", "sy", "dy")
+    on = (F.col("bx") == F.col("sbx")) & (F.col("by") == F.col("sby")) & (gx * gx + gy * gy < r * r)
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"s_{k}"))
+    return left.join(right, on, "left_semi").drop("bx", "by")
 
 
-def domains(points: PointSet, actives: DataFrame, radius: float) -> DataFrame:
-    """``sample, feature, obs_idx`` of anchors within the radius of an active point."""
-    pairs = within(points.cells.select("sample", "obs_idx", "x", "y"), actives.select("sample", "x", "y", "feature"), radius)
-    return pairs.select("sample", "feature", "obs_idx").distinct()
+def standing(spark) -> DataFrame:
+    """The displacement by nothing."""
+    return shift_table(spark, [(0.0, "none", 0.0, 0.0)])
+
+
+def domains(anchors: DataFrame, actives: DataFrame, names: list[str], radius: float, shifts: DataFrame | None = None) -> DataFrame:
+    """Rows of ``anchors`` (sample, x, y, ...) for each feature (and displacement) whose active points come within the radius."""
+    shifts = standing(anchors.sparkSession) if shifts is None else shifts
+    each = F.explode(F.array(*[F.lit(n) for n in names])).alias("feature")
+    probe = anchors.select("*", each).crossJoin(F.broadcast(shifts))  # as many rows as displacements asked for
+    return near(probe, actives.select("sample", "feature", "x", "y"), radius, ["sample", "feature"], False)
 
 
 def shift_coverage(points: PointSet, actives: DataFrame, shifts: DataFrame, radius: float) -> DataFrame:
     """``sample, feature, step, direction, n_active, n_covered, coverage``: displaced active points with an anchor near."""
-    moved = actives.withColumnRenamed("obs_idx", "active").crossJoin(F.broadcast(shifts))
-    moved = moved.withColumn("x", F.col("x") + F.col("dx")).withColumn("y", F.col("y") + F.col("dy"))
     keys = ["sample", "feature", "step", "direction"]
-    hit = within(points.cells.select("sample", "x", "y"), moved.select(*keys, "active", "x", "y"), radius).select(*keys, "active").distinct()
+    moved = actives.select("sample", "feature", "x", "y").crossJoin(F.broadcast(shifts))
+    hit = near(moved, points.cells.select("sample", "x", "y"), radius, ["sample"], True)
     covered = hit.groupBy(*keys).agg(F.count("*").alias("n_covered"))
     total = actives.groupBy("sample", "feature").agg(F.count("*").alias("n_active")).crossJoin(F.broadcast(shifts)).select(*keys, "n_active")
     out = total.join(covered, keys, "left").na.fill(0, ["n_covered"])
@@ -76,13 +88,12 @@ def radius_stats(points: PointSet, actives: DataFrame, target: str, names: list[
     """Per sample, feature and displacement: the Jaccard index of the domains over all anchors, its change, and coverage.
     Displacements below ``min_coverage`` have NULL and counts 0; no active point (NULL coverage) passes."""
     keys = ["sample", "feature", "step", "direction"]
-    target_domain = domains(points, actives.where(F.col("feature") == target), radius).select("obs_idx", F.lit(1).alias("t"))
-    anchors = points.cells.select("sample", "obs_idx", "x", "y").join(target_domain, "obs_idx", "left").na.fill(0, ["t"])
+    places = points.cells.select("sample", "obs_idx", "x", "y")
+    target_domain = domains(places, actives, [target], radius).select("obs_idx", F.lit(1).alias("t"))
+    anchors = once(places.join(target_domain, "obs_idx", "left").na.fill(0, ["t"]), "anchors")
     wanted = actives.where(F.col("feature").isin(names))
-    still = domains(points, wanted, radius).join(target_domain, "obs_idx", "left").groupBy("sample", "feature").agg(F.count("*").alias("of"), F.sum(F.coalesce("t", F.lit(0))).alias("oi"))
-    moved = wanted.crossJoin(F.broadcast(shifts)).select(*keys, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    hit = within(anchors, moved, radius).select(*keys, "obs_idx", "t").distinct()
-    met = hit.groupBy(*keys).agg(F.count("*").alias("nb"), F.sum("t").alias("i"))
+    still = domains(anchors, wanted, names, radius).groupBy("sample", "feature").agg(F.count("*").alias("of"), F.sum("t").alias("oi"))
+    met = domains(anchors, wanted, names, radius, shifts).groupBy(*keys).agg(F.count("*").alias("nb"), F.sum("t").alias("i"))
     per_sample = anchors.groupBy("sample").agg(F.count("*").alias("cnt_all"), F.sum("t").alias("ot"))
     listed = F.explode(F.array(*[F.lit(n) for n in names])).alias("feature")
     rows = per_sample.select("*", listed).crossJoin(F.broadcast(shifts)).join(still, ["sample", "feature"], "left").join(met, keys, "left")
@@ -147,12 +158,13 @@ def domain_map(points: PointSet, target: str, feature: str, radius: float = 15.0
     check_radius(radius)
     names = names_of([target, feature])
     actives, _ = active_points(points, names, quantiles, cutoffs, niches)
-    moved = actives.where(F.col("feature") == feature).select("sample", (F.col("x") + shift[0]).alias("x"), (F.col("y") + shift[1]).alias("y"), "feature")
+    places = points.cells.select("obs_idx", "sample", "x", "y")
+    moved = shift_table(places.sparkSession, [(0.0, "shift", float(shift[0]), float(shift[1]))])
     marks = {
         "target_positive": actives.where(F.col("feature") == target).select("obs_idx"), "feature_positive": actives.where(F.col("feature") == feature).select("obs_idx"),
-        "target_domain": domains(points, actives.where(F.col("feature") == target), radius).select("obs_idx"), "feature_domain": domains(points, moved, radius).select("obs_idx"),
+        "target_domain": domains(places, actives, [target], radius).select("obs_idx"), "feature_domain": domains(places, actives, [feature], radius, moved).select("obs_idx"),
     }
-    out = points.cells.select("obs_idx", "sample", "x", "y")
+    out = places
     for name, rows in marks.items():
         out = out.join(rows.withColumn(name, F.lit(True)), "obs_idx", "left").na.fill(False, [name])
     return out
@@ -165,9 +177,8 @@ def pairwise_radius_scores(points: PointSet, names, step: float, radius: float =
     shifts = shift_table(spark, shift_rows([step], direction_mode == "euclidean"))
     actives, _ = active_points(points, names, quantiles, cutoffs, niches)
     anchors = points.cells.select("sample", "obs_idx", "x", "y")
-    still = domains(points, actives, radius)
-    moved = actives.crossJoin(F.broadcast(shifts)).select("sample", "feature", "direction", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    hit = within(anchors, moved, radius).select("sample", "feature", "direction", "obs_idx").distinct()
+    still = once(domains(anchors, actives, names, radius).select("sample", "feature", "obs_idx"), "domains")
+    hit = once(domains(anchors, actives, names, radius, shifts).select("sample", "feature", "direction", "obs_idx"), "moved-domains")
     own = still.select("sample", F.col("feature").alias("target"), "obs_idx")
     a0 = own.groupBy("sample", "target").agg(F.count("*").alias("a0"))
     b0 = still.groupBy("sample", "feature").agg(F.count("*").alias("b0"))
