@@ -1,6 +1,7 @@
 """Functions by the names that users of displacement analytics know, over ``PointSet`` and DataFrames.
 
-All results are lazy tables on small handles. ``workers`` is accepted and means nothing here.
+Results are tables on small handles; what several of them read (rasters, labels, active points) is written when a function is
+called, the rest is lazy. ``workers`` is accepted and means nothing here.
 """
 
 from __future__ import annotations
