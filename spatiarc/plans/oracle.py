@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spatiarc.functions.expressions import operator_shift_rows, rounded_ratio_sql, shift_rows
+from spatiarc.functions.expressions import operator_shift_rows, radius_steps, rounded_ratio_sql, shift_rows
 from spatiarc.sources.fixtures import CELLS_SQL, GENES, SETS, expr_sql
 
 T, F1, F2 = "hypoxia_score", "inflammation_score", "noise_score"
@@ -131,9 +131,9 @@ cover AS (SELECT a.sample, a.feature, s.step, s.direction, a.n_active, coalesce(
   LEFT JOIN (SELECT sample, feature, step, direction, count(DISTINCT active) AS n FROM pairs GROUP BY ALL) p USING (sample, feature, step, direction))"""
 
 
-def radius_vectors(euclidean: bool = False, least: float = 0.0) -> str:
+def radius_vectors(euclidean: bool = False, least: float = 0.0, steps=(25.0, 75.0)) -> str:
     j = rounded_ratio_sql
-    return f"""WITH {radius_ctes([25.0, 75.0], [F1], euclidean)},
+    return f"""WITH {radius_ctes(steps, [F1], euclidean)},
 tdom AS (SELECT sample, obs_idx FROM dom WHERE feature = '{T}'),
 per AS (SELECT sample, count(*) AS n_anchors FROM rc GROUP BY sample), pt AS (SELECT sample, count(*) AS ot FROM tdom GROUP BY sample),
 o AS (SELECT d.sample, d.feature, count(*) AS nd, count(t.obs_idx) AS oi FROM dom d LEFT JOIN tdom t USING (obs_idx) WHERE d.feature = '{F1}' GROUP BY ALL),
@@ -315,3 +315,19 @@ WHERE NOT EXISTS (SELECT 1 FROM k n WHERE n.sample = k.sample AND n.gx = k.gx +
     "kde_curve": f"""{SCORES}, v AS (SELECT round(projected_score, 6) AS v FROM sp), a AS (SELECT count(*) AS n, min(v) - greatest((max(v) - min(v)) * 0.12, 1e-6) AS lo, max(v) + greatest((max(v) - min(v)) * 0.12, 1e-6) AS hi, power(count(*), -0.2) * stddev_samp(v) AS h FROM v),
 l AS (SELECT n, h, lo + range * ((hi - lo) / 399) AS x FROM a, range(400)) SELECT round(x, 5) AS x, round(sum(exp(-0.5 * ((x - v) / h) * ((x - v) / h))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 5) AS density FROM l, v GROUP BY l.x""",
 }
+
+
+def all_samples(sql: str) -> str:
+    """The same SQL over every sample."""
+    cut = " WHERE sample IN ('click', 'view')"
+    assert sql.count(cut) == 1
+    return sql.replace(cut, "")
+
+
+ORACLE_SQL |= {f"{name}_all_samples": all_samples(ORACLE_SQL[name]) for name in ("radius_domain", "radius_domain_categories", "pairwise_radius")}
+ORACLE_SQL |= {
+    "radius_coverage_all_samples": all_samples(ORACLE_SQL["radius_coverage"].replace(shifts(shift_rows([75.0])), shifts(shift_rows(radius_steps())))),
+    "vectors_radius_sphere_all_samples": all_samples(radius_vectors(steps=radius_steps())),
+    "vectors_radius_euclidean_all_samples": all_samples(radius_vectors(True, steps=radius_steps())),
+    "radius_min_coverage_all_samples": all_samples(radius_vectors(least=0.9, steps=radius_steps())),
+}

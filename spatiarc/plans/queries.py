@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spatiarc.api import spatial_vector
-from spatiarc.functions.expressions import shift_rows, shift_table
+from spatiarc.functions.expressions import radius_steps, shift_rows, shift_table
 from spatiarc.functions.statistics import density, proportion_test
 from spatiarc.operators import adjust as A
 from spatiarc.operators import cutoffs as C
@@ -21,7 +21,7 @@ from spatiarc.streaming.raster_stream import stream_raster
 
 T, F1, F2 = "hypoxia_score", "inflammation_score", "noise_score"
 FEATURES = [F1, F2]
-RADIUS, RADIUS_STEPS, RADIUS_SAMPLES = 15.1, [25, 75], ["click", "view"]
+RADIUS, RADIUS_STEPS, RADIUS_SAMPLES = 15.1, [25, 75], ["click", "view"]  # queries named ..._all_samples take every sample and the default steps
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
@@ -133,26 +133,26 @@ def _matrix(s, d):
     return rounded(D.pairwise_matrix(_pairs(s, d), [T, F1, F2]), T, F1, F2)
 
 
-def _radius_points(s, d):
-    return fixture(s, d).where(RADIUS_SAMPLES)
+def _radius_points(s, d, samples=RADIUS_SAMPLES):
+    return fixture(s, d).where(samples)
 
 
-def _radius_domain(s, d):
-    return R.domain_map(_radius_points(s, d), T, F1, RADIUS, (20.0, -10.0)).select("obs_idx", "sample", "target_positive", "feature_positive", "target_domain", "feature_domain")
+def _radius_domain(s, d, samples=RADIUS_SAMPLES):
+    return R.domain_map(_radius_points(s, d, samples), T, F1, RADIUS, (20.0, -10.0)).select("obs_idx", "sample", "target_positive", "feature_positive", "target_domain", "feature_domain")
 
 
-def _radius_coverage(s, d):
-    points = _radius_points(s, d)
+def _radius_coverage(s, d, samples=RADIUS_SAMPLES, steps=(75,)):
+    points = _radius_points(s, d, samples)
     actives, _ = R.active_points(points, [F1])
-    return rounded(R.shift_coverage(points, actives, shift_table(s, shift_rows([75])), RADIUS), "coverage")
+    return rounded(R.shift_coverage(points, actives, shift_table(s, shift_rows(radius_steps(steps))), RADIUS), "coverage")
 
 
-def _radius_vectors(**how):
-    return lambda s, d: _vector_rows(R.radius_vectors(_radius_points(s, d), T, [F1], RADIUS_STEPS, RADIUS, **how))
+def _radius_vectors(samples=RADIUS_SAMPLES, steps=RADIUS_STEPS, **how):
+    return lambda s, d: _vector_rows(R.radius_vectors(_radius_points(s, d, samples), T, [F1], steps, RADIUS, **how))
 
 
-def _radius_pairs(s, d):
-    return R.pairwise_radius_scores(_radius_points(s, d), [T, F1, F2], 75, RADIUS)
+def _radius_pairs(s, d, samples=RADIUS_SAMPLES):
+    return R.pairwise_radius_scores(_radius_points(s, d, samples), [T, F1, F2], 75, RADIUS)
 
 
 def _sets(s):
@@ -231,8 +231,8 @@ def _paired_scores(s, d):
     return rounded(P.paired_scores(D.projected_score(_vectors(s, d), ["sample"]), F1, F2), "a", "b")
 
 
-def _domain_categories(s, d):
-    return P.category_counts(P.domain_categories(_radius_points(s, d), T, F1, radius=RADIUS, shift=(20.0, -10.0)))
+def _domain_categories(s, d, samples=RADIUS_SAMPLES):
+    return P.category_counts(P.domain_categories(_radius_points(s, d, samples), T, F1, radius=RADIUS, shift=(20.0, -10.0)))
 
 
 def _niche_positive(s, d, cells=False):
@@ -307,6 +307,13 @@ QUERIES = {
     "vectors_radius_euclidean": _radius_vectors(direction_mode="euclidean"),
     "radius_min_coverage": _radius_vectors(min_coverage=0.9),
     "pairwise_radius": _radius_pairs,
+    "radius_domain_all_samples": lambda s, d: _radius_domain(s, d, None),
+    "radius_domain_categories_all_samples": lambda s, d: _domain_categories(s, d, None),
+    "radius_coverage_all_samples": lambda s, d: _radius_coverage(s, d, None, None),
+    "vectors_radius_sphere_all_samples": _radius_vectors(None, None),
+    "vectors_radius_euclidean_all_samples": _radius_vectors(None, None, direction_mode="euclidean"),
+    "radius_min_coverage_all_samples": _radius_vectors(None, None, min_coverage=0.9),
+    "pairwise_radius_all_samples": lambda s, d: _radius_pairs(s, d, None),
     "module_gene_bins": lambda s, d: rounded(M.gene_bins(fixture(s, d), 5), "mean"),
     "module_scores": _module_scores,
     "overlay_counts_cell": _overlay("cell"),
