@@ -49,6 +49,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
 
 
+def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, name: str = "__fp") -> DataFrame:
+    """``docs`` and the fingerprint of ``text`` as a signed long."""
+
+    def run(batches):
+        for b, texts in text_slices(batches):
+            fps = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
+            yield with_columns(b, b.schema.names, **{name: pa.array(fps, pa.int64())})
+
+    return docs.mapInArrow(run, field_sql(docs, *docs.columns) + f", {name} bigint")
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id`` and ``fp``, the fingerprint as a signed long."""
 
@@ -172,31 +183,39 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) ->
 
 
 def near_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``prints`` (doc_id, fp) with ``component_id``, the smallest doc_id reachable over links of at most ``radius`` bits."""
+    """``prints`` (doc_id, fp) with ``component_id``, the smallest doc_id reachable over links of at most ``radius`` bits, and
+    ``root``, the component's least fingerprint, which tells apart components of one ``component_id``."""
     scratch = Scratch(prints.sparkSession, "simhash")
     ids = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "ids")
     links = scratch.save(near_links(ids.select("fp"), radius).distinct(), "links")
     roots = connected_components(links, "simhash-components")
     ids = ids.join(roots, ids.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = ids.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = ids.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = ids.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row."""
+    """``doc_id, fp, component_id, root`` of every row."""
     prints = Scratch(docs.sparkSession, "prints").save(fingerprints(docs, shingle), "prints")
     return near_components(prints, radius)
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows whose doc_id names their group; of repeated rows of that doc_id, one."""
+    """One row of each group: of the rows whose doc_id names it, one with their least fingerprint.
+
+    A fingerprint lies in one group only, so doc_id and fingerprint name the row's group even where groups share a doc_id or
+    have none. Where every doc_id that names a group stands in one row, the doc_id is enough and texts aren't hashed again.
+    """
     groups = Scratch(docs.sparkSession, "groups").save(simhash_groups(docs, shingle, radius), "groups")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__n"))
-    repeated = kept.where("__n > 1").limit(1).count() > 0
-    kept = kept.withColumnRenamed("doc_id", "__id")
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept["__id"])).select(*docs.columns)
-    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+    names = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(names).alias("names")).where("names AND n > 1").limit(1).count() > 0
+    kept = groups.where(names).groupBy("root", "doc_id").agg(F.min("fp").alias("__kept_fp")).select(F.col("doc_id").alias("__id"), "__kept_fp")
+    if not repeated:
+        return docs.join(kept, docs.doc_id.eqNullSafe(kept["__id"])).select(*docs.columns)
+    rows = with_fingerprint(docs, shingle)
+    rows = rows.join(kept, rows.doc_id.eqNullSafe(kept["__id"]) & (rows["__fp"] == kept["__kept_fp"]))
+    return rows.dropDuplicates(["doc_id", "__fp"]).select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -412,6 +412,27 @@ def test_simhash_odd(spark, odd, none):
     assert ids == sorted({w[2] for w in want if w[2] is not None}) and kept.columns == odd.columns
 
 
+def test_one_row_of_each_group(spark):
+    """Groups without ids, and ids that stand in several groups."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(1000)) for _ in range(60)) for _ in range(8)]
+    cases = {
+        "unrelated rows without ids": [(None, 0), (None, 1), (None, 2), (None, 2), (7, 3)],
+        "one id with two texts": [(5, 0), (5, 1), (6, 1), (9, 2)],
+        "a name in another group too": [(1, 0), (4, 0), (4, 1), (2, 1), (4, 2), (8, 2), (4, 3)],
+        "a name once, and once where it names nothing": [(5, 0), (1, 1), (5, 1)],
+        "one group without ids beside null ids of others": [(None, 0), (1, 1), (None, 1), (2, 2), (None, 2)],
+        "ids of one row each": [(1, 0), (2, 0), (3, 1)],
+    }
+    for case, given in cases.items():
+        rows = [document(i, texts[k]) for i, k in given]
+        kept = q7.keep_one_per_group(spark.createDataFrame(rows, DOCS).repartition(3))
+        assert kept.columns == DOCS.replace(",", "").split()[::2]
+        got = [(r["doc_id"], texts.index(r["text"])) for r in rows_of(kept)]
+        least = {k: min((i for i, j in given if j == k and i is not None), default=None) for _, k in given}
+        assert key(got) == key([(i, k) for k, i in least.items()]), case
+
+
 @pytest.mark.parametrize("heavy", [8, 10_000])
 def test_simhash_links(spark, heavy):
     """Clusters of near fingerprints among random ones, with every shard heavy or none; links only at the radius too."""
