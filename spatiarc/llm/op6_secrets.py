@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and a password guess-cost dynamic program over values in credential contexts.
 
 Base spans are the matches of three patterns. The method adds spans of kind ``guess``: values that stand after a credential
-word (a wider set than the base pattern's, with any non-space characters) and whose guess cost is at least
-``10 ** GUESSES``. The cost of a value is that of its cheapest segmentation into words, dates, repeats, keyboard walks and
-brute-force spans: the sum of log10 guesses of the spans, plus log10 of the factorial of their number, since an attacker
-must also try the orders. Base spans stay whatever they cost.
+word (a wider set than the base pattern's, with any non-space characters), past the scheme ``Bearer`` if it comes first, and
+whose guess cost is at least ``10 ** GUESSES``. The cost of a value is that of its cheapest segmentation into words, dates,
+repeats, keyboard walks and brute-force spans: the sum of log10 guesses of the spans, plus log10 of the factorial of their
+number, since an attacker must also try the orders. Base spans stay whatever they cost.
 
 Defined cases: null and empty texts have no spans; spans are half-open in code points, found in whole texts of any length;
 repeated rows stay; other columns, nulls among them, play no part.
@@ -27,8 +27,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)"""
-    r"""["']?(?:\x20*(?::|=>?)\x20*|\x20+(?=Bearer\b))["'`]?([^\s"'`<>,;]{6,})""",
+    r"""(?:(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)"""
+    r"""["']?\x20*(?::|=>?)\x20*["'`]?(?:Bearer\x20+["'`]?)?+|\bBearer\x20+["'`]?)([^\s"'`<>,;]{6,})""",
     re.I | re.A,
 )
 #: One of these is in every text that the two patterns above can match; a plain search for them is cheaper.
@@ -125,7 +125,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text) if named else ():
         value = m.group(1).rstrip(".!?)]}")
-        if len(value) >= SHORTEST and not value.startswith(("http://", "https://")) and guess_cost(value) >= GUESSES:
+        if len(value) >= SHORTEST and value.lower() != "bearer" and not value.startswith(("http://", "https://")) and guess_cost(value) >= GUESSES:
             spans.append(("guess", m.start(1), m.start(1) + len(value)))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))

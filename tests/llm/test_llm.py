@@ -338,6 +338,18 @@ def test_guess_costs():
     assert ("guess", 5, 17) in q6.find_secrets("pwd: xK9#mQ2$vL7p") and not q6.find_secrets("pwd: password1")
 
 
+@pytest.mark.parametrize("head", ["Authorization: Bearer ", "auth: Bearer ", "token: Bearer ", '"token": "bearer  ', "token Bearer ", "bearer: "])
+def test_bearer_tokens(head):
+    """The value is what follows the scheme, never the scheme."""
+    value = "xK9#mQ2$vL7pTz"
+    text = f"x {head}{value} y"
+    at = text.index(value)
+    assert [s for s in q6.find_secrets(text) if s[0] == "guess"] == [("guess", at, at + len(value))]
+    assert value not in q6.redact(text, q6.find_secrets(text))
+    for rest in ("", "\n", "abc", " \n" + value):  # no value, or one that is too short
+        assert not [s for s in q6.find_secrets(head + rest) if s[0] == "guess"]
+
+
 def brute_cost(value):
     """The least over all segmentations, by trying them."""
     ends, per_char, n = q6.cheap_spans(value), math.log10(q6._alphabet(value)), len(value)
