@@ -2,25 +2,34 @@
 
 Every window of ``span`` bytes is named after an anchor: the position of the least hash of 8 bytes among the window's first
 ``reach`` positions (leftmost of equals). Equal windows have the same anchor at the same distance, so only suffixes at
-anchors are indexed, a few per hundred bytes. An entry is (k, f): ``k`` fingerprints the ``span - reach + 1`` bytes from the
-anchor on, which all its windows share; ``f`` fingerprints the union of its windows. Suffixes are ordered by these
-fingerprints instead of by their bytes, which serves as well for bringing equal ones together.
+anchors are indexed, a few per hundred bytes. An entry is (k, f): ``k`` fingerprints the suffix's first ``core`` bytes, which
+all its windows share; ``f`` fingerprints the union of its windows. Suffixes are ordered by ``k`` instead of by their
+bytes: that brings equal ones together as well, and the bytes themselves would fill the disk (README has the figures).
 
-``SuffixFamily`` holds sorted arrays (k, f, count) as written tables. A new batch becomes an array of level 0; while two
-arrays have the same level they merge into one of the next, so each entry is rewritten a logarithmic number of times.
-``scan`` merges the arrays that are left and keeps the entries that repeat. Entries with equal (k, f) repeat in all their windows. Of
-entries that share only ``k``, the bytes around the common core are fetched and windows are compared one distance at a
-time, which also finds matches that begin or end inside an entry; this is exact at the byte.
+``SuffixFamily`` holds sorted arrays (k, n, and the least and greatest text) as written tables. A new batch becomes an array
+of level 0 and is merge-scanned against the levels present: while the last level has its size the two merge into one of the
+next level, so each suffix is rewritten a logarithmic number of times, and the levels that stay are scanned beside it. Every
+scan adds the cores that the new batch repeats to ``hits``, so after each batch all long matches so far are known.
+
+Entries with equal (k, f) repeat in all their windows. Of entries that share only ``k``, windows are compared by what lies
+around the core: by all bytes but ``STEP`` first, then one distance at a time, which also finds matches that begin or
+end inside an entry; this is exact at the byte. Both comparisons are counts by fingerprint with partial sums, so a passage in a
+third of all rows is dealt over as many tasks as any other.
 
 Rows are named by a 128-bit hash of their text, so exact copies meet by partial aggregation and no copy group is ever
-listed. Defined cases: null and empty texts have no bytes and keep none; texts shorter than ``span`` stay whole; matches
-never cross rows; repeated rows are rows (each is a repeat of the other); extra columns and nulls in them play no part.
+listed. A core that lies in different texts, or in copies of one, also marks its rows: ``shares_passage`` is 1 wherever
+``core + reach - 1`` bytes (272, about fifty words) repeat in another row, and never for less than ``core`` bytes.
+
+Defined cases: null and empty texts have no bytes and keep none; texts shorter than ``span`` stay whole; an empty table
+gives no rows; very long texts are indexed in pieces of ``SLICE`` bytes that overlap by a window, so memory follows the text's
+length only once; matches never cross rows; repeated rows are rows (each is a repeat of the other); of tied anchors the
+leftmost counts; extra columns and nulls in them play no part.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +40,17 @@ from pyspark.sql import functions as F
 from spatiarc.llm.common import field_sql, table, text_slices, with_columns
 from spatiarc.plans.scratch import Scratch
 
-SPAN, REACH, BATCHES, SLICE = 400, 128, 4, 2 << 20
+SPAN, REACH, CORE, STEP, SLICE = 400, 128, 145, 16, 2 << 20
+#: Bytes of text to a batch, and the least number of batches.
+BATCH_BYTES, LEAST_BATCHES = 64 << 30, 4
 ENTRY = "k bigint, f bigint, t1 bigint, t2 bigint, a bigint, lo int, hi int"
 
 
+def core_size(span: int, reach: int) -> int:
+    """The bytes behind an anchor that fingerprints cover: what all windows share, ``CORE`` at most."""
+    return min(CORE, span - reach + 1)
+
+
 def anchors(buffer: bytes, ends: list[tuple[int, int]], span: int = SPAN, reach: int = REACH):
     """Anchors of all windows in the texts at (start, end) of ``buffer``: text number, anchor, and the least and greatest
     distance back to a window's start."""
@@ -72,227 +88,221 @@ def text_key(text: bytes) -> tuple[int, int]:
     return int(h[0]), int(h[1])
 
 
-def entries_of(texts: list[bytes], span: int = SPAN, reach: int = REACH) -> pa.RecordBatch:
-    buffer = b"".join(texts)
-    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    number, a, lo, hi = anchors(buffer, list(zip(starts.tolist(), starts[1:].tolist(), strict=False)), span, reach)
-    core, view, h = span - reach + 1, memoryview(buffer), xxhash.xxh64_intdigest
-    k = np.fromiter((h(view[i : i + core]) for i in a.tolist()), np.uint64, len(a)).view(np.int64)
-    parts = zip((a - hi).tolist(), (a - lo + span).tolist(), (lo * 1024 + hi).tolist(), strict=True)
-    f = np.fromiter((h(view[i:j], s) for i, j, s in parts), np.uint64, len(a)).view(np.int64)
-    keys = np.array([text_key(t) for t in texts], np.int64).reshape(-1, 2)[number]
-    arrays = [k, f, keys[:, 0], keys[:, 1], a - starts[number], lo.astype(np.int32), hi.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["k", "f", "t1", "t2", "a", "lo", "hi"])
+def pieces(texts: list[bytes], span: int, most: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, start, bytes) in groups of about ``most`` bytes; a longer text comes in several, which overlap so that each
+    window lies in one of them."""
+    held: list[tuple[int, int, bytes]] = []
+    total = 0
+    for i, t in enumerate(texts):
+        for start in range(0, max(len(t) - span + 1, 0), most):
+            part = t[start : start + most + span - 1]
+            held.append((i, start, part))
+            total += len(part)
+            if total >= most:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
+def entries_of(texts: list[bytes], span: int = SPAN, reach: int = REACH, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    core, h = core_size(span, reach), xxhash.xxh64_intdigest
+    names = np.array([text_key(t) for t in texts], np.int64).reshape(-1, 2)
+    for group in pieces(texts, span, most):
+        buffer = b"".join(x for _, _, x in group)
+        starts = np.concatenate(([0], np.cumsum([len(x) for _, _, x in group]))).astype(np.int64)
+        number, a, lo, hi = anchors(buffer, list(zip(starts.tolist(), starts[1:].tolist(), strict=False)), span, reach)
+        view = memoryview(buffer)
+        k = np.fromiter((h(view[i : i + core]) for i in a.tolist()), np.uint64, len(a)).view(np.int64)
+        parts = zip((a - hi).tolist(), (a - lo + span).tolist(), (lo * 1024 + hi).tolist(), strict=True)
+        f = np.fromiter((h(view[i:j], s) for i, j, s in parts), np.uint64, len(a)).view(np.int64)
+        of, offset = (np.array(c, np.int64) for c in list(zip(*group, strict=True))[:2])
+        keys = names[of[number]]
+        arrays = [k, f, keys[:, 0], keys[:, 1], a - starts[number] + offset[number], lo.astype(np.int32), hi.astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["k", "f", "t1", "t2", "a", "lo", "hi"])
 
 
 def suffix_entries(docs: DataFrame, span: int = SPAN, reach: int = REACH) -> DataFrame:
     def run(batches):
         for _, texts in text_slices(batches, most=SLICE):
-            yield entries_of(texts, span, reach)
+            yield from entries_of(texts, span, reach)
 
     return docs.select("text").mapInArrow(run, ENTRY)
 
 
 class SuffixFamily:
-    """Sorted arrays (k, f, n) by level, under the shared folder."""
+    """Sorted arrays (k, n, x, y) by level, under the shared folder: how often a core occurs, and the least and greatest
+    short name of its texts; and ``hits``, the cores that repeat, with ``apart``: whether in different texts."""
 
     def __init__(self, spark: SparkSession):
         self.scratch, self.levels, self.made = Scratch(spark, "suffixes"), [], 0  # levels: (level, name, table), oldest first
+        self.hits: list[DataFrame] = []
 
     def _write(self, rows: DataFrame, level: int) -> None:
         self.made += 1
         name = f"level{level}-{self.made}"
-        counted = rows.groupBy("k", "f").agg(F.sum("n").alias("n")).sortWithinPartitions("k", "f")
+        counted = rows.groupBy("k").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).sortWithinPartitions("k")
         self.levels.append((level, name, self.scratch.save(counted, name)))
 
+    def _found(self, rows: DataFrame) -> None:
+        hits = rows.where("n > 1").select("k", (F.col("x") != F.col("y")).alias("apart"))
+        self.hits.append(self.scratch.save(hits, f"hits{self.made}-{len(self.hits)}"))
+
     def add(self, entries: DataFrame) -> None:
-        """A batch becomes an array of its own; arrays of equal level merge."""
-        self._write(entries.select("k", "f", F.lit(1).cast("bigint").alias("n")), 0)
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+        """Sort a batch, merge-scan it against the levels present, and merge levels of equal size."""
+        short = F.shiftright("t1", 32).cast("int")
+        self._write(entries.select("k", F.lit(1).cast("bigint").alias("n"), short.alias("x"), short.alias("y")), 0)
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:  # a merge is a scan of both
             (level, new, a), (_, old, b) = self.levels.pop(), self.levels.pop()
             self._write(a.unionByName(b), level + 1)
             for name in (new, old):
                 self.scratch.drop(name)
-            release(self.scratch.spark)
+        newest = self.levels[-1][2]
+        self._found(newest)
+        for _, _, level in self.levels[:-1]:
+            there = level.select("k", F.col("n").alias("m"), F.col("x").alias("u"), F.col("y").alias("v"))
+            both = newest.join(there, "k")
+            self._found(both.select("k", (F.col("n") + F.col("m")).alias("n"), F.least("x", "u").alias("x"), F.greatest("y", "v").alias("y")))
 
     def scan(self) -> DataFrame:
-        """Entries that repeat over all arrays: ``k, f, n`` and ``shared``, whether others have the same core."""
-        merged = self.levels[0][2]
-        for _, _, other in self.levels[1:]:
-            merged = merged.unionByName(other)
-        if len(self.levels) > 1:
-            merged = merged.groupBy("k", "f").agg(F.sum("n").alias("n"))
-        shared = merged.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k", F.lit(True).alias("s"))
-        return merged.join(shared, "k", "left").select("k", "f", "n", F.col("s").isNotNull().alias("shared")).where("n > 1 OR shared")
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that no one refers to any more; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def compare_windows(k, lo, hi, left: list[bytes], right: list[bytes], span: int = SPAN, reach: int = REACH) -> np.ndarray:
-    """For each entry, the distances (as two 64-bit masks) at which its window equals the one of another entry with its ``k``.
-
-    ``left`` are the ``hi`` bytes before the anchor, ``right`` those after the core. Windows at one distance are compared
-    by multilinear 64-bit hashes, kept up to date from one distance to the next.
-    """
-    n = len(k)
-    rng = np.random.default_rng(20)
-    cl, cr, ck = (rng.integers(1, 1 << 62, reach, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
-    near = np.zeros((n, reach), np.uint8)  # left bytes outwards from the anchor
-    after = np.zeros((n, reach), np.uint8)
-    for i, (a, b) in enumerate(zip(left, right, strict=True)):
-        near[i, : len(a)] = np.frombuffer(a, np.uint8)[::-1]
-        after[i, : len(b)] = np.frombuffer(b, np.uint8)
-    h = k.astype(np.int64).view(np.uint64) * ck[0]
-    h = h ^ (h >> np.uint64(31))
-    hl, hr = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(reach - 1):
-        hr += cr[j] * (after[:, j].astype(np.uint64) + np.uint64(1))
-    masks = np.zeros((n, 2), np.uint64)
-    for d in range(reach):
-        if d:
-            hl += cl[d - 1] * (near[:, d - 1].astype(np.uint64) + np.uint64(1))
-            hr -= cr[reach - 1 - d] * (after[:, reach - 1 - d].astype(np.uint64) + np.uint64(1))
-        on = np.flatnonzero((lo <= d) & (d <= hi))
-        if len(on) < 2:
-            continue
-        mixed = (h[on] + hl[on] * ck[1]) ^ (hr[on] * ck[2])
-        order = np.argsort(mixed, kind="stable")
-        s, who = mixed[order], on[order]
-        same = (s[1:] == s[:-1]) & (k[who[1:]] == k[who[:-1]])
-        twice = np.zeros(len(s), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        masks[who[twice], d >> 6] |= np.uint64(1 << (d & 63))
-    return masks
-
-
-def partial_masks(shared: DataFrame, keyed: DataFrame, span: int = SPAN, reach: int = REACH) -> DataFrame:
-    """``k, f, m0, m1`` of entries (one row for each k, f) whose core others share, from the texts of ``keyed`` (t1, t2, text)."""
-    per_text = shared.groupBy("t1", "t2").agg(F.collect_list(F.struct("k", "f", "a", "lo", "hi")).alias("es"))
-    core = span - reach + 1
-
-    def cut(batches):
+        """``k, apart`` of all cores that repeat."""
+        rows = self.hits[0]
+        for other in self.hits[1:]:
+            rows = rows.unionByName(other)
+        return rows.groupBy("k").agg(F.max("apart").alias("apart"))
+
+
+def with_text_key(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for b, texts in text_slices(batches):
+            keys = np.array([text_key(t) for t in texts], np.int64).reshape(-1, 2)
+            yield with_columns(b, b.schema.names, t1=pa.array(keys[:, 0]), t2=pa.array(keys[:, 1]))
+
+    return docs.mapInArrow(run, field_sql(docs, *docs.columns) + ", t1 bigint, t2 bigint")
+
+
+def around_cores(keyed: DataFrame, per_text: DataFrame, span: int, step: int) -> DataFrame:
+    """For each entry and run of ``step`` distances from ``p``: a fingerprint of what all their windows share, and the bytes left
+    and right of that which only some of them hold."""
+
+    def run(batches):
         for b, texts in text_slices(batches, most=SLICE):
-            out = {c: [] for c in ("k", "f", "lo", "hi", "left", "right")}
+            out: dict[str, list] = {c: [] for c in ("k", "f", "lo", "hi", "p", "s", "left", "right")}
             for t, es in zip(texts, b.column("es").to_pylist(), strict=True):
+                view = memoryview(t)
                 for e in es:
                     a, lo, hi = e["a"], e["lo"], e["hi"]
-                    for c, v in zip(out, (e["k"], e["f"], lo, hi, t[a - hi : a], t[a + core : a - lo + span]), strict=True):
-                        out[c].append(v)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                    for p in range(lo - lo % step, hi + 1, step):
+                        at, end = a - p, a - p - step + 1 + span
+                        same = xxhash.xxh64_intdigest(view[at:end], p)
+                        row = (e["k"], e["f"], lo, hi, p, same - (same >> 63 << 64), t[a - min(hi, p + step - 1) : at], t[end : a - max(lo, p) + span])
+                        for c, v in zip(out.values(), row, strict=True):
+                            c.append(v)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    schema = "k bigint, f bigint, lo int, hi int, `left` binary, `right` binary"
-    around = keyed.join(per_text, ["t1", "t2"]).select("text", "es").mapInArrow(cut, schema)
-    around = around.groupBy("k", "f").agg(*[F.first(c).alias(c) for c in ("lo", "hi", "left", "right")])  # copies of a text cut the same
+    rows = keyed.join(per_text, ["t1", "t2"]).select("text", "es")
+    return rows.mapInArrow(run, "k bigint, f bigint, lo int, hi int, p int, s bigint, `left` binary, `right` binary")
 
-    def compare(batches):
-        held, rows = [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ks = b.column("k").to_numpy()
-            cut_at = int(np.flatnonzero(ks == ks[-1])[0])  # the last k is held back, it may go on
-            if cut_at:
-                held.append(b.slice(0, cut_at))
-                if (rows := rows + cut_at) >= 50_000:
-                    yield from _masks(held)
-                    held, rows = [], 0
-            elif held and rows >= 50_000 and held[-1].column("k")[-1].as_py() != b.column("k")[0].as_py():
-                yield from _masks(held)
-                held, rows = [], 0
-            held.append(b.slice(cut_at))
-            rows += b.num_rows - cut_at
-        yield from _masks(held)
-
-    def _masks(held):
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        k, lo, hi = (t[c].to_numpy() for c in ("k", "lo", "hi"))
-        m = compare_windows(k, lo, hi, t["left"].to_pylist(), t["right"].to_pylist(), span, reach).view(np.int64)
-        on = np.flatnonzero((m != 0).any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(t["f"].to_numpy()[on]), pa.array(m[on, 0]), pa.array(m[on, 1])], names=["k", "f", "m0", "m1"])
-
-    return around.repartition("k").sortWithinPartitions("k").mapInArrow(compare, "k bigint, f bigint, m0 bigint, m1 bigint")
-
-
-def removed_runs(entries: list[dict], n: int, span: int = SPAN) -> list[tuple[int, int]]:
-    """Maximal runs covered by the repeated windows of a text of ``n`` bytes."""
-    if not entries:
-        return []
-    edge = np.zeros(n + 1, np.int64)
-    for e in entries:
-        a, lo, hi, m = e["a"], e["lo"], e["hi"], (e["m0"] & (1 << 64) - 1) | (e["m1"] & (1 << 64) - 1) << 64
-        if m == (1 << 128) - 1:
-            edge[a - hi] += 1
-            edge[a - lo + span] -= 1
-        else:
-            for d in range(lo, hi + 1):
-                if m >> d & 1:
-                    edge[a - d] += 1
-                    edge[a - d + span] -= 1
-    on = np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]))
-    turn = np.flatnonzero(np.diff(on))
-    return list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
 
+def window_names(runs: DataFrame, step: int) -> DataFrame:
+    """``k, f, d, w``: a fingerprint of the window at each distance of a run."""
 
-def with_text_key(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for b, texts in text_slices(batches):
-            keys = np.array([text_key(t) for t in texts], np.int64).reshape(-1, 2)
-            yield with_columns(b, b.schema.names, t1=pa.array(keys[:, 0]), t2=pa.array(keys[:, 1]))
+        for b in batches:
+            ks, fs, ds, ws = [], [], [], []
+            for r in b.to_pylist():
+                p, left, right = r["p"], r["left"], r["right"]
+                for d in range(max(r["lo"], p), min(r["hi"], p + step - 1) + 1):
+                    n = d - p
+                    w = xxhash.xxh64_intdigest(left[len(left) - n :] + b"|" + right[: step - 1 - n], (r["s"] + d) & 0xFFFFFFFFFFFFFFFF)
+                    ks.append(r["k"]), fs.append(r["f"]), ds.append(d), ws.append(w - (w >> 63 << 64))
+            types = ((ks, pa.int64()), (fs, pa.int64()), (ds, pa.int32()), (ws, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in types], names=["k", "f", "d", "w"])
 
-    return docs.mapInArrow(run, field_sql(docs, *docs.columns) + ", t1 bigint, t2 bigint")
+    return runs.mapInArrow(run, "k bigint, f bigint, d int, w bigint")
+
+
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Those rows whose keys occur more than once."""
+    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), keys)
+
+
+def removed_runs(entries: list[dict], span: int = SPAN) -> list[tuple[int, int]]:
+    """Maximal runs covered by repeated windows; an entry's windows start ``hi`` to ``lo`` before ``a``, or at its distances ``ds``."""
+    starts, ends = [], []
+    for e in entries:
+        a, ds = e["a"], e["ds"]
+        if ds is None:
+            starts.append(a - e["hi"]), ends.append(a - e["lo"] + span)
+        else:
+            starts += [a - d for d in ds]
+            ends += [a - d + span for d in ds]
+    if not starts:
+        return []
+    order = np.argsort(np.array(starts, np.int64), kind="stable")
+    s, e = np.array(starts, np.int64)[order], np.maximum.accumulate(np.array(ends, np.int64)[order])
+    new = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
+    return list(zip(s[new].tolist(), e[np.concatenate((new[1:] - 1, [len(e) - 1]))].tolist(), strict=True))
 
 
-def repeated_entries(docs: DataFrame, span: int = SPAN, reach: int = REACH, batches: int = BATCHES) -> DataFrame:
-    """Per distinct text (t1, t2), its repeated ``entries``: (a, lo, hi, m0, m1), windows from a - hi to a - lo by mask."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "repeats")
+def repeated_entries(docs: DataFrame, scratch: Scratch, span: int = SPAN, reach: int = REACH, batches: int | None = None) -> DataFrame:
+    """Per distinct text (t1, t2) with a core that repeats: its repeated ``entries`` (a, lo, hi, ds) and ``shares``."""
+    step = min(STEP, reach)
+    if batches is None:
+        batches = max(LEAST_BATCHES, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BATCH_BYTES))
     entries = scratch.save(suffix_entries(docs, span, reach), "entries")
-    family = SuffixFamily(spark)
-    for i in range(batches):
-        family.add(entries.where(F.pmod(F.col("t1"), F.lit(batches)) == i))
-    release(spark)
-    hits = scratch.save(family.scan(), "hits")
-    family.scratch.drop()
-    release(spark)
-    found = scratch.save(entries.join(hits, ["k", "f"]), "found")
+    family = SuffixFamily(docs.sparkSession)
+    try:
+        for i in range(batches):
+            family.add(entries.where(F.pmod(F.col("t1"), F.lit(batches)) == i))
+        found = scratch.save(entries.join(family.scan(), "k"), "found")
+    finally:
+        family.scratch.drop()
     scratch.drop("entries")
-    release(spark)
-    one_each = found.where("shared").groupBy("k", "f").agg(F.min(F.struct("t1", "t2", "a", "lo", "hi")).alias("e")).select("k", "f", "e.*")
-    masks = scratch.save(partial_masks(one_each, with_text_key(docs.select("text").where(F.octet_length("text") >= span)), span, reach), "masks")
-    release(spark)
-    whole = found.where("n > 1").select("t1", "t2", "a", "lo", "hi", F.lit(-1).cast("bigint").alias("m0"), F.lit(-1).cast("bigint").alias("m1"))
-    part = found.where("n = 1").join(masks, ["k", "f"]).select("t1", "t2", "a", "lo", "hi", "m0", "m1")
-    return scratch.save(whole.union(part).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "lo", "hi", "m0", "m1")).alias("entries")), "texts")
-
-
-def remove_repeats(docs: DataFrame, span: int = SPAN, reach: int = REACH, batches: int = BATCHES, digest: bool = False) -> DataFrame:
-    """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``; without ``digest`` also ``kept`` (bytes) and ``runs`` (removed)."""
-    found = repeated_entries(docs, span, reach, batches)
-    release(docs.sparkSession)
-    rows = with_text_key(docs.select("doc_id", "text")).join(found, ["t1", "t2"], "left").select("doc_id", "text", "entries")
+    one_each = found.groupBy("k", "f").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "a", "lo", "hi")).alias("e"))
+    one_each = scratch.save(one_each.select("k", "f", "n", "e.*"), "one-each")
+    per_text = repeated(one_each, ["k"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("k", "f", "a", "lo", "hi")).alias("es"))
+    keyed = with_text_key(docs.select("text").where(F.octet_length("text") >= span))
+    around = scratch.save(around_cores(keyed, per_text, span, step).dropDuplicates(["k", "f", "p"]), "around")  # copies of a text are cut the same
+    windows = scratch.save(window_names(repeated(around, ["k", "p", "s"]), step), "windows")
+    some = repeated(windows, ["k", "d", "w"]).groupBy("k", "f").agg(F.sort_array(F.collect_set("d")).alias("ds"))
+    states = one_each.select("k", "f", "n").join(some, ["k", "f"], "left")
+    states = states.select("k", "f", ((F.col("n") > 1) | F.col("ds").isNotNull()).alias("on"), F.when(F.col("n") == 1, F.col("ds")).alias("ds"))
+    rows = found.join(states, ["k", "f"])
+    one = F.when(F.col("on"), F.struct("a", "lo", "hi", "ds"))
+    by = rows.groupBy("t1", "t2").agg(F.collect_set(one).alias("entries"), F.max("apart").alias("apart"), F.count("*").alias("n"), F.size(F.collect_set("a")).alias("m"))
+    return scratch.save(by.select("t1", "t2", "entries", (F.col("apart") | (F.col("n") > F.col("m"))).alias("shares")), "texts")
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, reach: int = REACH, batches: int | None = None, digest: bool = False) -> DataFrame:
+    """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage``; without ``digest`` also ``kept`` (bytes) and
+    ``runs`` (removed)."""
+    scratch = Scratch(docs.sparkSession, "repeats")
+    try:
+        found = repeated_entries(docs, scratch, span, reach, batches)
+        for name in ("found", "one-each", "around", "windows"):
+            scratch.drop(name)
+    except BaseException:
+        scratch.drop()
+        raise
+    rows = with_text_key(docs.select("doc_id", "text")).join(found, ["t1", "t2"], "left").select("doc_id", "text", "entries", "shares")
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for b, texts in text_slices(batches):
-            runs = [removed_runs(e or [], len(t), span) for t, e in zip(texts, b.column("entries").to_pylist(), strict=True)]
-            kept = [b"".join(t[a:e] for a, e in zip([0, *(y for _, y in r)], [*(x for x, _ in r), len(t)], strict=True)) for t, r in zip(texts, runs, strict=True)]
+            runs = [removed_runs(e or [], span) for e in b.column("entries").to_pylist()]
+            kept = [b"".join(t[a:e] for a, e in zip([0, *(y for _, y in r)], [*(x for x, _ in r), len(t)], strict=True)) if r else t for t, r in zip(texts, runs, strict=True)]
             new = {
                 "n_bytes": pa.array(list(map(len, texts)), pa.int64()), "n_removed": pa.array([len(t) - len(x) for t, x in zip(texts, kept, strict=True)], pa.int64()),
                 "n_spans": pa.array(list(map(len, runs)), pa.int64()), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept],
+                "shares_passage": pa.array([int(bool(x)) for x in b.column("shares").to_pylist()], pa.int32()),
             }
             if not digest:
                 new |= {"kept": pa.array(kept, pa.binary()), "runs": pa.array([[{"start": a, "end": e} for a, e in r] for r in runs], pair)}
             yield with_columns(b, ["doc_id"], **new)
 
-    schema = field_sql(docs, "doc_id") + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    schema = field_sql(docs, "doc_id") + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, shares_passage int"
     return rows.mapInArrow(run, schema + ("" if digest else ", kept binary, runs array<struct<start:bigint,`end`:bigint>>"))
 
 

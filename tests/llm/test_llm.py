@@ -191,6 +191,13 @@ def test_repeats_odd(spark, odd, none):
     assert bytes(full[4]["kept"]) == b"one two three" and full[9]["runs"][0].asDict() == {"start": 0, "end": 1500}
 
 
+def test_repeats_query(spark):
+    """The query on all of ``documents`` against every window of every text."""
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(q4.op4_suffix_dedup(spark, SF)))
+    assert got == brute_repeats(texts, 400)
+
+
 def test_repeats_random_overlaps(spark):
     rng = random.Random(7)
     pool = bytes(rng.choice(b"ab") for _ in range(900)).decode()
@@ -203,14 +210,53 @@ def test_repeats_random_overlaps(spark):
         assert repeats(df, span=50, reach=20, batches=batches) == brute_repeats([t.encode() for t in texts], 50)
 
 
+def test_repeats_of_a_hot_passage(spark):
+    """One passage in every row, between contexts that differ, at lengths about the span; windows that begin or end inside an entry."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for length in (399, 400, 401, 415, 460):
+        passage = noise(length)
+        texts += [noise(rng.randrange(300)) + passage + noise(rng.randrange(300)) for _ in range(30)]
+    assert repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)) == brute_repeats([t.encode() for t in texts], 400)
+
+
+def test_long_texts_come_in_pieces():
+    """Pieces overlap by a window less one byte: the windows of all pieces are those of the whole text."""
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (0, 49, 50, 700, 1000, 5000)]
+    for most in (60, 333, 10_000):
+        windows = Counter()
+        for group in q4.pieces(texts, 50, most):
+            for i, start, part in group:
+                windows.update((i, start + p) for p in range(len(part) - 49))
+        assert windows == Counter({(i, p): 1 for i, t in enumerate(texts) for p in range(len(t) - 49)})
+    covered = lambda most: {(k, a - d) for b in q4.entries_of(texts, 50, 20, most) for k, a, lo, hi in zip(*(b.column(c).to_pylist() for c in ("t1", "a", "lo", "hi")), strict=True) for d in range(lo, hi + 1)}
+    assert covered(60) == covered(333) == covered(10_000)
+
+
+def test_shared_passages(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    passage, short, line = words(60), words(15), words(90)
+    texts = [words(40) + " " + passage + " " + words(40), words(30) + " " + passage, words(80), words(60) + " " + short + " " + words(9), short + " " + words(70), line + " | " + line, words(5), words(5)]
+    texts += [(x := words(90)), x, None]
+    got = {r["doc_id"]: r["shares_passage"] for r in rows_of(q4.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), digest=True))}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 1, 9: 1, 10: 0}
+
+
 def test_suffix_levels_merge(spark):
-    family, e = q4.SuffixFamily(spark), spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "k long, f long")
-    sizes = []
-    for _ in range(5):
-        family.add(e)
+    """Levels merge geometrically, and each new batch is scanned against all levels: its repeats are known at once."""
+    family = q4.SuffixFamily(spark)
+    batches = [[(1, 1)], [(2, 1)], [(1, 2), (3, 3)], [(4, 9)], [(4, 9), (3, 3)]]
+    sizes, known = [], []
+    for batch in batches:
+        family.add(spark.createDataFrame([(k, t << 32) for k, t in batch], "k long, t1 long"))
         sizes.append([level for level, _, _ in family.levels])
+        known.append({r.k: r.apart for r in family.scan().collect()})
     assert sizes == [[0], [1], [1, 0], [2], [2, 0]]
-    assert {(r.k, r.f): (r.n, r.shared) for r in family.scan().collect()} == {(1, 1): (5, True), (1, 2): (5, True), (2, 2): (5, False)}
+    assert known == [{}, {}, {1: True}, {1: True}, {1: True, 3: False, 4: False}]
+    family.scratch.drop()
 
 
 # 5, 9
