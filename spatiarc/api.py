@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import grid_steps, names_of, radius_steps
+from spatiarc.functions.statistics import proportion_test
 from spatiarc.operators import adjust as _adjust
 from spatiarc.operators import displace as _displace
 from spatiarc.operators import radius as _radius
@@ -24,6 +25,7 @@ from spatiarc.operators.raster import edges, feature_map
 from spatiarc.sources.points import PointSet
 
 CUTOFF_METHODS = tuple(METHODS)
+one_sided_proportion_test = proportion_test
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,13 @@ def spatial_binstat(adjusted: DataFrame, bins=(8, 8), min_cutoff=0.0, min_count:
     return BinStatistics(table, _adjust.bin_test(table), _adjust.bin_edges(adjusted, bins), level)
 
 
-def spatial_cordstat(points: PointSet, target: str, feature: str, **how) -> DisplacementResult:
+def spatial_cordstat(first: PointSet | DataFrame, second: str | DataFrame, feature: str | None = None, **how) -> DisplacementResult:
+    """Of points, ``second`` is the target and ``feature`` is displaced. Or both are results of ``spatial_adjust`` over the same
+    points at the same places, target first (in mappings of cutoffs they are called "first" and "second")."""
+    if isinstance(first, DataFrame):
+        points, target, feature = _displace.adjusted_points(first, second), "first", "second"
+    else:
+        points, target = first, second
     table = _displace.displacement_table(points, target, feature, **how)
     return DisplacementResult(table, _displace.displacement_summary(table))
 
@@ -211,3 +219,7 @@ def pairwise_projected_scores_kdtree(*args, **how) -> PairwiseResult:
 
 spatial_vec_proj, spatial_vec_magnitude = _displace.projected_score, _displace.vector_length
 spatial_vectorX, spatial_vectorX_kdtree, spatial_vecProj, spatial_vecMagnitude = spatial_vector_x, spatial_vector_x_kdtree, spatial_vec_proj, spatial_vec_magnitude
+
+#: The result types under the names that users know.
+SpatialVectorResult, BinStatResult, CordStatResult, GridFeatureMap, CutoffResult, NicheResult = VectorResult, BinStatistics, DisplacementResult, FeatureMap, Cutoffs, Niches
+SpatialAdjusted = KDTreeDomainResult = NicheSampleResult = DataFrame

@@ -113,14 +113,17 @@ def density(rows: DataFrame, value: str, points: int = 400) -> DataFrame:
     """Gaussian kernel density of a column on an even line over its range, padded by 12 % of it: ``x, density``. Bandwidth
     n ** (-1/5) times the sample deviation; fewer than two values, or equal ones, give no rows.
 
-    The line is laid over every row's partial sums, as an aggregate by position: rows never meet in one place.
+    Equal values are counted first. Each task lays the line over its values and keeps a partial sum for each point of the line,
+    so what is shuffled is the line, not the values.
     """
-    known = rows.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    about = known.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("sd")).where("n > 1 AND sd > 0")
+    known = rows.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").groupBy("v").agg(F.count("*").alias("c"))
+    size, mean = F.sum("c"), F.sum(F.col("v") * F.col("c")) / F.sum("c")
+    spread = F.sqrt(F.sum((F.col("v") - F.col("m")) * (F.col("v") - F.col("m")) * F.col("c")) / (size - 1))
+    about = known.crossJoin(F.broadcast(known.agg(mean.alias("m")))).agg(size.alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.when(size > 1, spread).alias("sd")).where("n > 1 AND sd > 0")
     about = about.withColumn("pad", F.greatest((F.col("hi") - F.col("lo")) * 0.12, F.lit(1e-6))).withColumn("h", F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("sd"))
     line = about.select("n", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), (F.col("lo") - F.col("pad")).alias("a"), (F.col("hi") + F.col("pad")).alias("b"))
     line = line.select("n", "h", "i", (F.col("a") + F.col("i") * ((F.col("b") - F.col("a")) / (points - 1))).alias("x"))
     z = (F.col("x") - F.col("v")) / F.col("h")
     at = known.crossJoin(F.broadcast(line))  # as many rows as points of the line
-    by = at.groupBy("i", "x", "n", "h").agg(F.sum(F.exp(-0.5 * z * z)).alias("s"))
+    by = at.groupBy("i", "x", "n", "h").agg(F.sum(F.exp(-0.5 * z * z) * F.col("c")).alias("s"))
     return by.select("x", (F.col("s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spatiarc.functions.statistics import mann_whitney
 from spatiarc.operators.raster import explicit_cutoffs
+from spatiarc.plans.lookup import Lookup
 from spatiarc.sources.points import PointSet
 
 
@@ -51,20 +52,36 @@ def bin_statistics(adjusted: DataFrame, bins=(8, 8), cutoff: float | None = 0.0,
         raise ValueError("bins must be positive")
     span = adjusted.groupBy("sample").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.avg("value").alias("mean"))
 
-    def inner(low, high, n):
+    def place(c, low, high, n):
+        """Inner edges ``low + i * step`` at or below a coordinate: a quotient, put right by the edges beside it."""
         step = (F.col(high) - F.col(low)) / n
-        return F.filter(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i < n, F.col(low) + i * step)), lambda e: e.isNotNull())
-
-    at = adjusted.join(span, "sample")
-    place = lambda c, low, high, n: F.size(F.filter(inner(low, high, n), lambda e: F.col(c) >= e))
+        edge = lambda i: F.col(low) + i * step
+        guess = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - F.col(low)) / F.when(step > 0, step)))).cast("int")
+        more = ((guess + 1 < n) & (F.col(c) >= edge(guess + 1))).cast("int")
+        less = ((guess > 0) & (F.col(c) < edge(guess))).cast("int")
+        return F.when(step > 0, guess + more - less).otherwise(F.lit(n - 1))
+
+    spans = Lookup(span, ["sample"])
+    at = spans.join(adjusted)
     at = at.withColumn("col", place("x", "x0", "x1", nx)).withColumn("row", F.lit(ny - 1) - place("y", "y0", "y1", ny))
     level = F.col("mean") if cutoff is None else F.lit(float(cutoff))
     by = at.groupBy("sample", "row", "col").agg(F.count("value").alias("n"), F.avg((F.col("value") > level).cast("double")).alias("share"))
-    frame = span.select("sample", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).alias("row")).select("sample", "row", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("col"))
+    frame = spans.table.select("sample", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).alias("row")).select("sample", "row", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("col"))
     out = frame.join(by, ["sample", "row", "col"], "left").na.fill(0, ["n"]).withColumn("pct", F.when(F.col("n") > min_count, F.col("share"))).drop("share")
     if mask is None:
         return out.withColumn("mask", F.coalesce(F.col("pct") > pct_cutoff, F.lit(False)).cast("int"))
-    return out.join(mask.select("row", "col", F.col("mask").cast("int").alias("mask")), ["row", "col"], "left").select("sample", "row", "col", "n", "pct", "mask")
+    given = F.broadcast(whole_mask(mask, ny, nx))  # as many rows as bins
+    return out.join(given, ["row", "col"], "left").select("sample", "row", "col", "n", "pct", "mask")
+
+
+def whole_mask(mask: DataFrame, ny: int, nx: int) -> DataFrame:
+    """A table (row, col, mask) that holds each of the ny x nx bins once; others raise."""
+    rows = mask.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("mask").cast("int").alias("mask"))
+    inside = F.col("row").between(0, ny - 1) & F.col("col").between(0, nx - 1) & F.col("mask").isNotNull()
+    seen = rows.agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"), F.count_distinct("row", "col").alias("bins")).first()
+    if not seen.n == seen.inside == seen.bins == ny * nx:
+        raise ValueError(f"the mask must have one value for each of {ny} x {nx} bins")
+    return rows
 
 
 def bin_test(stats: DataFrame) -> DataFrame:

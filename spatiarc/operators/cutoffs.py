@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import names_of, ratio
+from spatiarc.functions.quantiles import group_quantiles
 from spatiarc.operators.raster import explicit_cutoffs, grid_values
+from spatiarc.plans.lookup import Lookup
 from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet
 
-#: Canonical methods and their other spellings.
+#: Methods and their longer names.
 METHODS = {
-    "median_of_sample_medians": {"median_of_medians", "sample_median_median"},
-    "mean_of_sample_means": {"mean_of_means", "sample_mean_mean"},
-    "balanced_global_mean": {"balanced_mean"},
-    "balanced_global_median": {"balanced_median"},
+    "median_of_sample_medians": ("median_of_sample_level_median_scores", "median_of_sample_level_medians", "median_of_sample_median"),
+    "mean_of_sample_means": ("mean_of_sample_level_mean_scores", "mean_of_sample_level_means", "mean_of_sample_mean"),
+    "balanced_global_median": (),
+    "balanced_global_mean": (),
 }
+PRIME, BUCKETS = 2147483647, 64
 
 
 def cutoff_level(level: str) -> str:
@@ -47,15 +52,19 @@ def draw_size(least: int, round_to: int = 1000, exact: int | None = None) -> int
 
 @dataclass(frozen=True)
 class Cutoffs:
-    """``cutoffs`` (feature, cutoff), ``sample_stats`` (feature, sample, level, n_units, sample_mean, sample_median) and
-    ``replicates`` (feature, repeat, cutoff, n_per_sample, n_samples, level; None unless balanced)."""
+    """``cutoffs`` (feature, cutoff), ``sample_stats`` (feature, sample, level, n_units, sample_mean, sample_median; made when
+    asked for) and ``replicates`` (feature, repeat, cutoff, n_per_sample, n_samples, level; None unless balanced)."""
 
     cutoffs: DataFrame
-    sample_stats: DataFrame
+    stats: Callable[[], DataFrame]
     replicates: DataFrame | None
     level: str
     method: str
 
+    @cached_property
+    def sample_stats(self) -> DataFrame:
+        return self.stats()
+
 
 def units(points: PointSet, features, level: str, grid_size=20.0, agg="mean", min_cells=1) -> DataFrame:
     """``feature, sample, key, value`` of units with a value; the key names a unit in its sample."""
@@ -66,55 +75,77 @@ def units(points: PointSet, features, level: str, grid_size=20.0, agg="mean", mi
     return rows.where("value IS NOT NULL")
 
 
+def balanced_draws(rows: DataFrame, sizes: DataFrame, n_repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Draws of ``n_draw`` units of each (feature, sample), ``n_repeats`` times: those first in order of a hash, then of their key.
+
+    ``rows`` are (feature, sample, key, value), ``sizes`` (feature, sample, n_units, n_draw). A unit's name gives two numbers a, b
+    below ``PRIME`` once; its hash in a repeat is (a * c + b) mod ``PRIME`` with the repeat's own c, so draws are uniform and
+    those of two repeats independent. Units are counted into buckets of the hash, narrow ones about the wanted share: those of the
+    buckets below the one where the draw ends are all drawn, and only that bucket, a few units, is put in order. Nothing ranks a sample.
+    Returns (drawn rows of whole buckets: feature, repeat, value; drawn rows of the last buckets, the same).
+    """
+    keys = ["feature", "sample"]
+    name = F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", "sample", "key"))
+    number = lambda at: F.conv(F.substring(name, at, 8), 16, 10).cast("bigint") % PRIME
+    share = F.col("n_draw") / F.col("n_units")
+    room = 6 * F.sqrt(share / F.col("n_units")) + 20 / F.col("n_units")
+    edges = sizes.select(*keys, "n_draw", (share - room).alias("lo"), (2 * room / (BUCKETS - 2)).alias("wide"))
+    units = rows.select(*keys, "key", "value", number(1).alias("a"), number(9).alias("b"))
+    h = (F.col("a") * F.col("repeat") * F.lit(48271) % PRIME + F.col("b")) % PRIME
+    bucket = F.greatest(F.lit(-1), F.least(F.lit(BUCKETS), F.floor((F.col("h") / PRIME - F.col("lo")) / F.col("wide")))).cast("int")
+
+    def hashed(repeats):
+        return lambda df: df.withColumn("repeat", repeats).withColumn("h", h).withColumn("bucket", bucket)
+
+    every = Lookup(edges, keys).join(units).transform(hashed(F.explode(F.sequence(F.lit(1), F.lit(n_repeats)))))
+    counts = every.groupBy(*keys, "repeat", "bucket").agg(F.count("*").alias("m"), F.first("n_draw").alias("n_draw"))
+    upto = F.sum("m").over(Window.partitionBy(*keys, "repeat").orderBy("bucket"))  # as many rows as buckets
+    ends = counts.withColumn("upto", upto).where("upto >= n_draw").groupBy(*keys, "repeat").agg(F.min(F.struct("bucket", (F.col("n_draw") - F.col("upto") + F.col("m")).alias("left"))).alias("e"))
+    last = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("repeat", "e.bucket", "e.left"))).alias("last"))
+    table = Lookup(once(edges.join(last, keys), "draws"), keys)
+    again = table.join(units).transform(hashed(F.explode(F.sequence(F.lit(1), F.lit(n_repeats))))).withColumn("end", F.element_at("last", F.col("repeat")))
+    whole = again.where("bucket < end.bucket").select("feature", "repeat", "value")
+    order = Window.partitionBy(*keys, "repeat").orderBy("h", "key")
+    cut = again.where("bucket = end.bucket").withColumn("place", F.row_number().over(order)).where("place <= end.left")
+    return whole, cut.select("feature", "repeat", "value")
+
+
 def cohort_cutoffs(
     points: PointSet, features, samples=None, level: str = "grid", method: str = "balanced_global_mean", grid_size: float = 20.0, agg: str = "mean", min_cells: int = 1,
     n_repeats: int = 100, round_to: int = 1000, balance_n: int | None = None, seed: int = 666, check: bool = True,
 ) -> Cutoffs:
     """One cutoff per feature for all samples. Balanced methods draw equally many units of each sample without replacement,
-    ``n_repeats`` times: the units that are first in order of a hash of (seed, feature, repeat, sample, unit), so runs agree.
-
-    Draws by hash rank need only the units whose hash is small: each repeat keeps those below a bound that holds the
-    wanted number with room to spare (six standard deviations; it raises where that is too few), before any are ranked.
-    """
-    level, method, names = cutoff_level(level), cutoff_method(method), names_of(features)
+    ``n_repeats`` times (``balanced_draws``), the same ones in every run."""
+    level, method, names, keys = cutoff_level(level), cutoff_method(method), names_of(features), ["feature", "sample"]
     chosen = points.where(samples)
     rows = units(chosen, names, level, grid_size, agg, min_cells)
-    stats = rows.groupBy("feature", "sample").agg(F.count("*").alias("n_units"), F.avg("value").alias("sample_mean"), F.median("value").alias("sample_median"))
-    stats = stats.select("feature", "sample", F.lit(level).alias("level"), "n_units", "sample_mean", "sample_median")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n_units"), F.avg("value").alias("sample_mean"))
+
+    def stats() -> DataFrame:
+        medians = group_quantiles(rows, keys, 0.5, "sample_median")
+        return sizes.join(medians, keys, "left").select("feature", "sample", F.lit(level).alias("level"), "n_units", "sample_mean", "sample_median")
+
     if check:
-        there, all_samples = stats.groupBy("feature").agg(F.count("*").alias("n")), chosen.samples().count()
+        there, all_samples = sizes.groupBy("feature").agg(F.count("*").alias("n")), chosen.samples().count()
         if (n := {r.feature: r.n for r in there.collect()}) != dict.fromkeys(names, all_samples):  # one row for each feature that was asked for
             raise ValueError(f"samples without units, by feature (of {all_samples} samples): {n}")
     if method == "median_of_sample_medians":
-        return Cutoffs(stats.groupBy("feature").agg(F.median("sample_median").alias("cutoff")), stats, None, level, method)
+        medians = group_quantiles(rows, keys, 0.5, "value")
+        return Cutoffs(group_quantiles(medians, ["feature"], 0.5, "cutoff"), stats, None, level, method)
     if method == "mean_of_sample_means":
-        return Cutoffs(stats.groupBy("feature").agg(F.avg("sample_mean").alias("cutoff")), stats, None, level, method)
+        return Cutoffs(sizes.groupBy("feature").agg(F.avg("sample_mean").alias("cutoff")), stats, None, level, method)
     if n_repeats < 1:
         raise ValueError("n_repeats must be positive")
-    least = stats.groupBy("feature").agg(F.min("n_units").alias("least"), F.count("*").alias("n_samples"))
-    if balance_n is not None:
-        draw = F.when((F.lit(balance_n) > 0) & (F.lit(balance_n) <= F.col("least")), F.lit(balance_n)).otherwise(F.raise_error(F.concat(F.lit("balance_n must lie in 1.."), "least")))
-    else:
-        multiple = F.expr(f"least - least % {max(int(round_to), 1)}")
-        draw = F.when(multiple == 0, F.col("least")).otherwise(multiple)
-    sized = stats.select("feature", "sample", "n_units").join(least.withColumn("n_draw", draw.cast("bigint")), "feature")
-    repeats = points.cells.sparkSession.range(n_repeats).select((F.col("id") + 1).cast("int").alias("repeat"))
-    drawn = rows.join(sized, ["feature", "sample"]).crossJoin(F.broadcast(repeats))  # as many rows as repeats
-    drawn = drawn.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", "repeat", "sample", "key")))
-    share = F.col("n_draw") / F.col("n_units")
-    room = share + 6 * F.sqrt(share / F.col("n_units")) + 20 / F.col("n_units")
-    small = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) <= room
-    low = drawn.where(small)
-    window = Window.partitionBy("feature", "repeat", "sample").orderBy("h", "key")
-    ranked = low.withColumn("place", F.row_number().over(window)).withColumn("got", F.count("*").over(Window.partitionBy("feature", "repeat", "sample")))
-    enough = ranked.withColumn("ok", F.when(F.col("got") >= F.col("n_draw"), True).otherwise(F.raise_error(F.lit("too few units below the bound; use another seed"))))
-    pick = F.avg("value") if method.endswith("mean") else F.median("value")
-    reps = (
-        enough.where("ok AND place <= n_draw").groupBy("feature", "repeat")
-        .agg(pick.alias("cutoff"), F.max("n_draw").alias("n_per_sample"), F.max("n_samples").alias("n_samples")).withColumn("level", F.lit(level))
-    )
-    outer = F.avg("cutoff") if method.endswith("mean") else F.median("cutoff")
-    return Cutoffs(reps.groupBy("feature").agg(outer.alias("cutoff")), stats, reps, level, method)
+    counted = Lookup(sizes.select(*keys, "n_units"), keys).table
+    least = counted.groupBy("feature").agg(F.min("n_units").alias("least"), F.count("*").alias("n_samples")).collect()  # as many as named features
+    facts = [(r.feature, draw_size(r.least, round_to, balance_n), r.n_samples) for r in least]
+    facts = F.broadcast(points.cells.sparkSession.createDataFrame(facts, "feature string, n_draw bigint, n_samples bigint"))
+    whole, cut = balanced_draws(rows, counted.join(facts, "feature"), n_repeats, seed)
+    drawn, by = whole.unionByName(cut), ["feature", "repeat"]
+    reps = drawn.groupBy(*by).agg(F.avg("value").alias("cutoff")) if method.endswith("mean") else group_quantiles(drawn, by, 0.5, "cutoff")
+    reps = reps.join(facts, "feature").select(*by, "cutoff", F.col("n_draw").alias("n_per_sample"), "n_samples", F.lit(level).alias("level"))
+    outer = reps.groupBy("feature").agg(F.avg("cutoff").alias("cutoff")) if method.endswith("mean") else group_quantiles(reps, ["feature"], 0.5, "cutoff", "cutoff")
+    return Cutoffs(outer, stats, reps, level, method)
 
 
 def merged_cutoffs(points: PointSet, features, explicit=None, **how) -> DataFrame:

@@ -8,12 +8,15 @@ sums per feature; its partial results are tiny, so the shuffle behind it is too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import grid_steps, names_of, operator_shift_rows, rounded_ratio, shift_rows, shift_table
 from spatiarc.operators.niches import Niches
-from spatiarc.operators.raster import above, explicit_cutoffs, local_cutoffs, occupancy, raster
+from spatiarc.operators.raster import above, explicit_cutoffs, local_cutoffs, occupancy, raster_columns
+from spatiarc.plans.lookup import Lookup
 from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet, unpivot
 
@@ -24,6 +27,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def mask(name: str) -> Column:
+    """The boolean column of a feature in a table of masks, whatever the feature is called."""
+    return F.col(quoted(f"on:{name}"))
+
+
 def niche_map(niches) -> dict[str, Niches]:
     """Niches by feature, from one result, several, or a mapping (whose keys win)."""
     if niches is None:
@@ -36,29 +44,40 @@ def niche_map(niches) -> dict[str, Niches]:
     return {f: n for n in several for f in n.features}
 
 
+def niche_feature(key: str, niches: Niches) -> str:
+    """The feature whose niches stand for ``key``: ``key`` itself, or the only one there is, with a warning."""
+    if key in niches.features:
+        return key
+    if len(niches.features) > 1:
+        raise ValueError(f"the niches given for {key!r} are of several features, {list(niches.features)}, and it is none of them")
+    warnings.warn(f"niches of {niches.features[0]!r} stand for {key!r}", stacklevel=3)
+    return niches.features[0]
+
+
 def wide_masks(points: PointSet, names: list[str], grid_size=20.0, agg="mean", min_cells=1, quantiles=None, cutoffs=None, niches=None) -> tuple[DataFrame, DataFrame]:
-    """(masks: sample, gx, gy and a boolean per name; cutoffs: sample, feature, cutoff), positive cells or niches."""
+    """(masks: sample, gx, gy and a boolean per name (``mask``); cutoffs: sample, feature, cutoff), positive cells or niches."""
     by_niche = niche_map(niches)
     if extra := sorted(set(by_niche) - set(names)):
         raise ValueError(f"niches of features that are not asked for: {extra}")
     plain = [n for n in names if n not in by_niche]
     if plain:
-        grid = once(raster(points, plain, grid_size, agg, min_cells), "raster")
+        grid = once(raster_columns(points, plain, grid_size, agg, min_cells), "raster")
     else:
-        grid = once(occupancy(points.cells, grid_size, min_cells), "raster")
+        grid = once(occupancy(points, grid_size, min_cells), "raster")
     cut = local_cutoffs(unpivot(grid, GRID, plain), quantiles, cutoffs) if plain else None
     out = grid
     if plain:
         levels = cut.groupBy("sample").agg(*[F.max(F.when(F.col("feature") == n, F.col("cutoff"))).alias(f"cut{i}") for i, n in enumerate(plain)])
-        out = out.join(levels, "sample", "left")
-        out = out.select(*GRID, *[above(F.col(quoted(n)), F.col(f"cut{i}")).alias(n) for i, n in enumerate(plain)])
+        out = Lookup(levels, ["sample"]).join(out, "left")
+        out = out.select(*GRID, *[above(F.col(f"v{i}"), F.col(f"cut{i}")).alias(f"on:{n}") for i, n in enumerate(plain)])
     else:
         out = out.select(*GRID)
     for n, found in by_niche.items():
-        found.check_geometry(out.select(*GRID), float(grid_size))
-        member = found.grids.where((F.col("feature") == n) & F.col("niche")).select(*GRID, F.lit(True).alias("__in"))
-        out = out.join(member, GRID, "left").withColumn(n, F.coalesce("__in", F.lit(False))).drop("__in")
-    return out.select(*GRID, *[F.col(quoted(n)) for n in names]), cut
+        of = niche_feature(n, found)
+        found.check_geometry(out.select(*GRID), float(grid_size), min_cells, points.origins)
+        member = found.grids.where((F.col("feature") == of) & F.col("niche")).select(*GRID, F.lit(True).alias("__in"))
+        out = out.join(member, GRID, "left").withColumn(f"on:{n}", F.coalesce("__in", F.lit(False))).drop("__in")
+    return out.select(*GRID, *[mask(n) for n in names]), cut
 
 
 def displacement_stats(masks: DataFrame, target: str, features, shifts: DataFrame, digits: int | None = 4) -> DataFrame:
@@ -71,15 +90,15 @@ def displacement_stats(masks: DataFrame, target: str, features, shifts: DataFram
     names = names_of(features)
     both = lambda t, f: F.sum((t & f).cast("bigint"))
     count = lambda c: F.sum(c.cast("bigint"))
-    flag = {n: F.col(quoted(n)) for n in names}
+    flag = {n: mask(n) for n in names}
     still = masks.groupBy("sample").agg(
-        F.count("*").alias("cnt_all"), count(F.col(quoted(target))).alias("ot"),
-        *[x for i, n in enumerate(names) for x in (count(flag[n]).alias(f"of{i}"), both(F.col(quoted(target)), flag[n]).alias(f"oi{i}"))],
+        F.count("*").alias("cnt_all"), count(mask(target)).alias("ot"),
+        *[x for i, n in enumerate(names) for x in (count(flag[n]).alias(f"of{i}"), both(mask(target), flag[n]).alias(f"oi{i}"))],
     )
     shifts = F.broadcast(shifts)  # as many rows as displacements asked for
     moved = masks.select("sample", "gx", "gy", *[flag[n].alias(f"f{i}") for i, n in enumerate(names)]).crossJoin(shifts)
     moved = moved.select("sample", (F.col("gx") + F.col("dx").cast("bigint")).alias("gx"), (F.col("gy") + F.col("dy").cast("bigint")).alias("gy"), "step", "direction", *[f"f{i}" for i in range(len(names))])
-    there = masks.select(*GRID, F.col(quoted(target)).alias("t"))
+    there = masks.select(*GRID, mask(target).alias("t"))
     met = moved.join(there, GRID).groupBy("sample", "step", "direction").agg(
         F.count("*").alias("n"), count(F.col("t")).alias("t"),
         *[x for i in range(len(names)) for x in (count(F.col(f"f{i}")).alias(f"f{i}"), both(F.col("t"), F.col(f"f{i}")).alias(f"i{i}"))],
@@ -120,6 +139,20 @@ def displacement_table(points: PointSet, target: str, feature: str, operator_ste
     return displacement_stats(masks, target, feature, shifts, digits).select("sample", "direction", *STAT_COLUMNS)
 
 
+def adjusted_points(first: DataFrame, second: DataFrame) -> PointSet:
+    """Two mapped point tables (obs_idx, sample, x, y, value) as points with the features ``first`` and ``second``. They must be
+    the same points at the same places."""
+    if any("value" not in df.columns for df in (first, second)):
+        raise ValueError("both tables must hold values of a feature")
+    a = first.select("obs_idx", "sample", "x", "y", F.col("value").alias("first"))
+    b = second.select("obs_idx", F.col("sample").alias("s"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("value").alias("second"))
+    both = a.join(b, "obs_idx", "full")
+    same = lambda p, q: F.abs(F.col(p) - F.col(q)) <= 1e-8 + 1e-5 * F.abs(q)
+    if both.where(~F.coalesce(F.col("sample").eqNullSafe(F.col("s")) & same("x", "u") & same("y", "v"), F.lit(False))).limit(1).count():
+        raise ValueError("the tables must hold the same points at the same coordinates")
+    return PointSet(both.select("obs_idx", "sample", "x", "y", "first", "second"))
+
+
 def displacement_summary(table: DataFrame) -> DataFrame:
     """Means of all statistics over the directions."""
     return table.groupBy("sample").agg(*[F.avg(c).alias(c) for c in STAT_COLUMNS])
@@ -206,7 +239,7 @@ def pairwise_scores(masks: DataFrame, names: list[str], step: float, digits: int
     """
     spark = masks.sparkSession
     shifts = F.broadcast(shift_table(spark, shift_rows([step])))
-    active = masks.select(*GRID, F.array_compact(F.array(*[F.when(F.col(quoted(n)), F.lit(n)) for n in names])).alias("on"))
+    active = masks.select(*GRID, F.array_compact(F.array(*[F.when(mask(n), F.lit(n)) for n in names])).alias("on"))
     moved = active.crossJoin(shifts).select("sample", (F.col("gx") + F.col("dx").cast("bigint")).alias("gx"), (F.col("gy") + F.col("dy").cast("bigint")).alias("gy"), "direction", F.col("on").alias("fs"))
     met = moved.join(active.select(*GRID, F.col("on").alias("ts")), GRID).where("size(fs) + size(ts) > 0")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import finite
+from spatiarc.plans.lookup import Lookup, bounded
 from spatiarc.sources.points import PointSet, write_back
 
 
@@ -39,11 +40,16 @@ def module_scores(points: PointSet, sets: DataFrame, nbin: int = 10, ctrl: int =
     chosen = weights.join(control_genes(points, sets, nbin, ctrl, seed).withColumn("c", F.lit(1.0)), ["set_name", "gene"], "full").na.fill(0.0, ["m", "c"])
     sizes = chosen.groupBy("set_name").agg(F.sum("m").alias("nm"), F.sum("c").alias("nc"))
     values = points.expr.where(F.col("layer") == points.layer).select("obs_idx", "gene", finite(F.col("value")).alias("v"))
-    sums = values.join(chosen, "gene").groupBy("obs_idx", "set_name").agg(F.sum(F.col("v") * F.col("m")).alias("sm"), F.sum(F.col("v") * F.col("c")).alias("sc"))
     names = sets.select("set_name").distinct().join(sizes, "set_name", "left")
-    rows = points.cells.select("obs_idx").crossJoin(F.broadcast(names)).join(sums, ["obs_idx", "set_name"], "left").na.fill(0.0, ["sm", "sc"])
-    mean = lambda s, n: F.expr(f"try_divide({s}, {n})")
-    return rows.select("obs_idx", "set_name", (mean("sm", "nm") - mean("sc", "nc")).alias("score"))
+    shares = F.struct("set_name", F.expr("try_divide(m, nm)").alias("m"), F.expr("try_divide(c, nc)").alias("c"))
+    by_gene = chosen.join(sizes, "set_name").groupBy("gene").agg(F.collect_list(shares).alias("of"))  # as many rows as genes
+    each = Lookup(by_gene, ["gene"]).join(values).select("obs_idx", "v", F.explode("of").alias("s"))
+    blank = points.cells.select("obs_idx").crossJoin(F.broadcast(table) if (table := bounded(names)) is not None else names)
+    blank = blank.select("obs_idx", "set_name", F.when((F.col("nm") > 0) & (F.col("nc") > 0), F.lit(0.0)).alias("score"), F.lit(True).alias("own"))
+    sums = each.select("obs_idx", "s.set_name", (F.col("v") * (F.coalesce("s.m", F.lit(0.0)) - F.coalesce("s.c", F.lit(0.0)))).alias("score"), F.lit(False).alias("own"))
+    # one aggregation by cell and set, partial beside the scan: cells and their values meet without a join
+    by = blank.unionByName(sums).groupBy("obs_idx", "set_name").agg(F.max("own").alias("own"), F.count_if(F.col("own") & F.col("score").isNull()).alias("none"), F.sum("score").alias("score"))
+    return by.where("own").select("obs_idx", "set_name", F.when(F.col("none") == 0, F.col("score")).alias("score"))
 
 
 def add_module_scores(points: PointSet, sets: dict[str, list[str]], **how) -> DataFrame:

@@ -13,10 +13,15 @@ from spatiarc.functions.expressions import names_of, ratio
 from spatiarc.operators.cutoffs import merged_cutoffs
 from spatiarc.operators.raster import above, grid_values, place
 from spatiarc.plans.components import connected_components
+from spatiarc.plans.lookup import Lookup
 from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet, sanitized, write_back
 
 
+#: Active cells of a sample and feature that one task labels at most (about 100 bytes each).
+TASK_CELLS = 4_000_000
+
+
 def neighbour_offsets(connectivity: int) -> list[tuple[int, int]]:
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
@@ -50,12 +55,15 @@ def label_grid(gx: np.ndarray, gy: np.ndarray, offsets) -> np.ndarray:
     return out
 
 
-def components(active: DataFrame, connectivity: int = 8, distributed: bool = False) -> DataFrame:
+def components(active: DataFrame, connectivity: int = 8, distributed: bool | None = None) -> DataFrame:
     """``sample, feature, gx, gy, root_gx, root_gy`` of active cells (one row each); the root is the first cell of the component in order of
-    gy, gx. By default the active cells of one (sample, feature) are labelled in one task, as a grid is small beside its
-    points; ``distributed`` contracts the neighbour graph over the cluster instead, for grids that no task can hold."""
+    gy, gx. A (sample, feature) with at most ``TASK_CELLS`` active cells is labelled in one task; if one has more (they are counted),
+    the neighbour graph is contracted over the cluster instead. ``distributed`` names the way; the labels are the same."""
     offsets, keys = neighbour_offsets(connectivity), ["sample", "feature"]
     cells = active.select(*keys, "gx", "gy")
+    if distributed is None:
+        most = cells.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
+        distributed = (most or 0) > TASK_CELLS
     if not distributed:
 
         def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,16 +73,14 @@ def components(active: DataFrame, connectivity: int = 8, distributed: bool = Fal
             return pdf.assign(root_gx=gx[root], root_gy=gy[root])
 
         return cells.groupBy(*keys).applyInPandas(label, "sample string, feature string, gx bigint, gy bigint, root_gx bigint, root_gy bigint")
-    named = F.concat_ws("\u0001", "sample", "feature", F.lpad("gy", 12, "0"), F.lpad("gx", 12, "0"))
-    nodes = cells.withColumn("node", named)
+    nodes = cells.withColumn("node", F.struct(*keys, "gy", "gx"))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets if (dy, dx) > (0, 0)])
     moved = nodes.select("sample", "feature", F.col("node").alias("v"), "gx", "gy", F.explode(steps).alias("s"))
     moved = moved.select("sample", "feature", (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"), "v")
     edges = nodes.join(moved, [*keys, "gx", "gy"]).select(F.col("node").alias("u"), "v")
     roots = connected_components(edges, "niches").withColumnRenamed("root", "r")
     found = nodes.join(roots, "node", "left").withColumn("r", F.coalesce("r", "node"))
-    part = lambda i: F.split("r", "\u0001").getItem(i).cast("bigint")
-    return found.select(*keys, "gx", "gy", part(3).alias("root_gx"), part(2).alias("root_gy"))
+    return found.select(*keys, "gx", "gy", F.col("r.gx").alias("root_gx"), F.col("r.gy").alias("root_gy"))
 
 
 @dataclass(frozen=True)
@@ -90,25 +96,30 @@ class Niches:
     summary: DataFrame
     grid_size: float
     min_cells: int
+    origins: Lookup
 
     def geometry(self) -> DataFrame:
-        """``sample, n, fingerprint`` of the occupied grid."""
+        """``sample, n, fingerprint, x0, y0`` of the occupied grid."""
         one = self.grids.where(F.col("feature") == self.features[0])
-        return one.groupBy("sample").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(gx, gy))").alias("fingerprint"))
+        return one.groupBy("sample").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(gx, gy))").alias("fingerprint")).join(self.origins.table, "sample")
 
-    def check_geometry(self, occupied: DataFrame, grid_size: float) -> None:
-        """Raise unless the niches were found on this grid."""
+    def check_geometry(self, occupied: DataFrame, grid_size: float, min_cells: int, origins: Lookup) -> None:
+        """Raise unless the niches were found on this grid: size, least points of a cell, origins, and occupied cells."""
         if grid_size != self.grid_size:
             raise ValueError(f"niches have grid size {self.grid_size}, not {grid_size}")
+        if min_cells != self.min_cells:
+            raise ValueError(f"niches count grid cells of {self.min_cells} points, not {min_cells}")
         other = occupied.groupBy("sample").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(gx, gy))").alias("other"))
-        bad = other.join(self.geometry(), "sample", "left").where("n IS NULL OR n <> m OR fingerprint <> other").select("sample").limit(3).collect()
+        other = other.join(origins.table.select("sample", F.col("x0").alias("x1"), F.col("y0").alias("y1")), "sample")
+        moved = (F.abs(F.col("x0") - F.col("x1")) > 1e-8) | (F.abs(F.col("y0") - F.col("y1")) > 1e-8)
+        bad = other.join(self.geometry(), "sample", "left").where((F.expr("n IS NULL OR n <> m OR fingerprint <> other")) | moved).select("sample").limit(3).collect()
         if bad:
-            raise ValueError(f"niches have another grid in samples such as {[r.sample for r in bad]}")
+            raise ValueError(f"niches have another grid in samples such as {[r['sample'] for r in bad]}")
 
 
 def find_niches(
     points: PointSet, features, cutoff=None, method: str | None = "balanced_global_mean", samples=None, cutoff_samples=None, grid_size: float = 20.0, agg: str = "mean",
-    min_cells: int = 1, min_grids: int = 3, connectivity: int = 8, level: str = "grid", distributed: bool = False, **how,
+    min_cells: int = 1, min_grids: int = 3, connectivity: int = 8, level: str = "grid", distributed: bool | None = None, **how,
 ) -> Niches:
     """Niches of all features in one plan. Cutoffs: a number (one feature only) or those given by feature, else the cohort
     method; without either it raises. Components of at least ``min_grids`` cells are niches, numbered by their first cell."""
@@ -126,7 +137,7 @@ def find_niches(
     chosen = points.where(samples)
     how = {"level": level, "grid_size": grid_size, "agg": agg, "min_cells": min_cells, "samples": cutoff_samples} | how
     cut = merged_cutoffs(points, names, cutoff, **how, **({"method": method} if method else {}))
-    values = grid_values(chosen, names, grid_size, agg, min_cells).join(cut, "feature", "left")
+    values = grid_values(chosen, names, grid_size, agg, min_cells).join(F.broadcast(cut), "feature", "left")  # one row for each named feature
     values = once(values.withColumn("positive", above(F.col("value"), F.col("cutoff"))), "niche-values")
     keys = ["sample", "feature"]
     labelled = once(components(values.where("positive"), connectivity, distributed), "niche-labels")
@@ -137,7 +148,7 @@ def find_niches(
     grids = values.join(member, [*keys, "gx", "gy"], "left").select(
         *keys, "gx", "gy", "n_cells", "value", "cutoff", "positive", F.col("niche_id").isNotNull().alias("niche"), F.coalesce("niche_id", F.lit(0)).alias("niche_id")
     )
-    placed = place(chosen.cells.select("obs_idx", "sample", "x", "y"), grid_size).select("obs_idx", "sample", "gx", "gy")
+    placed = place(chosen.cells.select("obs_idx", "sample", "x", "y"), chosen.origins, grid_size).select("obs_idx", "sample", "gx", "gy")
     listed = F.explode(F.array(*[F.lit(n) for n in names])).alias("feature")
     cells = placed.select("*", listed).join(grids.select(*keys, "gx", "gy", "positive", "niche", "niche_id"), [*keys, "gx", "gy"], "left")
     cells = cells.select(
@@ -159,7 +170,7 @@ def find_niches(
         zero("largest").alias("largest_niche_grids"), "n_cells", "n_cells_in_positive_grid", ratio("n_cells_in_positive_grid", "n_cells").alias("positive_grid_cell_fraction"),
         "n_niche_cells", ratio("n_niche_cells", "n_cells").alias("niche_cell_fraction"), (F.col("n_niche_grids") * F.lit(float(grid_size) ** 2)).alias("niche_area"),
     )
-    return Niches(tuple(names), grids, cells, sizes, summary, float(grid_size), min_cells)
+    return Niches(tuple(names), grids, cells, sizes, summary, float(grid_size), min_cells, chosen.origins)
 
 
 def annotate(points: PointSet, niches: Niches, feature: str | None = None, prefix: str | None = None) -> DataFrame:

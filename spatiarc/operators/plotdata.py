@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import names_of
+from spatiarc.functions.quantiles import group_quantiles
 from spatiarc.functions.statistics import density, proportion_test, wilcoxon
-from spatiarc.operators.cutoffs import merged_cutoffs
+from spatiarc.operators.cutoffs import Cutoffs, merged_cutoffs
 from spatiarc.operators.niches import Niches
 from spatiarc.operators.radius import domain_map
-from spatiarc.operators.raster import grid_values, local_cutoffs, masks, place
+from spatiarc.operators.raster import explicit_cutoffs, grid_values, local_cutoffs, masks, place
+from spatiarc.plans.lookup import Lookup
+from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet
 
 
@@ -94,25 +97,33 @@ def overlay_level(rows: DataFrame, cutoff="mean") -> DataFrame:
     if cutoff is None or cutoff == "mean":
         level = F.avg("value")
     elif cutoff == "median":
-        level = F.median("value")
+        return group_quantiles(rows, ["sample", "feature"], 0.5, "cutoff")
     elif cutoff == "zero":
         level = F.lit(0.0)
     elif isinstance(cutoff, (int, float)):
         level = F.lit(float(cutoff))
     elif isinstance(cutoff, tuple) and len(cutoff) == 2 and cutoff[0] == "quantile" and 0 <= cutoff[1] <= 1:
-        level = F.percentile("value", F.lit(float(cutoff[1])))
+        return group_quantiles(rows, ["sample", "feature"], float(cutoff[1]), "cutoff")
     else:
         raise ValueError('a cutoff rule is "mean", "median", "zero", a number or ("quantile", q)')
     return rows.groupBy("sample", "feature").agg(level.alias("cutoff"))
 
 
-def overlay(points: PointSet, first: str, second: str, space: str = "cell", rule="mean", cutoffs: dict | None = None, grid_size=20.0, agg="mean", min_cells=1) -> DataFrame:
-    """Units with ``a`` and ``b`` (positive for either feature) and their category; explicit cutoffs win over the rule."""
-    names = names_of([first, second])
-    values = points.values(names) if space == "cell" else grid_values(points, names, grid_size, agg, min_cells)
+def overlay(
+    points: PointSet, first: str, second: str, space: str = "cell", rule="mean", cutoffs=None, grid_size=20.0, agg="mean", min_cells=1, sample=None, method: str | None = None, cutoff_samples=None, **how,
+) -> DataFrame:
+    """Units with ``a`` and ``b`` (positive for either feature) and their category. Cutoffs by feature (a mapping, a table, or what
+    ``cohort_cutoffs`` gave) win; then a cohort ``method`` over all samples, or ``cutoff_samples``; then the rule."""
+    if space not in ("cell", "grid"):
+        raise ValueError("space is cell or grid")
+    names, given = names_of([first, second]), explicit_cutoffs(cutoffs.cutoffs if isinstance(cutoffs, Cutoffs) else cutoffs)
+    if method is not None and any(n not in given for n in names):
+        given = explicit_cutoffs(merged_cutoffs(points, names, given, level=space, method=method, samples=cutoff_samples, grid_size=grid_size, agg=agg, min_cells=min_cells, **how))
+    chosen = points.where(sample)
+    values = chosen.values(names) if space == "cell" else once(grid_values(chosen, names, grid_size, agg, min_cells), "raster")
     ids = ["sample", "obs_idx", "x", "y"] if space == "cell" else ["sample", "gx", "gy"]
     level = overlay_level(values, rule)
-    for n, c in (cutoffs or {}).items():
+    for n, c in given.items():
         level = level.withColumn("cutoff", F.when(F.col("feature") == n, F.lit(float(c))).otherwise(F.col("cutoff")))
     on = masks(values, level)
     one = lambda n: F.max(F.when(F.col("feature") == n, F.col("active"))).alias
@@ -150,8 +161,8 @@ def niche_overlay(first: Niches, second: Niches, feature1: str, feature2: str, s
 def positive_for(points: PointSet, niches: Niches, feature: str, cutoff: float | None = None, method: str | None = None, agg: str = "mean", **how) -> DataFrame:
     """Positive grid cells of a feature on the niches' own grid (sample, gx, gy, active), checked to be that grid. Cutoffs:
     the given one, the cohort method, or the sample's mean."""
-    values = grid_values(points, feature, niches.grid_size, agg, niches.min_cells)
-    niches.check_geometry(values, niches.grid_size)
+    values = once(grid_values(points, feature, niches.grid_size, agg, niches.min_cells), "raster")
+    niches.check_geometry(values, niches.grid_size, niches.min_cells, points.origins)
     given = None if cutoff is None else {feature: cutoff}
     if given is None and method is not None:
         given = merged_cutoffs(points, feature, None, level="grid", method=method, grid_size=niches.grid_size, agg=agg, min_cells=niches.min_cells, **how)
@@ -163,7 +174,7 @@ def niche_positive_overlay(niches: Niches, niche_feature: str, positive: DataFra
     mine = niches.grids.where(F.col("feature") == niche_feature).select("sample", "gx", "gy", F.col("niche").alias("a"))
     rows = mine.join(positive.select("sample", "gx", "gy", F.col("active").alias("b")), ["sample", "gx", "gy"])
     if points is not None:
-        placed = place(points.cells.select("obs_idx", "sample", "x", "y"), niches.grid_size).select("obs_idx", "sample", "x", "y", "gx", "gy")
+        placed = place(points.cells.select("obs_idx", "sample", "x", "y"), points.origins, niches.grid_size).select("obs_idx", "sample", "x", "y", "gx", "gy")
         rows = placed.join(rows, ["sample", "gx", "gy"], "left").na.fill(False, ["a", "b"])
     return rows.withColumn("category", category(F.col("a"), F.col("b"), ("other", "niche", "positive", "overlap")))
 
@@ -172,12 +183,25 @@ def category_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sample", "category").agg(F.count("*").alias("n"))
 
 
-def niche_feature_values(niches: Niches, niche_feature: str, values: DataFrame) -> DataFrame:
-    """Values of a grid with the niche flag, and the range of colours per sample: the 1 % and 99 % quantiles, widened if equal."""
-    flag = niches.grids.where(F.col("feature") == niche_feature).select("sample", "gx", "gy", "niche")
-    q = values.groupBy("sample").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    high = F.when(F.col("q")[1] > F.col("q")[0], F.col("q")[1]).otherwise(F.col("q")[0] + 1e-12)
-    return values.join(flag, ["sample", "gx", "gy"], "left").na.fill(False, ["niche"]).join(q.select("sample", F.col("q")[0].alias("vmin"), high.alias("vmax")), "sample")
+def niche_feature_values(niches: Niches, niche_feature: str, points: PointSet, feature: str, space: str = "grid", agg: str = "mean", quantiles=(0.01, 0.99), vmin: float | None = None, vmax: float | None = None) -> DataFrame:
+    """Values of a feature with the niche flag, of grid cells or points, and the range of colours ``vmin, vmax`` per sample: as given,
+    else these quantiles of the values (None: the least and greatest), widened if equal."""
+    if space not in ("cell", "grid"):
+        raise ValueError("space is cell or grid")
+    if space == "grid":
+        values = once(grid_values(points, feature, niches.grid_size, agg, niches.min_cells), "raster")
+        niches.check_geometry(values, niches.grid_size, niches.min_cells, points.origins)
+        ids, flag = ["sample", "gx", "gy"], niches.grids.where(F.col("feature") == niche_feature)
+    else:
+        values = points.values(feature)
+        ids, flag = ["sample", "obs_idx"], niches.cells.where(F.col("feature") == niche_feature).withColumnRenamed("in_niche", "niche")
+    low, high = (0.0, 1.0) if quantiles is None else map(float, quantiles)
+    if not 0 <= low <= high <= 1:
+        raise ValueError("quantiles rise within [0, 1]")
+    end = lambda q, given, name: values.groupBy("sample").agg(F.lit(float(given)).alias(name)) if given is not None else group_quantiles(values, ["sample"], q, name)
+    ends = end(low, vmin, "vmin").join(end(high, vmax, "__high"), "sample")
+    ends = ends.select("sample", "vmin", F.when(F.col("__high") > F.col("vmin"), F.col("__high")).otherwise(F.col("vmin") + 1e-12).alias("vmax"))
+    return Lookup(ends, ["sample"]).join(values.join(flag.select(*ids, "niche"), ids, "left").na.fill(False, ["niche"]), "left")
 
 
 def boundary_segments(mask: DataFrame, x0: float | str = 0.0, y0: float | str = 0.0, grid_size: float = 1.0) -> DataFrame:
@@ -195,5 +219,13 @@ def boundary_segments(mask: DataFrame, x0: float | str = 0.0, y0: float | str =
 
 def placed_values(points: PointSet, feature: str, grid_size: float = 20.0) -> DataFrame:
     """Points with their grid cell and value, for plots in either space."""
-    return place(points.values(feature), grid_size).select("sample", "obs_idx", "x", "y", "gx", "gy", "value")
+    return place(points.values(feature), points.origins, grid_size).select("sample", "obs_idx", "x", "y", "gx", "gy", "value")
+
 
+#: The names that users of such analyses know for the data of their figures.
+spatial_vecPlot, spatial_magPlot = vector_path, magnitude_against_score
+plot_vector, plot_magnitude_projected, plot_projected_heatmap = vector_path, magnitude_against_score, heatmap_cells
+plot_paired_projected_scores, plot_colocalization_distribution = paired_scores, colocalization_density
+plot_grid_feature_map, plot_kdtree_domain_map, plot_spatial_overlap = placed_values, domain_categories, overlap_points
+plot_binary_overlay, plot_niche_overlay, plot_niche_positive_overlay, plot_niche_continuous_feature = overlay, niche_overlay, niche_positive_overlay, niche_feature_values
+one_sided_proportion_test = proportion_test

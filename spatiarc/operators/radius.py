@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import names_of, radius_steps, rounded_ratio, shift_rows, shift_table
-from spatiarc.operators.displace import niche_map, quoted
+from spatiarc.operators.displace import niche_feature, niche_map
 from spatiarc.operators.raster import above, local_cutoffs
+from spatiarc.plans.lookup import Lookup
 from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet
 
@@ -30,13 +31,15 @@ def active_points(points: PointSet, names: list[str], quantiles=None, cutoffs=No
     out = cut = None
     if plain:
         values = points.values(plain)
-        cut = local_cutoffs(values.where("value IS NOT NULL"), quantiles, cutoffs)
-        out = values.join(cut, ["sample", "feature"]).where(above(F.col("value"), F.col("cutoff"))).select("sample", "obs_idx", "x", "y", "feature")
+        found = Lookup(local_cutoffs(values.where("value IS NOT NULL"), quantiles, cutoffs), ["sample", "feature"])
+        cut = found.table
+        out = found.join(values).where(above(F.col("value"), F.col("cutoff"))).select("sample", "obs_idx", "x", "y", "feature")
     for n, found in by_niche.items():
-        missing = points.cells.join(found.cells.where(F.col("feature") == n), "obs_idx", "left_anti").limit(1).count()
+        of = niche_feature(n, found)
+        missing = points.cells.join(found.cells.where(F.col("feature") == of), "obs_idx", "left_anti").limit(1).count()
         if missing:
             raise ValueError(f"niches of {n!r} lack some of the points")
-        member = found.cells.where((F.col("feature") == n) & F.col("in_niche")).select("obs_idx")
+        member = found.cells.where((F.col("feature") == of) & F.col("in_niche")).select("obs_idx")
         rows = points.cells.select("sample", "obs_idx", "x", "y").join(member, "obs_idx").select("sample", "obs_idx", "x", "y", F.lit(n).alias("feature"))
         out = rows if out is None else out.unionByName(rows)
     return once(out, "active-points"), cut

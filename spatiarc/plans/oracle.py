@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from spatiarc.functions.expressions import operator_shift_rows, radius_steps, rounded_ratio_sql, shift_rows
+import math
+
+from spatiarc.functions.expressions import rounded_ratio_sql
 from spatiarc.sources.fixtures import CELLS_SQL, GENES, SETS, expr_sql
 
 T, F1, F2 = "hypoxia_score", "inflammation_score", "noise_score"
+STEPS_RADIUS = [25.0, 50.0, 75.0, 100.0, 125.0, 150.0]
+
+
+def shift_rows(steps, euclidean: bool = False):
+    """The eight displacements of each step, written out here so that SQL and engine don't share them."""
+    rows = []
+    for s in steps:
+        k = s / math.sqrt(2) if euclidean else s
+        rows += [(s, "add_X", s, 0.0), (s, "minus_X", -s, 0.0), (s, "add_Y", 0.0, s), (s, "minus_Y", 0.0, -s)]
+        rows += [(s, "add_X_add_Y", k, k), (s, "add_X_minus_Y", k, -k), (s, "minus_X_add_Y", -k, k), (s, "minus_X_minus_Y", -k, -k)]
+    return rows
+
+
+def operator_shift_rows(right, left, up, down):
+    s, r, l, u, w = (float(x) for x in (max(right, left, up, down), right, left, up, down))
+    return [
+        (s, "add_X", r, 0.0), (s, "minus_X", -l, 0.0), (s, "add_Y", 0.0, u), (s, "minus_Y", 0.0, -w),
+        (s, "add_X_add_Y", r, u), (s, "add_X_minus_Y", r, -w), (s, "minus_X_add_Y", -l, u), (s, "minus_X_minus_Y", -l, -w),
+    ]
+
+
 CELLS = "cells AS (SELECT obs_idx, sample_name AS sample, x_centroid AS x, y_centroid AS y, noise_score, hypoxia_score, inflammation_score FROM (" + CELLS_SQL.format(events="events") + "))"
 PLACED = """origin AS (SELECT sample, min(x) AS x0, min(y) AS y0 FROM cells GROUP BY sample),
 placed AS (SELECT cells.*, CAST(floor((x - x0) / 20::DOUBLE + 1e-12) AS BIGINT) AS gx, CAST(floor((y - y0) / 20::DOUBLE + 1e-12) AS BIGINT) AS gy FROM cells JOIN origin USING (sample))"""
@@ -96,8 +119,10 @@ def replicates(level: str, pick: str, n: int) -> str:
 sized AS (SELECT feature, sample, count(*) AS n_units FROM units GROUP BY ALL),
 least AS (SELECT feature, min(n_units) AS least, count(*) AS n_samples FROM sized GROUP BY ALL),
 draws AS (SELECT feature, n_samples, CASE WHEN least - least % 100 = 0 THEN least ELSE least - least % 100 END AS n_draw FROM least),
-ranked AS (SELECT u.feature, rep, u.sample, value, n_draw, n_samples, row_number() OVER (PARTITION BY u.feature, rep, u.sample ORDER BY md5(concat_ws('|', '666', u.feature, rep, u.sample, u.key)), u.key) AS place
-  FROM units u JOIN draws USING (feature) CROSS JOIN (SELECT CAST(range AS INTEGER) AS rep FROM range(1, {n} + 1)) r),
+named AS (SELECT *, md5(concat_ws('|', '666', feature, sample, key)) AS h FROM units),
+hashed AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 2147483647 AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % 2147483647 AS b FROM named),
+ranked AS (SELECT u.feature, rep, u.sample, value, n_draw, n_samples, row_number() OVER (PARTITION BY u.feature, rep, u.sample ORDER BY (a * rep * 48271 % 2147483647 + b) % 2147483647, u.key) AS place
+  FROM hashed u JOIN draws USING (feature) CROSS JOIN (SELECT CAST(range AS INTEGER) AS rep FROM range(1, {n} + 1)) r),
 reps AS (SELECT feature, rep, {pick}(value) AS cutoff, any_value(n_draw) AS n_per_sample, any_value(n_samples) AS n_samples FROM ranked WHERE place <= n_draw GROUP BY ALL)"""
 
 
@@ -113,7 +138,7 @@ tallied AS (SELECT sample, row, col, count(value) AS n, avg((value > 2)::INT::DO
 out AS (SELECT f.sample, f.row, f.col, coalesce(n, 0) AS n, CASE WHEN n > 3 THEN share END AS pct FROM frame f LEFT JOIN tallied t ON t.sample = f.sample AND t.row = f.row AND t.col = f.col)
 SELECT sample, row, col, n, round(pct, 9) AS pct, CAST(coalesce(pct > 0.4, false) AS INTEGER) AS mask FROM out"""
 
-RCELLS = f"{CELLS.replace('FROM (', 'FROM (', 1)}, rc AS (SELECT * FROM cells WHERE sample IN ('click', 'view'))"
+RCELLS = f"{CELLS.replace('FROM (', 'FROM (', 1)}, rc AS (SELECT * FROM cells)"
 RACTIVE = f"""{RCELLS}, rl AS (SELECT sample, obs_idx, x, y, '{T}' AS feature, {T} AS value FROM rc UNION ALL SELECT sample, obs_idx, x, y, '{F1}', {F1} FROM rc UNION ALL SELECT sample, obs_idx, x, y, '{F2}', {F2} FROM rc),
 cut AS (SELECT sample, feature, avg(value) AS cutoff FROM rl GROUP BY ALL),
 act AS (SELECT rl.sample, obs_idx, x, y, rl.feature FROM rl JOIN cut USING (sample, feature) WHERE value > cutoff)"""
@@ -131,7 +156,7 @@ cover AS (SELECT a.sample, a.feature, s.step, s.direction, a.n_active, coalesce(
   LEFT JOIN (SELECT sample, feature, step, direction, count(DISTINCT active) AS n FROM pairs GROUP BY ALL) p USING (sample, feature, step, direction))"""
 
 
-def radius_vectors(euclidean: bool = False, least: float = 0.0, steps=(25.0, 75.0)) -> str:
+def radius_vectors(euclidean: bool = False, least: float = 0.0, steps=tuple(STEPS_RADIUS)) -> str:
     j = rounded_ratio_sql
     return f"""WITH {radius_ctes(steps, [F1], euclidean)},
 tdom AS (SELECT sample, obs_idx FROM dom WHERE feature = '{T}'),
@@ -228,9 +253,9 @@ KIND = "CASE WHEN n.niche AND fm.active THEN 'overlap' WHEN n.niche THEN 'niche'
 ORACLE_SQL = {
     "grid_edges": f"WITH {BASE}, e AS (SELECT sample, min(x) AS x0, max(gx) AS nx FROM placed GROUP BY sample) SELECT sample, CAST(i AS INTEGER) AS i, x0 + i * 20::DOUBLE AS x_edge FROM (SELECT *, unnest(range(0, nx + 2)) AS i FROM e)",
     "stream_raster": f"WITH {CELLS} SELECT sample, CAST(floor(x / 20::DOUBLE + 1e-12) AS BIGINT) AS gx, CAST(floor(y / 20::DOUBLE + 1e-12) AS BIGINT) AS gy, count(*) AS n_cells, round(avg({T}), 9) AS value FROM cells GROUP BY ALL",
-    "vectors_grid_all_points": f"WITH {OBJ},\n{grid()},\n{LONG_GRID},\n{LOCAL},\n{stat(shift_rows([2.0, 4.0]), [F1])}, {CVEC} {vector_rows('vectors')}",
-    "vectors_grid_explicit": f"WITH {EXPLICIT},\n{stat(shift_rows([4.0]), [F1, F2])}, {CVEC} {vector_rows('vectors')}",
-    "vectors_grid_quantile": f"WITH {QUANTILE},\n{stat(shift_rows([4.0]), [F1, F2])}, {CVEC} {vector_rows('vectors')}",
+    "vectors_grid_all_points": f"WITH {OBJ},\n{grid()},\n{LONG_GRID},\n{LOCAL},\n{stat(shift_rows(STEPS), [F1])}, {CVEC} {vector_rows('vectors')}",
+    "vectors_grid_explicit": f"WITH {EXPLICIT},\n{stat(shift_rows(STEPS), [F1, F2])}, {CVEC} {vector_rows('vectors')}",
+    "vectors_grid_quantile": f"WITH {QUANTILE},\n{stat(shift_rows(STEPS), [F1, F2])}, {CVEC} {vector_rows('vectors')}",
     "vector_path": f"""{COHORT} SELECT feature, step, round(coalesce(lag(mn) OVER w, 0), 9) AS x0, round(coalesce(lag(mx) OVER w, 0), 9) AS y0, round(mn, 9) AS x1, round(mx, 9) AS y1, step = 12 AS is_final
 FROM cohort WINDOW w AS (PARTITION BY feature ORDER BY step)""",
     "magnitude_projected": f"""{COHORT}, {LEGS('cohort', '')}, p AS (SELECT feature, (coalesce(mn, 0) + coalesce(mx, 0)) / 2 AS v FROM cohort WHERE step = 12)
@@ -263,7 +288,7 @@ SELECT sample, gx, gy, n_cells, round({T}, 9) AS value, round(cutoff, 9) AS cuto
     "cutoff_balanced_mean": f"WITH {replicates('grid', 'avg', 100)} SELECT feature, round(avg(cutoff), 9) AS cutoff FROM reps GROUP BY ALL",
     "cutoff_balanced_median": f"WITH {replicates('grid', 'median', 100)} SELECT feature, round(median(cutoff), 9) AS cutoff FROM reps GROUP BY ALL",
     "cutoff_sample_stats": f"WITH {units('cell')} SELECT feature, sample, 'cell' AS level, count(*) AS n_units, round(avg(value), 9) AS sample_mean, round(median(value), 9) AS sample_median FROM units GROUP BY ALL",
-    "cutoff_replicates": f"WITH {replicates('cell', 'avg', 10)} SELECT feature, rep AS repeat, round(cutoff, 9) AS cutoff, n_per_sample, n_samples, 'cell' AS level FROM reps",
+    "cutoff_replicates": f"WITH {replicates('cell', 'avg', 100)} SELECT feature, rep AS repeat, round(cutoff, 9) AS cutoff, n_per_sample, n_samples, 'cell' AS level FROM reps",
     "positive_proportions_cell": proportions("cell"),
     "positive_proportions_grid": proportions("grid"),
     "niche_grids_8": niche_grids(8),
@@ -286,7 +311,7 @@ SELECT g.*, round(n_positive_grids / n_occupied_grids, 9) AS positive_grid_fract
 m AS (SELECT sample, gx, gy, feature, coalesce(value > cutoff, false) AS active FROM pm UNION ALL SELECT sample, gx, gy, '{T}', niche FROM ngrid),
 {stat(shift_rows(STEPS), [F1, F2])}, vectors AS (SELECT sample, feature, step, min(diff_pct) AS mn, max(diff_pct) AS mx, any_value(cnt_all) AS n_bins, any_value(ot) AS nt, any_value(nf) AS nf FROM stat GROUP BY ALL)
 {vector_rows("vectors", target_niche=True)}""",
-    "vectors_grid_genes": f"""WITH {GENE_GRID}, {stat(shift_rows([2.0, 4.0]), ["G05"], "G00")},
+    "vectors_grid_genes": f"""WITH {GENE_GRID}, {stat(shift_rows(STEPS), ["G05"], "G00")},
 vectors AS (SELECT sample, feature, step, min(diff_pct) AS mn, max(diff_pct) AS mx, any_value(cnt_all) AS n_bins, any_value(ot) AS nt, any_value(nf) AS nf FROM stat GROUP BY ALL)
 {vector_rows("vectors").replace(f"ct.feature = '{T}'", "ct.feature = 'G00'")}""",
     "projected_score": f"{COHORT} SELECT feature, round((coalesce(mn, 0) + coalesce(mx, 0)) / 2, 9) AS projected_score FROM cohort WHERE step = 12",
@@ -297,7 +322,7 @@ vectors AS (SELECT sample, feature, step, min(diff_pct) AS mn, max(diff_pct) AS
     "radius_domain": f"""WITH {RACTIVE}, {STILL}, md AS (SELECT DISTINCT c.obs_idx FROM rc c JOIN (SELECT *, 20::DOUBLE AS dx, -10::DOUBLE AS dy FROM act WHERE feature = '{F1}') a ON a.sample = c.sample AND {NEAR})
 SELECT obs_idx, sample, obs_idx IN (SELECT obs_idx FROM act WHERE feature = '{T}') AS target_positive, obs_idx IN (SELECT obs_idx FROM act WHERE feature = '{F1}') AS feature_positive,
   obs_idx IN (SELECT obs_idx FROM dom WHERE feature = '{T}') AS target_domain, obs_idx IN (SELECT obs_idx FROM md) AS feature_domain FROM rc""",
-    "radius_coverage": f"WITH {radius_ctes([75.0], [F1])} SELECT sample, feature, step, direction, n_active, n_covered, round(coverage, 9) AS coverage FROM cover",
+    "radius_coverage": f"WITH {radius_ctes(STEPS_RADIUS, [F1])} SELECT sample, feature, step, direction, n_active, n_covered, round(coverage, 9) AS coverage FROM cover",
     "vectors_radius_sphere": radius_vectors(),
     "vectors_radius_euclidean": radius_vectors(True),
     "radius_min_coverage": radius_vectors(least=0.9),
@@ -316,18 +341,69 @@ WHERE NOT EXISTS (SELECT 1 FROM k n WHERE n.sample = k.sample AND n.gx = k.gx +
 l AS (SELECT n, h, lo + range * ((hi - lo) / 399) AS x FROM a, range(400)) SELECT round(x, 5) AS x, round(sum(exp(-0.5 * ((x - v) / h) * ((x - v) / h))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 5) AS density FROM l, v GROUP BY l.x""",
 }
 
+RANK = "rank() OVER (PARTITION BY sample ORDER BY pct) + (count(*) OVER (PARTITION BY sample, pct) - 1) / 2.0"
+FIXED_MASK = BINS.replace("CAST(coalesce(pct > 0.4, false) AS INTEGER) AS mask", "CAST((row * 8 + col) % 3 = 0 AS INTEGER) AS mask")
+PAIRED = f"{SCORES}, pr AS (SELECT sample, max(projected_score) FILTER (feature = '{F1}') - max(projected_score) FILTER (feature = '{F2}') AS d FROM sp GROUP BY sample)"
+MEAN_CUT = f"(SELECT avg(v) FROM (SELECT sample, avg(value) AS v FROM lg WHERE feature = '{T}' GROUP BY sample))"
+COHORT_NICHE = f"WITH RECURSIVE {niche_ctes()}".replace(f"CASE feature WHEN '{T}' THEN 1.5::DOUBLE WHEN '{F1}' THEN 2.5::DOUBLE END", MEAN_CUT)
+MEANS = "gm AS (SELECT feature, avg(v) AS cutoff FROM (SELECT sample, feature, avg(value) AS v FROM lg GROUP BY ALL) GROUP BY feature)"
+GLOBAL_MASKS = f"""{BASE},
+{grid()},
+{LONG_GRID},
+{MEANS}, m AS (SELECT lg.*, cutoff, coalesce(value > cutoff, false) AS active FROM lg JOIN gm USING (feature))"""
+NICHE_F1 = f"WITH RECURSIVE {niche_ctes((F1,))}"
+ADJUSTED = MASKS.replace("x_centroid AS x, y_centroid AS y,", "y_centroid AS x, 0 - x_centroid AS y,")
+COUNTED = """c AS (SELECT sample, count(*) AS n_units, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) FILTER (a AND b) AS n_overlap FROM u GROUP BY sample)
+SELECT *, round(n_a / n_units, 9) AS fraction_a, round(n_b / n_units, 9) AS fraction_b, round(n_overlap / n_units, 9) AS fraction_overlap FROM c"""
 
-def all_samples(sql: str) -> str:
-    """The same SQL over every sample."""
-    cut = " WHERE sample IN ('click', 'view')"
-    assert sql.count(cut) == 1
-    return sql.replace(cut, "")
+
+def overlay_rule(rule: str) -> str:
+    return f"""WITH {CELLS}, {LONG_CELL}, cut AS (SELECT sample, feature, {rule} AS cutoff FROM lc GROUP BY ALL), m AS (SELECT lc.*, coalesce(value > cutoff, false) AS active FROM lc JOIN cut USING (sample, feature)),
+u AS (SELECT sample, obs_idx, bool_or(active) FILTER (feature = '{T}') AS a, bool_or(active) FILTER (feature = '{F1}') AS b FROM m GROUP BY ALL), {COUNTED}"""
 
 
-ORACLE_SQL |= {f"{name}_all_samples": all_samples(ORACLE_SQL[name]) for name in ("radius_domain", "radius_domain_categories", "pairwise_radius")}
 ORACLE_SQL |= {
-    "radius_coverage_all_samples": all_samples(ORACLE_SQL["radius_coverage"].replace(shifts(shift_rows([75.0])), shifts(shift_rows(radius_steps())))),
-    "vectors_radius_sphere_all_samples": all_samples(radius_vectors(steps=radius_steps())),
-    "vectors_radius_euclidean_all_samples": all_samples(radius_vectors(True, steps=radius_steps())),
-    "radius_min_coverage_all_samples": all_samples(radius_vectors(least=0.9, steps=radius_steps())),
+    "proportion_z": f"{SCORES}, c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (projected_score < -0.05)::DOUBLE AS k FROM sp) SELECT round(k / n, 9) AS proportion, round((k / n - 0.5 + 0.5 / n) / sqrt(0.25 / n), 9) AS z FROM c",
+    "binstat_mann_whitney_u": f"""WITH b AS ({BINS.replace("round(pct, 9) AS pct", "pct")}), r AS (SELECT *, {RANK} AS r FROM b WHERE pct IS NOT NULL)
+SELECT sample, round(avg(pct) FILTER (mask = 1), 9) AS group_1, round(avg(pct) FILTER (mask = 0), 9) AS group_0, count(*) FILTER (mask = 1) AS n1, count(*) FILTER (mask = 0) AS n0,
+  CAST(sum(r) FILTER (mask = 1) AS DOUBLE) - count(*) FILTER (mask = 1) * (count(*) FILTER (mask = 1) + 1) / 2.0 AS statistic FROM r GROUP BY sample HAVING count(*) FILTER (mask = 1) > 1 AND count(*) FILTER (mask = 0) > 1""",
+    "paired_wilcoxon_w": f"""{PAIRED}, q AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM pr WHERE d <> 0)
+SELECT '{F1}:{F2}' AS pair, (SELECT count(*) FROM pr WHERE d IS NOT NULL) AS n_pairs, CAST(least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS DOUBLE) AS statistic FROM q""",
+    "gene_layer_grid": f"""WITH {BASE}, {EXPR}, v AS (SELECT p.sample, gx, gy, 2 * coalesce(a.value, 0) AS a, 2 * coalesce(b.value, 0) AS b FROM placed p LEFT JOIN (SELECT * FROM expr WHERE gene = 'G00') a USING (obs_idx) LEFT JOIN (SELECT * FROM expr WHERE gene = 'G05') b USING (obs_idx))
+SELECT sample, gx, gy, count(*) AS n_cells, round(avg(a), 9) AS "G00", round(avg(b), 9) AS "G05" FROM v GROUP BY ALL""",
+    "grid_odd_feature_names": f"WITH {BASE}, {grid()}, {LONG_GRID} SELECT sample, gx, gy, n_cells, CASE feature WHEN '{T}' THEN 'gx' WHEN '{F1}' THEN 'x' ELSE 'n_cells' END AS feature, round(value, 9) AS value FROM lg",
+    "points_parquet": f"WITH {CELLS} SELECT obs_idx, sample, x, y, round({T}, 9) AS {T}, round({F1}, 9) AS {F1}, round({F2}, 9) AS {F2} FROM cells",
+    "module_scores_added": f"SELECT obs_idx, " + ", ".join(f"max(score) FILTER (set_name = '{n}') AS {n}" for n in SETS) + f" FROM ({MODULE}) GROUP BY obs_idx",
+    "binstat_feature_cutoff": BINS,
+    "binstat_given_mask": FIXED_MASK,
+    "grid_feature_map_cohort": f"WITH {GLOBAL_MASKS} SELECT sample, gx, gy, n_cells, round(value, 9) AS value, round(cutoff, 9) AS cutoff, active AS positive FROM m WHERE feature = '{T}'",
+    "niche_cohort_cutoff": f"""{COHORT_NICHE} SELECT sample, feature, round(any_value(cutoff), 9) AS cutoff, count(*) FILTER (positive) AS n_positive_grids, count(*) FILTER (niche) AS n_niche_grids,
+  count(DISTINCT nid) FILTER (niche) AS n_niches, CAST(coalesce(sum(n_cells) FILTER (niche), 0) AS BIGINT) AS n_niche_cells FROM ngrid GROUP BY ALL""",
+    "vectors_grid_niche_of_another": f"""{NICHE_F1}, pm AS (SELECT lg.*, avg(value) OVER (PARTITION BY sample, feature) AS cutoff FROM lg WHERE feature <> '{T}'), cut AS (SELECT DISTINCT sample, feature, first_value(cutoff) OVER (PARTITION BY sample, feature) AS cutoff FROM pm),
+m AS (SELECT sample, gx, gy, feature, coalesce(value > cutoff, false) AS active FROM pm UNION ALL SELECT sample, gx, gy, '{T}', niche FROM ngrid),
+{stat(shift_rows(STEPS), [F1, F2])}, {CVEC} {vector_rows("vectors", target_niche=True)}""",
+    "niche_one_sample": f"{NICHE_T} SELECT sample, feature, count(*) AS n_components, count(*) FILTER (n_grids >= 3) AS n_niches FROM sizes WHERE sample = 'view' GROUP BY ALL",
+    "api_vectors_cohort": f"""{COHORT}, {LEGS('cohort', '')}, p AS (SELECT feature, (coalesce(mn, 0) + coalesce(mx, 0)) / 2 AS v FROM cohort WHERE step = 12)
+SELECT feature, round(any_value(v), 9) AS projected_score, round(sum(leg), 9) AS vector_len FROM legs JOIN p USING (feature) GROUP BY feature""",
+    "api_vectors_cohort_cutoff": f"""WITH {GLOBAL_MASKS}, {stat(shift_rows(STEPS), [F1, F2])}, {CVEC}, cohort AS (SELECT feature, step, avg(mn) AS mn, avg(mx) AS mx FROM vectors GROUP BY ALL),
+{LEGS('cohort', '')}, p AS (SELECT feature, (coalesce(mn, 0) + coalesce(mx, 0)) / 2 AS v FROM cohort WHERE step = 12)
+SELECT feature, round(any_value(v), 9) AS projected_score, round(sum(leg), 9) AS vector_len FROM legs JOIN p USING (feature) GROUP BY feature""",
+    "api_vectors_kdtree": f"WITH r AS ({radius_vectors()}) SELECT sample, feature, round((coalesce(min_djaccard, 0) + coalesce(max_djaccard, 0)) / 2, 9) AS projected_score FROM r WHERE step = 150",
+    "api_vectors_kdtree_all_points": radius_vectors().replace("event_type AS sample_name", "'obj' AS sample_name"),
+    "api_pairwise_kdtree": f"SELECT target, " + ", ".join(f"round(avg(projected_score) FILTER (feature = '{f}'), 9) AS {f}" for f in (T, F1, F2)) + f" FROM ({PAIRS_RADIUS}) GROUP BY target",
+    "vectors_radius_niche_target": radius_vectors().replace("WITH ", f"WITH RECURSIVE {niche_ctes()}, ", 1).replace(f"{CELLS}, rc AS", "rc AS", 1)
+    .replace("act AS (SELECT rl.sample, obs_idx, x, y, rl.feature FROM rl JOIN cut USING (sample, feature) WHERE value > cutoff)", f"act AS (SELECT rl.sample, obs_idx, x, y, rl.feature FROM rl JOIN cut USING (sample, feature) WHERE value > cutoff AND rl.feature <> '{T}' UNION ALL SELECT p.sample, obs_idx, x, y, '{T}' FROM placed p JOIN ngrid USING (sample, gx, gy) WHERE niche)")
+    .replace("round(ct.cutoff, 9) AS cutoff_target", "CAST(NULL AS DOUBLE) AS cutoff_target").replace("'positive' AS binary_source_target", "'niche' AS binary_source_target"),
+    "cordstat_adjusted": f"WITH {ADJUSTED}, {stat(operator_shift_rows(4, 4, 4, 4), [F1])} SELECT sample, direction, {', '.join(STAT_COLUMNS)} FROM stat",
+    "cordstat_beyond_the_grid": cordstat((40, 35, 50, 3)),
+    "overlay_counts_cohort": f"""WITH {GLOBAL_MASKS.replace("m AS (SELECT lg.*, cutoff, coalesce(value > cutoff, false)", "m AS (SELECT lg.*, coalesce(value > CASE WHEN feature = '" + F1 + "' THEN 2.5 ELSE cutoff END, false)")},
+u AS (SELECT sample, gx, gy, bool_or(active) FILTER (feature = '{T}') AS a, bool_or(active) FILTER (feature = '{F1}') AS b FROM m GROUP BY ALL), {COUNTED}""",
+    "overlay_counts_median": overlay_rule("median(value)"),
+    "overlay_counts_quantile": overlay_rule("quantile_cont(value, 0.9)"),
+    "overlay_counts_zero": overlay_rule("0::DOUBLE"),
+    "niche_feature_range_cell": f"""{NICHE_T}, q AS (SELECT sample, quantile_cont({F1}, 0.1) AS vmin FROM cells GROUP BY sample)
+SELECT p.sample, obs_idx, round({F1}, 9) AS value, niche, round(vmin, 9) AS vmin, CASE WHEN 4 > vmin THEN 4::DOUBLE ELSE round(vmin + 1e-12, 9) END AS vmax FROM placed p JOIN ngrid USING (sample, gx, gy) JOIN q ON q.sample = p.sample""",
+    "niche_overlay_counts_cell": f"""WITH RECURSIVE {niche_ctes((T, F1))}, o AS (SELECT p.sample, CASE WHEN a.niche AND b.niche THEN 'overlap' WHEN a.niche THEN 'niche1' WHEN b.niche THEN 'niche2' ELSE 'other' END AS category
+  FROM placed p JOIN (SELECT * FROM ngrid WHERE feature = '{T}') a USING (sample, gx, gy) JOIN (SELECT * FROM ngrid WHERE feature = '{F1}') b USING (sample, gx, gy)) SELECT sample, category, count(*) AS n FROM o GROUP BY ALL""",
+    "cutoff_chosen_samples": f"WITH {units('grid')}, s AS (SELECT feature, sample, avg(value) AS v FROM units WHERE sample IN ('click', 'view') GROUP BY ALL) SELECT feature, round(avg(v), 9) AS cutoff FROM s GROUP BY ALL",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spatiarc.api import spatial_vector
+from spatiarc import api
 from spatiarc.functions.expressions import radius_steps, shift_rows, shift_table
 from spatiarc.functions.statistics import density, proportion_test
 from spatiarc.operators import adjust as A
@@ -16,12 +16,14 @@ from spatiarc.operators import niches as N
 from spatiarc.operators import plotdata as P
 from spatiarc.operators import radius as R
 from spatiarc.operators import raster as G
+from spatiarc.plans.scratch import Scratch
 from spatiarc.sources.fixtures import SETS, fixture
+from spatiarc.sources.points import PointSet
 from spatiarc.streaming.raster_stream import stream_raster
 
 T, F1, F2 = "hypoxia_score", "inflammation_score", "noise_score"
 FEATURES = [F1, F2]
-RADIUS, RADIUS_STEPS, RADIUS_SAMPLES = 15.1, [25, 75], ["click", "view"]  # queries named ..._all_samples take every sample and the default steps
+RADIUS = 15.1
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
@@ -133,26 +135,22 @@ def _matrix(s, d):
     return rounded(D.pairwise_matrix(_pairs(s, d), [T, F1, F2]), T, F1, F2)
 
 
-def _radius_points(s, d, samples=RADIUS_SAMPLES):
-    return fixture(s, d).where(samples)
+def _radius_domain(s, d):
+    return R.domain_map(fixture(s, d), T, F1, RADIUS, (20.0, -10.0)).select("obs_idx", "sample", "target_positive", "feature_positive", "target_domain", "feature_domain")
 
 
-def _radius_domain(s, d, samples=RADIUS_SAMPLES):
-    return R.domain_map(_radius_points(s, d, samples), T, F1, RADIUS, (20.0, -10.0)).select("obs_idx", "sample", "target_positive", "feature_positive", "target_domain", "feature_domain")
-
-
-def _radius_coverage(s, d, samples=RADIUS_SAMPLES, steps=(75,)):
-    points = _radius_points(s, d, samples)
+def _radius_coverage(s, d):
+    points = fixture(s, d)
     actives, _ = R.active_points(points, [F1])
-    return rounded(R.shift_coverage(points, actives, shift_table(s, shift_rows(radius_steps(steps))), RADIUS), "coverage")
+    return rounded(R.shift_coverage(points, actives, shift_table(s, shift_rows(radius_steps())), RADIUS), "coverage")
 
 
-def _radius_vectors(samples=RADIUS_SAMPLES, steps=RADIUS_STEPS, **how):
-    return lambda s, d: _vector_rows(R.radius_vectors(_radius_points(s, d, samples), T, [F1], steps, RADIUS, **how))
+def _radius_vectors(**how):
+    return lambda s, d: _vector_rows(R.radius_vectors(fixture(s, d), T, [F1], None, RADIUS, **how))
 
 
-def _radius_pairs(s, d, samples=RADIUS_SAMPLES):
-    return R.pairwise_radius_scores(_radius_points(s, d, samples), [T, F1, F2], 75, RADIUS)
+def _radius_pairs(s, d):
+    return R.pairwise_radius_scores(fixture(s, d), [T, F1, F2], 75, RADIUS)
 
 
 def _sets(s):
@@ -164,7 +162,7 @@ def _module_scores(s, d):
 
 
 def _gene_vectors(s, d):
-    return _vector_rows(D.grid_vectors(fixture(s, d), "G00", ["G05"], [2, 4]))
+    return _vector_rows(D.grid_vectors(fixture(s, d), "G00", ["G05"]))
 
 
 def _overlay(space):
@@ -193,25 +191,147 @@ def _paired(s, d):
 
 
 def _proportion(s, d):
-    got = proportion_test(12, 44, 0.5, "less")
+    """The share of scores below the threshold against a half, with its p-value."""
+    row = P.colocalization_counts(D.projected_score(_vectors(s, d), ["sample"]), -0.05).first()
+    got = proportion_test(row.n_below, row.n, 0.5, "less")
     return s.createDataFrame([(got["proportion"], got["z"], got["pvalue"])], "proportion double, z double, pvalue double")
 
 
+def _proportion_z(s, d):
+    return rounded(_proportion(s, d).drop("pvalue"), "proportion", "z")
+
+
+def _bin_test_u(s, d):
+    return rounded(_bin_test(s, d).drop("pvalue"), "group_1", "group_0")
+
+
+def _paired_w(s, d):
+    return _paired(s, d).drop("pvalue")
+
+
+def _layer_grid(s, d):
+    points = fixture(s, d)
+    other = points.expr.where("gene IN ('G00', 'G05')").select("obs_idx", "gene", F.lit("doubled").alias("layer"), (2 * F.col("value")).alias("value"))
+    chosen = PointSet.of(points.cells, points.expr.unionByName(other), points.genes, sample_col="sample", coord_cols=("x", "y"), layer="doubled", check=False)
+    return rounded(G.raster(chosen, ["G00", "G05"]), "G00", "G05")
+
+
+def _odd_names(s, d):
+    """Features called as the grid's and the points' own columns."""
+    base = fixture(s, d).cells
+    cells = base.select("obs_idx", F.col("sample").alias("sample_name"), F.col("x").alias("x_centroid"), F.col("y").alias("y_centroid"), F.col(T).alias("gx"), F.col(F1).alias("x"), F.col(F2).alias("n_cells"))
+    return rounded(G.grid_values(PointSet.of(cells, check=False), ["gx", "x", "n_cells"]), "value")
+
+
+def _round_trip(s, d):
+    scratch = Scratch(s, "points")
+    fixture(s, d).write(scratch.root)
+    return PointSet.read(s, scratch.root).cells.select("obs_idx", "sample", "x", "y", *[F.round(n, 9).alias(n) for n in (T, F1, F2)])
+
+
+def _added_scores(s, d):
+    return rounded(M.add_module_scores(fixture(s, d), SETS, nbin=5, ctrl=3).select("obs_idx", *SETS), *SETS)
+
+
+def _bins_by_feature(s, d):
+    got = api.spatial_binstat(A.adjust(fixture(s, d), T), bins=(6, 8), min_cutoff={T: 2.0, F1: 9.0}, min_count=3, pct_cutoff=0.4, feature=T)
+    return rounded(got.bins, "pct")
+
+
+def _bins_masked(s, d):
+    mask = s.range(48).select((F.col("id") / 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col"), (F.col("id") % 3 == 0).cast("int").alias("mask"))
+    return rounded(A.bin_statistics(A.adjust(fixture(s, d), T), bins=(6, 8), cutoff=2.0, min_count=3, mask=mask), "pct")
+
+
+def _map_cohort(s, d):
+    return rounded(api.grid_feature_map(fixture(s, d), T, cutoff_method="mean_of_sample_level_means").grid, "value", "cutoff")
+
+
+def _cohort_niches(s, d):
+    found = N.find_niches(fixture(s, d), [T], method="mean_of_sample_means")
+    return rounded(found.summary.select("sample", "feature", "cutoff", "n_positive_grids", "n_niche_grids", "n_niches", "n_niche_cells"), "cutoff")
+
+
+def _niche_alias(s, d):
+    """Niches of another feature stand for the target."""
+    return _vector_rows(_vectors(s, d, niches={T: N.find_niches(fixture(s, d), [F1], {F1: 2.5})}))
+
+
+def _radius_niche(s, d):
+    return _vector_rows(R.radius_vectors(fixture(s, d), T, [F1], None, RADIUS, niches=_niches(s, d)))
+
+
+def _one_niche_sample(s, d):
+    found = _niches(s, d)
+    name = P.one_sample(found, "view")
+    return found.components.where(F.col("sample") == name).groupBy("sample", "feature").agg(F.count("*").alias("n_components"), F.count("niche_id").alias("n_niches"))
+
+
+def _api_cohort(**how):
+    def run(s, d):
+        got = api.spatial_vectorX(fixture(s, d), T, FEATURES, **how)
+        return rounded(got.projected_score.join(got.vector_len, "feature"), "projected_score", "vector_len")
+
+    return run
+
+
+def _api_kdtree(s, d):
+    got = api.spatial_vector_x_kdtree(fixture(s, d), T, [F1], radius=RADIUS)
+    return rounded(got.sample_projected_score.select("sample", "feature", "projected_score"), "projected_score")
+
+
+def _api_kdtree_pairs(s, d):
+    return rounded(api.pairwise_projected_scores_kdtree(fixture(s, d), [T, F1, F2], final_step=75, radius=RADIUS).matrix, T, F1, F2)
+
+
+def _api_kdtree_obj(s, d):
+    return _vector_rows(api.spatial_vector_kdtree(fixture(s, d), T, [F1], radius=RADIUS).vectors)
+
+
+def _adjusted_cordstat(s, d):
+    a, b = (A.adjust(fixture(s, d), n, rotate=90) for n in (T, F1))
+    return api.spatial_cordstat(a, b, grid_size=20.0).mov_stat
+
+
+def _cohort_overlay(s, d):
+    units = P.overlay(fixture(s, d), T, F1, "grid", cutoffs={F1: 2.5}, method="mean_of_sample_means")
+    return rounded(P.overlay_counts(units), "fraction_a", "fraction_b", "fraction_overlap")
+
+
+def _overlay_rule(rule):
+    return lambda s, d: rounded(P.overlay_counts(P.overlay(fixture(s, d), T, F1, "cell", rule)), "fraction_a", "fraction_b", "fraction_overlap")
+
+
+def _niche_range_cells(s, d):
+    rows = P.niche_feature_values(_niches(s, d), T, fixture(s, d), F1, "cell", quantiles=(0.1, 0.9), vmax=4.0)
+    return rounded(rows.select("sample", "obs_idx", "value", "niche", "vmin", "vmax"), "value", "vmin", "vmax")
+
+
+def _niche_overlay_cells(s, d):
+    found = _niches(s, d, (T, F1))
+    return P.category_counts(P.niche_overlay(found, found, T, F1, "cell"))
+
+
+def _chosen_samples(s, d):
+    got = C.cohort_cutoffs(fixture(s, d), [T, F1], ["click", "view"], method="mean_of_sample_means", check=False)
+    return rounded(got.cutoffs, "cutoff")
+
+
 def _edges(s, d):
     by = G.edges(fixture(s, d), 20.0)
     return by.select("sample", F.posexplode("x_edges").alias("i", "x_edge"))
 
 
 def _obj_vectors(s, d):
-    return _vector_rows(spatial_vector(fixture(s, d), T, [F1], steps=[2, 4]).vectors)
+    return _vector_rows(api.spatial_vector(fixture(s, d), T, [F1]).vectors)
 
 
 def _explicit_vectors(s, d):
-    return _vector_rows(_vectors(s, d, steps=[4], cutoffs={F1: 2.5}))
+    return _vector_rows(_vectors(s, d, cutoffs={F1: 2.5}))
 
 
 def _quantile_vectors(s, d):
-    return _vector_rows(_vectors(s, d, steps=[4], quantiles=0.5, agg="max", min_cells=2))
+    return _vector_rows(_vectors(s, d, quantiles=0.5, agg="max", min_cells=2))
 
 
 def _path(s, d):
@@ -231,8 +351,8 @@ def _paired_scores(s, d):
     return rounded(P.paired_scores(D.projected_score(_vectors(s, d), ["sample"]), F1, F2), "a", "b")
 
 
-def _domain_categories(s, d, samples=RADIUS_SAMPLES):
-    return P.category_counts(P.domain_categories(_radius_points(s, d, samples), T, F1, radius=RADIUS, shift=(20.0, -10.0)))
+def _domain_categories(s, d):
+    return P.category_counts(P.domain_categories(fixture(s, d), T, F1, radius=RADIUS, shift=(20.0, -10.0)))
 
 
 def _niche_positive(s, d, cells=False):
@@ -242,7 +362,7 @@ def _niche_positive(s, d, cells=False):
 
 def _niche_range(s, d):
     points, found = fixture(s, d), _niches(s, d)
-    rows = P.niche_feature_values(found, T, G.grid_values(points, F1))
+    rows = P.niche_feature_values(found, T, points, F1)
     return rounded(rows.select("sample", "gx", "gy", "value", "niche", "vmin", "vmax"), "value", "vmin", "vmax")
 
 
@@ -255,7 +375,7 @@ def _stream_static(s, d):
 
 
 QUERIES = {
-    "grid_occupancy": lambda s, d: G.occupancy(fixture(s, d).cells, 20.0),
+    "grid_occupancy": lambda s, d: G.occupancy(fixture(s, d), 20.0),
     "grid_mean": _raster("mean"),
     "grid_sum": _raster("sum"),
     "grid_max": _raster("max"),
@@ -272,7 +392,7 @@ QUERIES = {
     "cutoff_balanced_mean": _cohort("grid", "balanced_global_mean"),
     "cutoff_balanced_median": _cohort("grid", "balanced_global_median"),
     "cutoff_sample_stats": _cohort("cell", "mean_of_sample_means", "sample_stats"),
-    "cutoff_replicates": _cohort("cell", "balanced_global_mean", "replicates", n_repeats=10),
+    "cutoff_replicates": _cohort("cell", "balanced_global_mean", "replicates"),
     "positive_proportions_cell": _proportions("cell"),
     "positive_proportions_grid": _proportions("grid"),
     "niche_grids_8": _niche_grids(8),
@@ -307,13 +427,6 @@ QUERIES = {
     "vectors_radius_euclidean": _radius_vectors(direction_mode="euclidean"),
     "radius_min_coverage": _radius_vectors(min_coverage=0.9),
     "pairwise_radius": _radius_pairs,
-    "radius_domain_all_samples": lambda s, d: _radius_domain(s, d, None),
-    "radius_domain_categories_all_samples": lambda s, d: _domain_categories(s, d, None),
-    "radius_coverage_all_samples": lambda s, d: _radius_coverage(s, d, None, None),
-    "vectors_radius_sphere_all_samples": _radius_vectors(None, None),
-    "vectors_radius_euclidean_all_samples": _radius_vectors(None, None, direction_mode="euclidean"),
-    "radius_min_coverage_all_samples": _radius_vectors(None, None, min_coverage=0.9),
-    "pairwise_radius_all_samples": lambda s, d: _radius_pairs(s, d, None),
     "module_gene_bins": lambda s, d: rounded(M.gene_bins(fixture(s, d), 5), "mean"),
     "module_scores": _module_scores,
     "overlay_counts_cell": _overlay("cell"),
@@ -328,6 +441,34 @@ QUERIES = {
     "kde_curve": _kde,
     "paired_wilcoxon": _paired,
     "proportion_test": _proportion,
+    "proportion_z": _proportion_z,
+    "binstat_mann_whitney_u": _bin_test_u,
+    "paired_wilcoxon_w": _paired_w,
+    "gene_layer_grid": _layer_grid,
+    "grid_odd_feature_names": _odd_names,
+    "points_parquet": _round_trip,
+    "module_scores_added": _added_scores,
+    "binstat_feature_cutoff": _bins_by_feature,
+    "binstat_given_mask": _bins_masked,
+    "grid_feature_map_cohort": _map_cohort,
+    "niche_cohort_cutoff": _cohort_niches,
+    "vectors_grid_niche_of_another": _niche_alias,
+    "vectors_radius_niche_target": _radius_niche,
+    "niche_one_sample": _one_niche_sample,
+    "api_vectors_cohort": _api_cohort(),
+    "api_vectors_cohort_cutoff": _api_cohort(cutoff_method="mean_of_sample_level_means"),
+    "api_vectors_kdtree": _api_kdtree,
+    "api_vectors_kdtree_all_points": _api_kdtree_obj,
+    "api_pairwise_kdtree": _api_kdtree_pairs,
+    "cordstat_adjusted": _adjusted_cordstat,
+    "cordstat_beyond_the_grid": _cordstat((40, 35, 50, 3)),
+    "overlay_counts_cohort": _cohort_overlay,
+    "overlay_counts_median": _overlay_rule("median"),
+    "overlay_counts_quantile": _overlay_rule(("quantile", 0.9)),
+    "overlay_counts_zero": _overlay_rule("zero"),
+    "niche_feature_range_cell": _niche_range_cells,
+    "niche_overlay_counts_cell": _niche_overlay_cells,
+    "cutoff_chosen_samples": _chosen_samples,
 }
 
 

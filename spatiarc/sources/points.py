@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spatiarc.functions.expressions import finite, names_of
+from spatiarc.plans.lookup import Lookup
+
+#: Columns of every point; a feature of such a name is kept in a column of another.
+RESERVED = ("obs_idx", "sample", "x", "y")
+
+
+def column_of(name: str, taken: tuple[str, ...] = RESERVED) -> str:
+    """The column that holds a feature, where ``taken`` (whatever their case) have a meaning of their own."""
+    return f"feature:{name}" if name.lower() in taken else name
 
 
 @dataclass(frozen=True)
@@ -39,8 +49,9 @@ class PointSet:
         if sample_col is not None and sample_col not in cells.columns:
             raise KeyError(f"no sample column {sample_col!r}")
         sample = F.lit("obj") if sample_col is None else F.col(f"`{sample_col}`").cast("string")
-        others = [c for c in cells.columns if c not in used | {id_col, sample_col, "obs_idx", "sample", "x", "y"}]
-        rows = cells.select(F.col(f"`{id_col}`").cast("bigint").alias("obs_idx"), sample.alias("sample"), x.alias("x"), y.alias("y"), *[F.col(f"`{c}`") for c in others])
+        others = [c for c in cells.columns if c not in used | {id_col, sample_col}]
+        kept = [F.col(f"`{c}`").alias(column_of(c)) for c in others]
+        rows = cells.select(F.col(f"`{id_col}`").cast("bigint").alias("obs_idx"), sample.alias("sample"), x.alias("x"), y.alias("y"), *kept)
         if check:
             bad = rows.agg(F.count_if(finite(F.col("x")).isNull() | finite(F.col("y")).isNull()).alias("xy"), F.count_if(F.col("sample").isNull()).alias("s")).first()
             if bad.xy:
@@ -67,15 +78,21 @@ class PointSet:
             if table is not None:
                 table.write.mode(mode).parquet(f"{path}/{name}.parquet")
 
+    @cached_property
+    def origins(self) -> Lookup:
+        """Per sample, the least coordinates ``x0, y0``: found once, and small beside the points."""
+        return Lookup(self.cells.groupBy("sample").agg(F.min("x").alias("x0"), F.min("y").alias("y0")), ["sample"])
+
     def where(self, samples) -> PointSet:
-        """Only these samples; none found raises."""
+        """Only these samples; one without points raises."""
         if samples is None:
             return self
         names = [str(s) for s in ([samples] if isinstance(samples, str) else samples)]
-        rows = self.cells.where(F.col("sample").isin(names))
-        if not rows.limit(1).count():
-            raise ValueError(f"no cells of samples {names}")
-        return replace(self, cells=rows)
+        chosen = replace(self, cells=self.cells.where(F.col("sample").isin(names)))
+        there = {r["sample"] for r in chosen.origins.table.select("sample").collect()}  # as many as were named
+        if missing := [n for n in names if n not in there]:
+            raise ValueError(f"no cells of samples {missing}")
+        return chosen
 
     def samples(self) -> DataFrame:
         """Samples by first appearance: ``sample, first_idx``."""
@@ -84,44 +101,51 @@ class PointSet:
     def known(self, features) -> list[str]:
         """Those of the features that a cell column or a gene has."""
         names = names_of(features)
-        kept = {n for n in names if n in self.cells.columns and n not in ("obs_idx", "sample", "x", "y")}
+        kept = {n for n in names if column_of(n) in self.cells.columns}
         rest = [n for n in names if n not in kept]
         if rest and self.genes is not None:
             kept |= {r.gene for r in self.genes.where(F.col("gene").isin(rest)).select("gene").distinct().collect()}  # as many as were asked for
         return [n for n in names if n in kept]
 
-    def wide(self, features) -> DataFrame:
-        """``obs_idx, sample, x, y`` and one double column per feature, by name; missing values are NULL.
+    def columns(self, features) -> DataFrame:
+        """``obs_idx, sample, x, y`` and one double column per feature, ``v0, v1, ...``; missing values are NULL.
 
         Only the asked columns are read. Genes become columns in one aggregation; a cell without a row of a gene has 0.
         """
         names = names_of(features)
         if missing := sorted(set(names) - set(self.known(names))):
             raise KeyError(f"unknown features {missing}")
-        own = [n for n in names if n in self.cells.columns]
+        place = {n: f"v{i}" for i, n in enumerate(names)}
+        own = [n for n in names if column_of(n) in self.cells.columns]
         for n in own:
-            kind = self.cells.schema[n].dataType
+            kind = self.cells.schema[column_of(n)].dataType
             if not isinstance(kind, (T.NumericType, T.BooleanType)):
                 raise TypeError(f"feature {n!r} is {kind.simpleString()}, not numeric")
-        rows = self.cells.select("obs_idx", "sample", "x", "y", *[finite(F.col(f"`{n}`")).alias(n) for n in own])
+        rows = self.cells.select(*RESERVED, *[finite(F.col(f"`{column_of(n)}`")).alias(place[n]) for n in own])
         genes = [n for n in names if n not in own]
         if genes:
             picked = self.expr.where((F.col("layer") == self.layer) & F.col("gene").isin(genes))
             by_gene = [F.max(F.when(F.col("gene") == g, F.struct(finite(F.col("value")).alias("v")))).alias(f"g{i}") for i, g in enumerate(genes)]
             wide = picked.groupBy("obs_idx").agg(*by_gene)
             rows = rows.join(wide, "obs_idx", "left")
-            filled: list[Column] = [F.when(F.col(f"g{i}").isNull(), F.lit(0.0)).otherwise(F.col(f"g{i}.v")).alias(g) for i, g in enumerate(genes)]
-            rows = rows.select("obs_idx", "sample", "x", "y", *[F.col(f"`{n}`") for n in own], *filled)
-        return rows.select("obs_idx", "sample", "x", "y", *[F.col(f"`{n}`") for n in names])
+            filled: list[Column] = [F.when(F.col(f"g{i}").isNull(), F.lit(0.0)).otherwise(F.col(f"g{i}.v")).alias(place[g]) for i, g in enumerate(genes)]
+            rows = rows.select(*RESERVED, *[place[n] for n in own], *filled)
+        return rows.select(*RESERVED, *[f"v{i}" for i in range(len(names))])
+
+    def wide(self, features) -> DataFrame:
+        """``obs_idx, sample, x, y`` and one double column per feature, by name (``column_of``)."""
+        names = names_of(features)
+        return self.columns(names).withColumnsRenamed({f"v{i}": column_of(n) for i, n in enumerate(names)})
 
     def values(self, features) -> DataFrame:
         """Long form: ``obs_idx, sample, x, y, feature, value``."""
-        return unpivot(self.wide(features), ["obs_idx", "sample", "x", "y"], names_of(features))
+        return unpivot(self.columns(features), list(RESERVED), names_of(features))
 
 
-def unpivot(wide: DataFrame, ids: list[str], names: list[str], value: str = "value") -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").cast("double").alias("v")) for n in names])
-    return wide.select(*ids, F.explode(pairs).alias("p")).select(*ids, "p.feature", F.col("p.v").alias(value))
+def unpivot(columns: DataFrame, ids: list[str], names: list[str], value: str = "value") -> DataFrame:
+    """Columns ``v0, v1, ...`` as rows of their names."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"v{i}").cast("double").alias("v")) for i, n in enumerate(names)])
+    return columns.select(*ids, F.explode(pairs).alias("p")).select(*ids, "p.feature", F.col("p.v").alias(value))
 
 
 def write_back(cells: DataFrame, found: DataFrame, columns: dict[str, Column], id_col: str = "obs_idx") -> DataFrame:

@@ -133,7 +133,7 @@ def test_empty_masks_and_scores(spark):
     assert scores["unknown"] == 0.0
     assert {r.feature: r.vector_len for r in displace.vector_length(rows).collect()}["unknown"] == 0.0
     masks, _ = displace.wide_masks(points, ["f"], 1.0, cutoffs={"f": 5.0})
-    empty = displace.pairwise_scores(masks.withColumn("h", F.col("f")), ["f", "h"], 1)
+    empty = displace.pairwise_scores(masks.withColumn("on:h", F.col("`on:f`")), ["f", "h"], 1)
     assert [r.projected_score for r in empty.collect()] == [None, None]
     with pytest.raises(KeyError):
         displace.grid_vectors(points, "unknown", ["g"], [1])
@@ -221,7 +221,7 @@ def test_draws_and_methods(spark):
     assert (draw_size(12_345), draw_size(999), draw_size(50, 20), draw_size(50, exact=7)) == (12_000, 999, 40, 7)
     with pytest.raises(ValueError):
         draw_size(5, exact=6)
-    assert cutoff_level("Grid-level") == "grid" and cutoff_level("cells") == "cell" and cutoff_method("Balanced-mean") == "balanced_global_mean"
+    assert cutoff_level("Grid-level") == "grid" and cutoff_level("cells") == "cell" and cutoff_method("Balanced-Global-mean") == "balanced_global_mean"
     for wrong in (lambda: cutoff_level("pixel"), lambda: cutoff_method("mode")):
         with pytest.raises(ValueError):
             wrong()
@@ -354,7 +354,7 @@ def test_api(square):
         x = api.spatial_vector_x(square, "f", ["g"], samples=["s", "gone"], steps=[1], grid_size=1.0, cutoff_method="mean_of_sample_means")
     assert x.pool_raw.count() == 1 and x.sample_vector_len.count() == 1
     with pytest.raises(ValueError):
-        api.spatial_vector_x(square, "f", ["g"], cutoff_method="balanced_mean", quantile_cutoffs=0.5)
+        api.spatial_vector_x(square, "f", ["g"], cutoff_method="balanced_global_mean", quantile_cutoffs=0.5)
     with pytest.raises(KeyError):
         api.spatial_vector_x(square, "f", ["nope"], steps=[1], cutoff_method="mean_of_sample_means")
     with pytest.raises(KeyError):
