@@ -223,9 +223,10 @@ def window_names(runs: DataFrame, step: int) -> DataFrame:
     return runs.mapInArrow(run, "k bigint, f bigint, d int, w bigint")
 
 
-def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Those rows whose keys occur more than once."""
-    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), keys)
+def repeated(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """Those rows whose keys occur more than once. The keys are written first: beside a plain shuffle adaptive execution can split
+    the rows of a hot key."""
+    return rows.join(scratch.save(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), name), keys)
 
 
 def removed_runs(entries: list[dict], span: int = SPAN) -> list[tuple[int, int]]:
@@ -256,17 +257,17 @@ def repeated_entries(docs: DataFrame, scratch: Scratch, span: int = SPAN, reach:
     try:
         for i in range(batches):
             family.add(entries.where(F.pmod(F.col("t1"), F.lit(batches)) == i))
-        found = scratch.save(entries.join(family.scan(), "k"), "found")
+        found = scratch.save(entries.join(scratch.save(family.scan(), "hits"), "k"), "found")
     finally:
         family.scratch.drop()
     scratch.drop("entries")
     one_each = found.groupBy("k", "f").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "a", "lo", "hi")).alias("e"))
     one_each = scratch.save(one_each.select("k", "f", "n", "e.*"), "one-each")
-    per_text = repeated(one_each, ["k"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("k", "f", "a", "lo", "hi")).alias("es"))
+    per_text = repeated(one_each, ["k"], scratch, "cores").groupBy("t1", "t2").agg(F.collect_list(F.struct("k", "f", "a", "lo", "hi")).alias("es"))
     keyed = with_text_key(docs.select("text").where(F.octet_length("text") >= span))
     around = scratch.save(around_cores(keyed, per_text, span, step).dropDuplicates(["k", "f", "p"]), "around")  # copies of a text are cut the same
-    windows = scratch.save(window_names(repeated(around, ["k", "p", "s"]), step), "windows")
-    some = repeated(windows, ["k", "d", "w"]).groupBy("k", "f").agg(F.sort_array(F.collect_set("d")).alias("ds"))
+    windows = scratch.save(window_names(repeated(around, ["k", "p", "s"], scratch, "runs"), step), "windows")
+    some = repeated(windows, ["k", "d", "w"], scratch, "equal").groupBy("k", "f").agg(F.sort_array(F.collect_set("d")).alias("ds"))
     states = one_each.select("k", "f", "n").join(some, ["k", "f"], "left")
     states = states.select("k", "f", ((F.col("n") > 1) | F.col("ds").isNotNull()).alias("on"), F.when(F.col("n") == 1, F.col("ds")).alias("ds"))
     rows = found.join(states, ["k", "f"])
@@ -281,7 +282,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, reach: int = REACH, batche
     scratch = Scratch(docs.sparkSession, "repeats")
     try:
         found = repeated_entries(docs, scratch, span, reach, batches)
-        for name in ("found", "one-each", "around", "windows"):
+        for name in ("hits", "found", "cores", "one-each", "runs", "around", "equal", "windows"):
             scratch.drop(name)
     except BaseException:
         scratch.drop()
