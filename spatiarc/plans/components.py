@@ -16,7 +16,11 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     join beside it may be split by adaptive execution, so a hub holds no single task. Every round is a written table.
     Self-loops and NULL ends are ignored; an empty edge table gives no rows.
     """
-    scratch = Scratch(edges.sparkSession, name)
+    with Scratch(edges.sparkSession, name) as scratch:
+        return _contracted(edges, scratch, max_rounds)
+
+
+def _contracted(edges: DataFrame, scratch: Scratch, max_rounds: int) -> DataFrame:
     both = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     table = scratch.save(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "r0")
     before = None

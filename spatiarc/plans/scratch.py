@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -25,11 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables of one run under the shared folder."""
+    """Parquet tables of one run under the shared folder. As a context manager it deletes them when the block fails. Tables that a
+    returned DataFrame still reads stay until ``drop``, ``drop_all`` or the end of the application."""
+
+    live: set[Scratch] = set()
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        Scratch.live.add(self)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is not None:
+            self.drop()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -39,13 +52,28 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str = "") -> None:
-        """Delete a table, or everything, through Hadoop's file system (the folder may be remote)."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables, or everything, through Hadoop's file system (the folder may be remote)."""
+        sc = self.spark.sparkContext
+        for at in [self.path(n) for n in names] or [self.root]:
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        if not names:
+            Scratch.live.discard(self)
+
+
+def drop_all() -> None:
+    """Delete every table that is left, when no result is read any more; it runs by itself at the end of the application."""
+    for scratch in list(Scratch.live):
+        if scratch.spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # one that can't be reached must not keep the others
+                scratch.drop()
+
+
+atexit.register(drop_all)
 
 
 def once(df: DataFrame, name: str) -> DataFrame:
     """A table that several parts of a plan read, written so that its input is scanned once and not per reader."""
-    return Scratch(df.sparkSession, name).save(df, "table")
+    with Scratch(df.sparkSession, name) as scratch:
+        return scratch.save(df, "table")
