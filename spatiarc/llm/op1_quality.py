@@ -7,8 +7,9 @@ for every document exact cosines with all of them are computed block by block, a
 their labels, weighted by similarity. Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0; nothing but
 the text enters a score.
 
-Defined cases: null and empty texts have the zero form and score what their neighbours give; without labelled rows every
-score is 0.5; repeated rows stay; labels without a document, or null, teach nothing; extra columns play no part.
+Defined cases: null and empty texts have the zero form and score what their neighbours give; an empty table gives no rows; without
+labelled rows every score is 0.5; of neighbours tied at the last place those first in the sample's order vote; very long texts are
+counted whole; repeated rows stay; labels without a document, or null, teach nothing; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -90,12 +91,22 @@ class Latent:
         for a in range(0, len(grams), block):
             z = self.unit(self.weigh(grams[a : a + block], forms[a : a + block]) @ self.axes)
             cos = z @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            near = nearest(cos, k)
             w = np.maximum(np.take_along_axis(cos, near, 1), 1e-3).astype(np.float64) ** POWER
             out[a : a + block] = np.clip((w * self.labels[near]).sum(1) / w.sum(1), 0, 1)
         return out
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the ``k`` greatest cosines of each row; of those tied at the kth, the first columns."""
+    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    kth = np.take_along_axis(cos, near, 1).min(1)
+    for i in np.flatnonzero((cos >= kth[:, None]).sum(1) > k):
+        above = np.flatnonzero(cos[i] > kth[i])
+        near[i] = np.concatenate([above, np.flatnonzero(cos[i] == kth[i])[: k - len(above)]])
+    return near
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
