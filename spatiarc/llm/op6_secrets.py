@@ -1,36 +1,49 @@
 """Secret scans: fixed patterns, and a password guess-cost dynamic program over values in credential contexts.
 
 Base spans are the matches of three patterns. The method adds spans of kind ``guess``: values that stand after a credential
-word (a wider set than the base pattern's, with any non-space characters), past the scheme ``Bearer`` if it comes first, and
-whose guess cost is at least ``10 ** GUESSES``. The cost of a value is that of its cheapest segmentation into words, dates,
-repeats, keyboard walks and brute-force spans: the sum of log10 guesses of the spans, plus log10 of the factorial of their
-number, since an attacker must also try the orders. Base spans stay whatever they cost.
+word (a wider set than the base pattern's, with any non-space characters, after a sign or "is"), past the scheme ``Bearer`` if it
+comes first, or before the host of an address, and whose guess cost is at least ``10 ** GUESSES``. The cost of a value is that
+of its cheapest segmentation into words, dates, repeats, keyboard walks, separators and brute-force spans: the sum of log10
+guesses of the spans, plus log10 of the factorial of how many there are (separators apart), since an attacker must also try
+the orders. Base spans stay whatever they cost.
 
-Defined cases: null and empty texts have no spans; spans are half-open in code points, found in whole texts of any length;
-repeated rows stay; other columns, nulls among them, play no part.
+Words cost their rank in a dictionary by frequency: the fixed parts of passwords first, then the words of a public vocabulary in
+its order, then words that the scanned texts hold at least ``COMMON`` times, at most ``DICTIONARY`` of them. So ordinary words, of
+any language that the corpus is in, aren't taken for secrets.
+
+The program keeps only the ends of segmentations that cost less than its bound, so it looks a few dozen characters past the last
+cheap span, whatever the length of a value.
+
+Defined cases: null and empty texts have no spans; an empty table gives no rows; spans are half-open in code points, found in
+whole texts of any length; of equal starts, base spans come first; repeated rows stay; other columns, nulls among them, play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import json
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spatiarc.llm.common import field_sql, table, text_slices, with_columns
+from spatiarc.llm.op5_bpe import byte_letters, frequent_words, tokenizer_path
 
-GUESSES, SHORTEST, WALK, MOST = 10.0, 6, 24, 13
+GUESSES, SHORTEST, DICTIONARY, COMMON, LONGEST, FAR = 12.0, 6, 30_000, 25, 24, 40.0
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
     r"""(?:(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)"""
-    r"""["']?\x20*(?::|=>?)\x20*["'`]?(?:Bearer\x20+["'`]?)?+|\bBearer\x20+["'`]?)([^\s"'`<>,;]{6,})""",
+    r"""["']?(?:\x20*(?::|=>?)\x20*|\x20+(?:is|was)\x20+)["'`]?(?:Bearer\x20+["'`]?)?+|\bBearer\x20+["'`]?)([^\s"'`<>,;]{6,})""",
     re.I | re.A,
 )
+ADDRESS = re.compile(r"://[^\s:@/]{1,64}:([^\s@/]{6,256})@")
 #: One of these is in every text that the two patterns above can match; a plain search for them is cheaper.
 HINTS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "auth", "bearer")
 #: Frequent parts of passwords, most frequent first.
@@ -42,8 +55,8 @@ january february march april june july august september october november decembe
 #: Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST_WORD = max(map(len, WORDS))
 _LEET = str.maketrans("@4310$5!7", "aaeiossit")
+_SEPARATORS, _SEPARATOR_COST = "-_./ ", math.log10(5)
 _NEAR = {}
 for _r, _row in enumerate(ROWS):
     for _c, _k in enumerate(_row):
@@ -51,71 +64,130 @@ for _r, _row in enumerate(ROWS):
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d", re.A)
 
 
+def vocabulary_words(path: str) -> list[str]:
+    """Words of a byte-level vocabulary file: its letter-only pieces that begin a word, in its order."""
+    letters, out = byte_letters(), []
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    for piece in sorted(vocabulary, key=vocabulary.get):
+        if all(c in letters for c in piece):
+            word = bytes(letters[c] for c in piece).decode("utf-8", "replace")
+            if word[:1] == " " and len(word) > 2 and word[1:].isalpha():
+                out.append(word[1:].lower())
+    return out
+
+
+def dictionary(docs: DataFrame | None = None, tokenizer: str | None = None, size: int = DICTIONARY) -> dict[str, int]:
+    """Words by rank: fixed ones, those of a vocabulary file, those frequent in ``docs``; words of over ``LONGEST`` letters are left out."""
+    words = [*WORDS, *(vocabulary_words(tokenizer) if tokenizer else [])]
+    if docs is not None:
+        found = [(w.strip().lower(), n) for w, n in frequent_words(docs, size, COMMON)]
+        words += [w for w, _ in sorted(found, key=lambda x: (-x[1], x[0])) if w.isalpha()]
+    ranks: dict[str, int] = {}
+    for w in words:
+        if 2 <= len(w) <= LONGEST:
+            ranks.setdefault(w, len(ranks) + 1)
+    return ranks
+
+
 def _alphabet(value: str) -> int:
     kinds = ((str.isdigit, 10), (str.islower, 26), (str.isupper, 26))
     n = sum(size for test, size in kinds if any(map(test, value)))
     return n + 33 * any(not (c.isdigit() or c.isalpha()) for c in value) or 10
 
 
-def cheap_spans(value: str) -> list[list[tuple[int, float]]]:
-    """For each start, (end, log10 guesses) of the words, dates, repeats and keyboard walks there."""
-    n, low = len(value), value.lower()
-    plain = low.translate(_LEET)
-    per_char = math.log10(_alphabet(value))
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    runs = {size: [0] * (n + 1) for size in (1, 2, 3, 4)}  # characters from i on that equal the one `size` later
-    near = [0] * (n + 1)  # steps from i on between neighbouring keys or characters
-    for i in range(n - 1, -1, -1):
-        for size, run in runs.items():
-            run[i] = run[i + 1] + 1 if i + size < n and value[i] == value[i + size] else 0
-        beside = i + 1 < n and (low[i + 1] in _NEAR.get(low[i], ()) or abs(ord(low[i + 1]) - ord(low[i])) == 1 and low[i + 1].isalnum())
-        near[i] = near[i + 1] + 1 if beside else 0
-    for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
-            for form, extra in ((low[i:j], 1), (plain[i:j], 4), (low[i:j][::-1], 2)):
-                if form in _RANK:
+def repeat_length(value: str, i: int, size: int) -> int:
+    """Characters from ``i`` on that equal the one ``size`` later, by comparing ever longer slices."""
+    n, done, step = len(value), 0, 16
+    while (m := min(step, n - i - size - done)) > 0:
+        if value[i + done : i + done + m] == value[i + size + done : i + size + done + m]:
+            done, step = done + m, step * 2
+        elif m == 1:
+            break
+        else:
+            step = m // 2
+    return done
+
+
+class Spans:
+    """The cheap spans of a value, found from each start that the program reaches."""
+
+    def __init__(self, value: str, ranks: dict[str, int]):
+        self.value, self.low, self.ranks, self.per_char = value, value.lower(), ranks, math.log10(_alphabet(value))
+        if len(self.low) != len(value):  # a few letters lower to two characters
+            self.low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        self.plain = self.low.translate(_LEET)
+
+    def beside(self, i: int) -> bool:
+        a, b = self.low[i], self.low[i + 1]
+        return b in _NEAR.get(a, ()) or abs(ord(b) - ord(a)) == 1 and b.isalnum()
+
+    def at(self, i: int, budget: float = math.inf) -> Iterator[tuple[int, float, int]]:
+        """(end, log10 guesses, 1 or for a separator 0) of the spans from ``i`` that cost less than ``budget``."""
+        value, low, n = self.value, self.low, len(self.value)
+        for j in range(i + 2, min(n, i + LONGEST) + 1):
+            for form, extra in ((low[i:j], 1), (self.plain[i:j], 4), (low[i:j][::-1], 2)):
+                if (rank := self.ranks.get(form)) is not None:
                     cased = value[i:j]
                     caps = 1 if cased == low[i:j] else 2 if cased[1:] == low[i + 1 : j] or cased.isupper() else 2 ** sum(map(str.isupper, cased))
-                    ends[i].append((j, math.log10(_RANK[form] * extra * caps + 1)))
+                    yield j, math.log10(rank * extra * caps + 1), 1
+        if value[i] in _SEPARATORS:
+            yield i + 1, _SEPARATOR_COST, 0
         if m := _DATE.match(value, i):
-            ends[i].append((m.end(), math.log10(365 * 120 if m.end() - i > 6 else 120 * 12 if m.end() - i > 4 else 120)))
-        for size, run in runs.items():
-            times = 1 + run[i] // size
+            yield m.end(), math.log10(365 * 120 if m.end() - i > 6 else 120 * 12 if m.end() - i > 4 else 120), 1
+        for size in (1, 2, 3, 4):
+            times = 1 + repeat_length(value, i, size) // size
             if times * size >= max(3, 2 * size):
-                ends[i].append((i + times * size, size * per_char + math.log10(times)))
-        turns, step = 0, None
-        for j in range(i + 1, i + 1 + min(near[i], WALK)):  # a longer walk is several
-            now = ord(low[j]) - ord(low[j - 1])
-            turns, step = turns + (step is not None and now != step), now
+                yield i + times * size, size * self.per_char + math.log10(times), 1
+        j, turns, step = i, 0, None
+        while j + 1 < n and self.beside(j):
+            now = ord(low[j + 1]) - ord(low[j])
+            turns, step, j = turns + (step is not None and now != step), now, j + 1
+            cost = math.log10(47 * (j + 1 - i)) + turns * math.log10(6)
+            if cost >= budget:
+                break
             if j - i >= 3:
-                ends[i].append((j + 1, math.log10(47 * (j + 1 - i)) + turns * math.log10(6)))
-    return ends
+                yield j + 1, cost, 1
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; best[i][k] covers the first i characters in k spans.
+def guess_cost(value: str, ranks: dict[str, int] | None = None, most: float = FAR) -> float:
+    """log10 of the guesses of the cheapest segmentation, or ``most`` if that is no less.
 
-    At most ``MOST`` spans are tried: the orders of more alone cost more than any threshold in use.
+    States are (spans so far, whether the last is brute force and still open) at each end that some segmentation reaches below
+    ``most``; a longer brute-force span passes it soon, so few ends are held at a time.
     """
-    n, per_char, ends = len(value), math.log10(_alphabet(value)), cheap_spans(value)
-    most = min(n, MOST)
-    best = [[math.inf] * (most + 1) for _ in range(n + 1)]
-    brute = [[math.inf] * (most + 1) for _ in range(n + 1)]  # the last span is brute force and still open
-    best[0][0] = 0.0
-    for i in range(n):
-        for k in range(most + 1):
-            at = best[i][k]
-            if brute[i][k] + per_char < brute[i + 1][k]:
-                brute[i + 1][k] = brute[i][k] + per_char
-            if at < math.inf and k < most:
-                brute[i + 1][k + 1] = min(brute[i + 1][k + 1], at + per_char)
-                for j, cost in ends[i]:
-                    best[j][k + 1] = min(best[j][k + 1], at + cost)
-        best[i + 1] = list(map(min, best[i + 1], brute[i + 1]))
-    return min((c + math.log10(math.factorial(k)) for k, c in enumerate(best[n])), default=0.0)
-
-
-def find_secrets(text: str) -> list[tuple[str, int, int]]:
+    spans, orders = Spans(value, _RANK if ranks is None else ranks), lambda k: math.lgamma(k + 1) / math.log(10)
+    n, per_char = len(value), spans.per_char
+    held: dict[int, dict[tuple[int, bool], float]] = {0: {(0, False): 0.0}}
+    ends = [0]
+
+    def reach(j: int, k: int, brute: bool, cost: float) -> None:
+        if cost + orders(k) >= most:
+            return
+        if j not in held:
+            held[j] = {}
+            heapq.heappush(ends, j)
+        held[j][k, brute] = min(cost, held[j].get((k, brute), math.inf))
+
+    while ends:
+        i = heapq.heappop(ends)
+        states = held.pop(i)
+        if i == n:
+            return min(most, min(c + orders(k) for (k, _), c in states.items()))
+        closed: dict[int, float] = {}
+        for (k, brute), c in states.items():
+            closed[k] = min(c, closed.get(k, math.inf))
+            if brute:
+                reach(i + 1, k, True, c + per_char)
+        cheap = list(spans.at(i, most - min(closed.values())))
+        for k, c in closed.items():
+            reach(i + 1, k + 1, True, c + per_char)
+            for j, cost, counted in cheap:
+                reach(j, k + counted, False, c + cost)
+    return most
+
+
+def find_secrets(text: str, ranks: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) by start, then kind, then end."""
     low = text.lower()
     named = any(word in low for word in HINTS)
@@ -123,21 +195,29 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    for m in CONTEXT.finditer(text) if named else ():
-        value = m.group(1).rstrip(".!?)]}")
-        if len(value) >= SHORTEST and value.lower() != "bearer" and not value.startswith(("http://", "https://")) and guess_cost(value) >= GUESSES:
-            spans.append(("guess", m.start(1), m.start(1) + len(value)))
+    found = [*(CONTEXT.finditer(text) if named else ()), *(ADDRESS.finditer(text) if "://" in text else ())]
+    guesses = set()
+    for m in found:
+        value = m.group(1) if m.re is ADDRESS else m.group(1).rstrip(".!?)]}")
+        if len(value) >= SHORTEST and value.lower() != "bearer" and not value.startswith(("http://", "https://")) and guess_cost(value, ranks, GUESSES) >= GUESSES:
+            guesses.add(("guess", m.start(1), m.start(1) + len(value)))
     order = {k: i for i, k in enumerate(KINDS)}
-    return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))
+    return sorted([*spans, *guesses], key=lambda s: (s[1], order[s[0]], s[2]))
+
+
+def shared_dictionary(docs: DataFrame, tokenizer: str | None):
+    """The dictionary as a broadcast variable: at most ``DICTIONARY`` words of the corpus beside the files' own."""
+    return docs.sparkSession.sparkContext.broadcast(dictionary(docs, tokenizer))
 
 
-def scan_documents(docs: DataFrame) -> DataFrame:
+def scan_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``doc_id`` and its ``found`` spans, an array of (kind, start, end)."""
+    words = shared_dictionary(docs, tokenizer)
 
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b, texts in text_slices(batches):
-            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_secrets(t.decode("utf-8", "replace"))] for t in texts]
+            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_secrets(t.decode("utf-8", "replace"), words.value)] for t in texts]
             yield with_columns(b, ["doc_id"], found=pa.array(found, kind))
 
     return docs.select("doc_id", "text").mapInArrow(run, field_sql(docs, "doc_id") + ", found array<struct<kind:string,start:bigint,end:bigint>>")
@@ -158,8 +238,9 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_documents(docs: DataFrame) -> DataFrame:
+def redact_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``docs`` with secrets replaced in ``text``; ``n_chars`` of changed texts is counted anew. Null texts stay null."""
+    words = shared_dictionary(docs, tokenizer)
 
     def run(batches):
         for b, texts in text_slices(batches):
@@ -167,7 +248,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
             new, counts = [], b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else None
             for i, t in enumerate(texts):
                 text = t.decode("utf-8", "replace")
-                if spans := find_secrets(text):
+                if spans := find_secrets(text, words.value):
                     text = redact(text, spans)
                     if counts is not None:
                         counts[i] = len(text)
@@ -182,10 +263,11 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    words = shared_dictionary(docs, tokenizer_path())
 
     def run(batches):
         for b, texts in text_slices(batches):
-            rows = [find_secrets(t.decode("utf-8", "replace")) for t in texts]
+            rows = [find_secrets(t.decode("utf-8", "replace"), words.value) for t in texts]
             joined = [",".join(f"{k}:{a}:{e}" for k, a, e in r) for r in rows]
             base = [",".join(f"{k}:{a}:{e}" for k, a, e in r if k != "guess") for r in rows]
             counts = {f"n_{k}": pa.array([sum(s[0] == k for s in r) for r in rows], pa.int64()) for k in KINDS[:3]}
