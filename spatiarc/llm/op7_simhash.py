@@ -3,7 +3,7 @@
 Two fingerprints within ``radius`` bits agree on at least one of ``radius + 1`` blocks of bits, so the distinct
 fingerprints are dealt once per block by its value; each (block, value) is a shard with a BK-tree of its own, and only the
 tree of the shard that a query falls in is searched. A shard of more than ``heavy`` fingerprints is dealt again by blocks
-of its other bits, which must also agree on one of ``radius + 1``. Each shard returns one link per fingerprint (to the
+of its other bits, which must also agree on one of ``radius + 1``, and so on. Each shard returns one link per fingerprint (to the
 least fingerprint that it reaches inside the shard), never all pairs; links of all shards meet in ``connected_components``.
 Trees go to tasks with their shard instead of by broadcast, as their size grows with the data.
 
@@ -24,7 +24,7 @@ from spatiarc.llm.common import field_sql, sorted_groups, table, text_slices, wi
 from spatiarc.plans.components import connected_components
 from spatiarc.plans.scratch import Scratch
 
-SHINGLE, RADIUS, SEED, SHARD, HEAVY = 4, 4, 42, 256, 8192
+SHINGLE, RADIUS, SEED, SHARD, HEAVY, DEPTH = 4, 4, 42, 256, 8192, 4
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -137,37 +137,67 @@ def shard_links(points: np.ndarray, radius: int = RADIUS, block: int = 1024) ->
     return np.array([find(i) for i in range(len(points))], np.int64)
 
 
-def _blocks(bits: int, radius: int, within: tuple[int, int] = (0, 64)) -> list[tuple[int, int]]:
-    """``radius + 1`` disjoint (shift, bits) blocks of at most ``bits`` bits in a range of bits."""
-    low, high = within
-    step = (high - low) // (radius + 1)
-    return [(low + i * step, min(bits, step)) for i in range(radius + 1)]
+def free_blocks(path: tuple[int, ...], radius: int) -> list[list[int]]:
+    """The ``radius + 1`` blocks of bits into which a shard is dealt that has used up a block at each step of ``path``."""
+    free: list[int] = list(range(64))
+    parts: list[list[int]] = []
+    for step in (*path, None):
+        size, most = len(free) // (radius + 1), 12
+        parts = [free[i * size : i * size + min(size, most)] for i in range(radius + 1)]
+        if step is not None:
+            free = [b for b in free if b not in parts[step]]
+    return parts
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
+def block_values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
+    out = np.zeros(len(fp), np.int64)
+    for i, b in enumerate(bits):
+        out |= ((fp >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << i
+    return out
+
+
+def dealt_again(rows: DataFrame, radius: int) -> DataFrame:
+    """Rows (fp, path, key) of heavy shards, once for each block of their other bits, which near ones must agree on too."""
+
+    def run(batches):
+        for b in batches:
+            fp, key, paths = b.column("fp").to_numpy(), b.column("key").to_numpy(), np.array(b.column("path").to_pylist(), object)
+            for path in sorted(set(paths.tolist())):
+                on = paths == path
+                for i, bits in enumerate(free_blocks(tuple(map(int, path.split("."))), radius)):
+                    values = block_values(fp[on].view(np.uint64), bits)
+                    keys = [xxhash.xxh64_intdigest(f"{k}.{i}.{v}") for k, v in zip(key[on].tolist(), values.tolist(), strict=True)]
+                    arrays = [pa.array(fp[on]), pa.array([f"{path}.{i}"] * int(on.sum()), pa.string()), pa.array(np.array(keys, np.uint64).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["fp", "path", "key"])
+
+    return rows.select("fp", "path", "key").mapInArrow(run, "fp bigint, path string, key bigint")
+
+
+def near_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
     """Links ``(u, v)`` that connect the fingerprints ``fp`` just as all pairs within ``radius`` bits would."""
     n = distinct.count()
     bits = max(1, min(64 // (radius + 1), int(np.ceil(np.log2(max(n, 1) / SHARD + 1)))))
-    blocks = _blocks(bits, radius)
-
-    def key(i, shift, width):
-        return F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
-
-    dealt = distinct.select("fp", F.explode(F.array(*[key(i, s, w) for i, (s, w) in enumerate(blocks)])).alias("k")).select("fp", "k.b", "k.v")
-    counts = dealt.groupBy("b", "v").agg(F.count("*").alias("m")).where(F.col("m") > heavy)
-    marked = dealt.join(counts, ["b", "v"], "left")
-    sub = F.lit(None)
-    for i, (shift, width) in enumerate(blocks):  # the other bits of a heavy shard: rotate its block away, then blocks of the rest
-        rotated = F.expr(f"shiftrightunsigned(fp, {shift + width}) | shiftleft(fp, {64 - shift - width})") if shift + width < 64 else F.col("fp")
-        parts = [
-            F.struct(F.lit(j).alias("sb"), F.shiftrightunsigned(rotated, s).bitwiseAND(F.lit((1 << w) - 1)).alias("sv"))
-            for j, (s, w) in enumerate(_blocks(12, radius, (0, 64 - width)))
-        ]
-        sub = F.when(F.col("b") == i, F.array(*parts)).otherwise(sub)
-    plain = F.array(F.struct(F.lit(-1).alias("sb"), F.lit(0).cast("bigint").alias("sv")))
-    keys = ["b", "v", "sb", "sv"]
-    shards = marked.withColumn("s", F.explode(F.when(F.col("m").isNull(), plain).otherwise(sub))).select("b", "v", "s.sb", "s.sv", "fp")
-    dealt = shards.repartition(*keys).sortWithinPartitions(*keys, "fp")
+    step = 64 // (radius + 1)
+
+    def key(i):
+        value = F.shiftrightunsigned("fp", i * step).bitwiseAND(F.lit((1 << min(bits, step, 12)) - 1))
+        return F.struct(F.lit(str(i)).alias("path"), F.xxhash64(F.lit(i), value).alias("key"))
+
+    dealt = distinct.select("fp", F.explode(F.array(*[key(i) for i in range(radius + 1)])).alias("k")).select("fp", "k.path", "k.key")
+    shards = []
+    for depth in range(1, DEPTH + 1):  # a heavy shard is dealt by blocks of its other bits, again while it stays heavy
+        counts = dealt.groupBy("path", "key").agg(F.count("*").alias("m")).where(F.col("m") > heavy)
+        counts = scratch.save(counts.select("path", "key"), f"heavy{depth}")
+        if depth == DEPTH or not counts.limit(1).count():
+            shards.append(dealt)
+            break
+        shards.append(dealt.join(counts, ["path", "key"], "left_anti"))
+        dealt = scratch.save(dealt_again(dealt.join(counts, ["path", "key"]), radius), f"dealt{depth}")
+    every = shards[0]
+    for more in shards[1:]:
+        every = every.unionByName(more)
+    keys = ["path", "key"]
+    sorted_rows = every.repartition(*keys).sortWithinPartitions(*keys, "fp")
 
     def run(batches):
         for _, part in sorted_groups(batches, keys):
@@ -179,19 +209,22 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) ->
             if on.any():
                 yield pa.RecordBatch.from_arrays([pa.array(fp[on]), pa.array(root[on])], names=["u", "v"])
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return sorted_rows.mapInArrow(run, "u bigint, v bigint")
 
 
 def near_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``prints`` (doc_id, fp) with ``component_id``, the smallest doc_id reachable over links of at most ``radius`` bits, and
-    ``root``, the component's least fingerprint, which tells apart components of one ``component_id``."""
-    scratch = Scratch(prints.sparkSession, "simhash")
-    ids = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "ids")
-    links = scratch.save(near_links(ids.select("fp"), radius).distinct(), "links")
-    roots = connected_components(links, "simhash-components")
-    ids = ids.join(roots, ids.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = ids.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = ids.join(least, "root").select("fp", "component_id", "root")
+    ``root``, the component's least fingerprint, which tells apart components of one ``component_id``.
+
+    What is joined by fingerprint or root is written first, so adaptive execution can split the rows of a large group."""
+    with Scratch(prints.sparkSession, "simhash") as scratch:
+        ids = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "ids")
+        links = scratch.save(near_links(ids.select("fp"), scratch, radius).distinct(), "links")
+        roots = scratch.save(connected_components(links, "simhash-components"), "roots")
+        rooted = scratch.save(ids.join(roots, ids.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+        least = scratch.save(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "least")
+        named = scratch.save(rooted.join(least, "root").select("fp", "component_id", "root"), "named")
+        scratch.drop("ids", "links", "roots", "rooted", "least")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
