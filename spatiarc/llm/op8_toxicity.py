@@ -2,21 +2,24 @@
 
 Categories are predicted one after the other, by linear (logistic) models over the presence of words and word beginnings;
 each later model also gets the probabilities of the earlier categories. In training those are out-of-fold predictions, so
-a later model sees them as unsure as they will be. The chain is ``junk`` (quality label 0), ``severe`` (a toxic row with
-more marked words than the median toxic row) and ``toxic``, the label itself; a document is rejected if the last
-probability reaches ``THRESHOLD`` (0.35: a toxic document kept counts as two clean ones lost).
+a later model sees them as unsure as they will be. The categories come from labels and languages, not from words: ``toxic_main`` (toxic, in the sample's most
+frequent language), ``toxic_other`` (toxic, in another, whose marks are rarer) and ``toxic``, the label itself; a document is
+rejected if the last probability reaches ``THRESHOLD`` (0.35: a toxic document kept counts as two clean ones lost). Languages only
+tell which category a training row is of; they enter no score.
 
 Models are fitted on the driver from at most ``SAMPLE`` labelled rows, the first in hash order; features are chosen from
-the sample by their odds. Scoring reads whole texts; a word's weights are looked up once per worker and word.
+the sample by their odds in each category. Scoring reads whole texts; a word's weights are looked up once per worker and word.
 
-Defined cases: null and empty texts have no features and get the models' base rates, never rejected for emptiness alone;
-without labelled rows, or with labels of one kind, probabilities are the base rates; repeated rows stay; labels that are
-null or without a document teach nothing; extra columns play no part.
+Defined cases: an empty table gives no rows; null and empty texts have no features and get the models' base rates, never rejected
+for emptiness alone; without labelled rows, or with labels of one kind, probabilities are the base rates; repeated rows stay; labels
+that are null or without a document teach nothing, of an id labelled twice the greatest labels count; features of equal strength go by
+their hash; very long texts are read whole; extra columns play no part.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +29,15 @@ from pyspark.sql import functions as F
 
 from spatiarc.llm.common import field_sql, hash_sample, table, text_slices, with_columns
 
-SAMPLE, FOLDS, FEATURES, RARE, CLEAR, THRESHOLD, CACHE = 8192, 4, 1024, 5, 2.5, 0.35, 300_000
-CATEGORIES = ("junk", "severe", "toxic")
+SAMPLE, FOLDS, FEATURES, RARE, CLEAR, THRESHOLD, CACHE = 8192, 4, 1024, 3, 3.0, 0.35, 300_000
+CATEGORIES = ("toxic_main", "toxic_other", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_features(word: str) -> list[int]:
-    """Hashes of the word (odd) and of its first four and five letters where it has more (even)."""
-    h = xxhash.xxh64_intdigest
-    return [h(word) >> 1 | 1, *(h(word[:n]) >> 2 << 1 for n in (4, 5) if len(word) > n)]
+    """31-bit hashes of the word (odd) and of its first four and five letters where it has more (even)."""
+    h = xxhash.xxh32_intdigest
+    return [h(word) >> 2 << 1 | 1, *(h(word[:n]) >> 2 << 1 for n in (4, 5) if len(word) > n)]
 
 
 def text_words(text: bytes) -> set[str]:
@@ -42,11 +45,15 @@ def text_words(text: bytes) -> set[str]:
 
 
 def text_features(text: bytes) -> np.ndarray:
-    return np.unique(np.fromiter((f for w in text_words(text) for f in word_features(w)), np.int64))
+    return np.unique(np.fromiter((f for w in text_words(text) for f in word_features(w)), np.int32))
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
 class Chain:
-    """Weights by feature for every category, and of the earlier categories' log-odds."""
+    """Weights by feature for every category, and of the earlier categories' probabilities."""
 
     def __init__(self, features: np.ndarray, weights: np.ndarray, bias: np.ndarray, links: np.ndarray):
         self.index = {x: i for i, x in enumerate(features.tolist())}
@@ -66,13 +73,17 @@ class Chain:
         return sorted(found)
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        out = np.empty((len(texts), len(self.bias)))
+        z = np.empty((len(texts), len(self.bias)))
         for i, t in enumerate(texts):
-            z = self.bias + self.weights[self.rows(text_words(t))].sum(0)
-            for k in range(len(z)):
-                z[k] += self.links[k, :k] @ z[:k].clip(-8, 8)
-            out[i] = z
-        return 1 / (1 + np.exp(-out.clip(-30, 30)))
+            z[i] = self.bias + self.weights[self.rows(text_words(t))].sum(0)
+        return self.chained(z)
+
+    def chained(self, z: np.ndarray) -> np.ndarray:
+        """Probabilities from the log-odds that the words alone give: each category adds what the ones before it say."""
+        p = np.zeros_like(z)
+        for k in range(z.shape[1]):
+            p[:, k] = sigmoid(z[:, k] + p[:, :k] @ self.links[k, :k])
+        return p
 
 
 def fit_logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25):
@@ -120,43 +131,35 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, extra:
     return w[:width], w[width:-1], w[-1]
 
 
-def fit_chain(texts: list[np.ndarray], quality: np.ndarray, toxic: np.ndarray) -> Chain:
-    """``texts``: the features of each labelled text, with its labels (NaN: unknown quality)."""
+def fit_chain(texts: list[np.ndarray], main: np.ndarray, toxic: np.ndarray) -> Chain:
+    """``texts``: the features of each labelled text; ``main``: whether it is in the main language; ``toxic``: its label."""
     n = len(texts)
-    seen, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *texts]), return_counts=True)
+    seen, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *texts]), return_counts=True)
     seen, total = seen[counts >= RARE], counts[counts >= RARE].astype(float)
-    junk, toxic = (quality == 0).astype(float), toxic.astype(float)
-    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    toxic = toxic.astype(float)
+    wanted = (toxic * main, toxic * ~main, toxic)
+    rows, cols = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for i, ids in enumerate(texts):
-        at = np.minimum(np.searchsorted(seen, ids), max(len(seen) - 1, 0))
+        at = np.minimum(np.searchsorted(seen, ids), max(len(seen) - 1, 0)).astype(np.int32)
         cols.append(at[seen[at] == ids] if len(seen) else at[:0])
-        rows.append(np.full(len(cols[-1]), i))
+        rows.append(np.full(len(cols[-1]), i, np.int32))
     rows, cols = np.concatenate(rows), np.concatenate(cols)
-
-    def odds(y):
-        """Log-odds of a category given each feature, and their strength."""
+    of = np.zeros((3, len(seen)), bool)  # features of each category's model: only clear marks, as a frequent word with slight odds would outweigh one rare insult
+    for k, y in enumerate(wanted):
         on = np.bincount(cols, y[rows], len(seen))
         log = np.log((on + 0.5) / (y.sum() + 1)) - np.log((total - on + 0.5) / (n - y.sum() + 1))
-        return log, np.abs(log) * np.sqrt(np.maximum(on, total * (y.sum() / max(n, 1))))
-
-    of = np.zeros((3, len(seen)), bool)  # features of each category's model
-    _, strength = odds(junk)
-    of[0, np.argsort(-strength, kind="stable")[: FEATURES // 2]] = True
-    log, strength = odds(toxic)  # only clear marks: a frequent word with slight odds would outweigh one rare insult
-    order = np.argsort(-strength, kind="stable")
-    of[1:, order[log[order] >= CLEAR][: FEATURES // 2]] = True
+        strength = np.abs(log) * np.sqrt(np.maximum(on, total * (y.sum() / max(n, 1))))
+        order = np.argsort(-strength, kind="stable")
+        of[k, order[log[order] >= CLEAR][: FEATURES // 2]] = True
     used = np.flatnonzero(of.any(0))
     number = np.full(len(seen), -1)
     number[used] = np.arange(len(used))
     on = number[cols] >= 0 if len(cols) else np.zeros(0, bool)
     all_rows, all_cols, names, of = rows[on], number[cols[on]], seen[used], of[:, used]
-    hits = np.bincount(all_rows, (of[2] & (names % 2 == 1))[all_cols].astype(float), n)  # marked words of each text
-    middle = np.median(hits[toxic > 0]) if (toxic > 0).any() else 0.0
-    severe = ((toxic > 0) & (hits > middle)).astype(float)
     folds = np.arange(n) % FOLDS
     weights, bias, links = np.zeros((len(names), 3)), np.zeros(3), np.zeros((3, 3))
-    earlier = np.zeros((n, 0))
-    for k, y in enumerate((junk, severe, toxic)):
+    earlier = np.zeros((n, 0))  # out-of-fold probabilities of the categories before
+    for k, y in enumerate(wanted):
         mine = of[k][all_cols] if len(all_cols) else np.zeros(0, bool)
         rows, cols = all_rows[mine], all_cols[mine]
         w, e, b = fit_logistic(rows, cols, n, len(names), earlier, y)
@@ -168,29 +171,28 @@ def fit_chain(texts: list[np.ndarray], quality: np.ndarray, toxic: np.ndarray) -
             on = fit_on[rows] if len(rows) else np.zeros(0, bool)
             wf, ef, bf = fit_logistic(renumber[rows[on]], cols[on], int(fit_on.sum()), len(names), earlier[fit_on], y[fit_on])
             z = np.bincount(rows, wf[cols], n) + earlier @ ef + bf if n else np.zeros(0)
-            out[~fit_on] = z[~fit_on].clip(-8, 8)
+            out[~fit_on] = sigmoid(z[~fit_on])
         earlier = np.column_stack([earlier, out])
     return Chain(names, weights, bias, links)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
-    known = labels.select("doc_id", number("quality"), number("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chosen = hash_sample(known, "doc_id", sample)
+    known = labels.select("doc_id", F.nanvl(F.col("toxic").cast("double"), F.lit(None).cast("double")).alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    chosen = hash_sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", sample)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def run(batches):
         for b, texts in text_slices(batches):
-            yield with_columns(b, ["doc_id", "quality", "toxic"], features=pa.array([text_features(t).tobytes() for t in texts], pa.binary()))
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "toxic", "text")  # the limit bounds the broadcast
-    found = rows.mapInArrow(run, field_sql(docs, "doc_id") + ", quality double, toxic double, features binary").groupBy("doc_id")
-    got = found.agg(F.first("quality").alias("quality"), F.first("toxic").alias("toxic"), F.min("features").alias("features")).collect()  # one row of each id, ``sample`` at most
-    got.sort(key=lambda r: (xxhash.xxh64_intdigest(bytes(r["features"])), r["toxic"]))
+            yield with_columns(b, ["doc_id", "lang", "toxic"], features=pa.array([text_features(t).tobytes() for t in texts], pa.binary()))
+
+    rows = docs.select("doc_id", lang.alias("lang"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "toxic", "text")  # the limit bounds the broadcast
+    found = rows.mapInArrow(run, field_sql(docs, "doc_id") + ", lang string, toxic double, features binary").groupBy("doc_id")
+    got = found.agg(F.min(F.struct("features", "lang", "toxic")).alias("r")).select("r.*").collect()  # one row of each id, ``sample`` at most
+    got.sort(key=lambda r: (xxhash.xxh64_intdigest(bytes(r["features"])), r["toxic"], r["lang"] or ""))
+    langs = Counter(r["lang"] for r in got)
+    main = min(langs, key=lambda x: (-langs[x], x or ""), default=None)
     return fit_chain(
-        [np.frombuffer(r["features"], np.int64) for r in got],
-        np.array([np.nan if r["quality"] is None else r["quality"] for r in got], float),
-        np.array([r["toxic"] > 0.5 for r in got], float),
+        [np.frombuffer(r["features"], np.int32) for r in got], np.array([r["lang"] == main for r in got], bool), np.array([r["toxic"] > 0.5 for r in got], float)
     )
 
 
