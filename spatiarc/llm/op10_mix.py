@@ -9,12 +9,14 @@ counts of the ranges before are added, so neither a hot source nor many equal do
 
 Defined cases: a null text has size 0; a null source is a source (last in order); sources without words have target 0 and
 nothing taken; repeated rows are documents of their own; extra columns are ignored by the plan and kept by ``mix``;
-empty tables give empty results.
+empty tables give empty results; very long texts are counted whole.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,14 @@ WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and ``size``, the words of the text."""
+    """``doc_id``, ``source``, ``size``, the words of the text, and ``h``, a hash that tells apart rows without ids."""
 
     def run(batches):
         for b, texts in text_slices(batches):
-            yield with_columns(b, ["doc_id", "source"], size=pa.array([len(x.split()) for x in texts], pa.int64()))
+            hashes = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)
+            yield with_columns(b, ["doc_id", "source"], size=pa.array([len(x.split()) for x in texts], pa.int64()), h=pa.array(hashes, pa.int64()))
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, field_sql(docs, "doc_id", "source") + ", size bigint")
+    return docs.select("doc_id", "source", "text").mapInArrow(run, field_sql(docs, "doc_id", "source") + ", size bigint, h bigint")
 
 
 def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -63,40 +66,45 @@ def offset_of(source, seed: str):
 
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """Per document: ``doc_id, source, size, source_size, target, copies, place`` (its place in its source)."""
-    scratch = Scratch(docs.sparkSession, "mix")
+    """Per document: ``doc_id, source, size, h, source_size, target, copies, place`` (its place in its source)."""
+    with Scratch(docs.sparkSession, "mix") as scratch:
+        return _placed(docs, scratch, weights, share, cap, seed)
+
+
+def _placed(docs: DataFrame, scratch: Scratch, weights, share: float, cap: int, seed: str) -> DataFrame:
     rows = scratch.save(word_sizes(docs), "sizes")
-    keys = [F.col("source").asc_nulls_last(), "size", "doc_id"]
+    keys = [F.col("source").asc_nulls_last(), "size", "doc_id", "h"]
     dealt = scratch.save(rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "dealt")
     counts = dealt.groupBy("source", "part").agg(F.count("*").alias("m"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("ahead"))
     targets = source_targets(rows, weights, share, cap).withColumnRenamed("source", "s")
     per_range = counts.join(targets, counts.s.eqNullSafe(targets.s)).select(counts.s, "p", "ahead", "source_size", "target", "n")
-    ranked = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("source", "part").orderBy("size", "doc_id")))
+    ranked = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("source", "part").orderBy("size", "doc_id", "h")))
     placed = ranked.join(per_range, ranked.source.eqNullSafe(per_range.s) & (ranked.part == per_range.p))
     place = (F.col("ahead") + F.col("rn")).cast("double")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     u = offset_of(F.col("source"), seed)
     copies = F.least(F.floor(u + place * rate) - F.floor(u + (place - 1) * rate), F.lit(cap).cast("bigint"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), place.cast("bigint").alias("place"))
+    return placed.select("doc_id", "source", "size", "h", "source_size", "target", copies.alias("copies"), place.cast("bigint").alias("place"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs``, all its columns, as many times as it is emitted."""
-    scratch = Scratch(docs.sparkSession, "mixed")
-    plan = scratch.save(mix_plan(docs, **how), "plan")
-    same = Window.partitionBy("doc_id", "source", "size")
-    plan = plan.withColumn("nth", F.row_number().over(same.orderBy("place")))
-    plan = plan.where("copies > 0").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "nth", "copies")])
+    with Scratch(docs.sparkSession, "mixed") as scratch:
+        plan = scratch.save(mix_plan(docs, **how), "plan")
+    ids = ["doc_id", "source", "size", "h"]
+    plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy(*ids).orderBy("place")))  # rows that are alike in all of these
+    plan = plan.where("copies > 0").select(*[F.col(c).alias(f"__{c}") for c in (*ids, "nth", "copies")])
 
     def run(batches):
         for b, texts in text_slices(batches):
-            yield with_columns(b, b.schema.names, __n=pa.array([len(x.split()) for x in texts], pa.int64()))
+            hashes = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)
+            yield with_columns(b, b.schema.names, __n=pa.array([len(x.split()) for x in texts], pa.int64()), __x=pa.array(hashes, pa.int64()))
 
-    rows = docs.mapInArrow(run, field_sql(docs, *docs.columns) + ", `__n` bigint")
-    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "source", "__n").orderBy(F.xxhash64("text"), "text")))
-    on = rows.doc_id.eqNullSafe(plan["__doc_id"]) & rows.source.eqNullSafe(plan["__source"]) & (rows["__n"] == plan["__size"]) & (rows["__k"] == plan["__nth"])
+    rows = docs.mapInArrow(run, field_sql(docs, *docs.columns) + ", `__n` bigint, `__x` bigint")
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "source", "__n", "__x").orderBy(F.xxhash64("text"), "text")))
+    on = rows.doc_id.eqNullSafe(plan["__doc_id"]) & rows.source.eqNullSafe(plan["__source"]) & (rows["__n"] == plan["__size"]) & (rows["__x"] == plan["__h"]) & (rows["__k"] == plan["__nth"])
     return rows.join(plan, on).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*docs.columns)
 
 
