@@ -6,16 +6,19 @@ number in sorted order, and that number points at its ids. The automaton is one
 every executor and which the Python workers memory-map, so workers of a machine share its pages. Words it lacks are merged
 exactly, by rank. Its size is bounded by ``LEXICON`` words; the bound decides speed, never ids.
 
-Defined cases: a null text is empty (no ids; decodes to the empty text); the special token's string in a text becomes its
+Defined cases: a null text is empty (no ids; decodes to the empty text); an empty table gives no rows; very long texts are split
+and encoded whole, a very long pre-token by a heap of its pairs; pairs of equal rank merge from the left; the special token's string in a text becomes its
 id, as in the tokenizers library; repeated rows are rows; other columns, nulls among them, play no part.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import os
+import shutil
 import tempfile
 from collections import Counter
 
@@ -306,25 +309,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, size: int) -> list[str]:
-    """At most ``size`` words, all those with counts above one level; the level is found from a histogram of bounded size."""
-    words = Scratch(docs.sparkSession, "words").save(word_counts(docs).where("n > 1"), "words")
-    level = F.floor(F.log2("n") * 64).cast("int")
-    histogram = sorted(((r.level, r.m) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect()), reverse=True)  # under 64 x 64 rows
-    total, least = 0, None
-    for at, m in histogram:
-        if (total := total + m) > size:
-            break
-        least = at
-    return [] if least is None else sorted(r.word for r in words.where(level >= least).select("word").collect())
+def frequent_words(docs: DataFrame, size: int, least: int = 2) -> list[tuple[str, int]]:
+    """At most ``size`` words with their counts, those that occur most and at least ``least`` times. A histogram of bounded size tells
+    the level of counts that is cut; of the words at that level those first in order of the alphabet are taken."""
+    scratch = Scratch(docs.sparkSession, "words")
+    try:
+        words = scratch.save(word_counts(docs).where(F.col("n") >= least), "words").withColumn("level", F.floor(F.log2("n") * 64).cast("int"))
+        histogram = sorted(((r.level, r.m) for r in words.groupBy("level").agg(F.count("*").alias("m")).collect()), reverse=True)  # under 64 x 64 rows
+        whole, total, cut = [], 0, None
+        for level, m in histogram:
+            if total + m > size:
+                cut = level
+                break
+            whole, total = [*whole, level], total + m
+        got = [(r.word, r.n) for r in words.where(F.col("level") >= whole[-1]).select("word", "n").collect()] if whole else []
+        if cut is not None and total < size:
+            got += [(r.word, r.n) for r in words.where(F.col("level") == cut).orderBy("word").limit(size - total).select("word", "n").collect()]
+        return sorted(got)
+    finally:
+        scratch.drop()
 
 
 def share_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> tuple[str, str]:
     """Compile the most frequent words, at most ``size``, and give both files to all executors; returns their names there."""
     spark = docs.sparkSession
-    top = frequent_words(docs, size)
+    top = [w for w, _ in frequent_words(docs, size)]
     v = Vocabulary(tokenizer)
     folder = tempfile.mkdtemp(prefix="spatiarc-lexicon-")  # the driver's; Spark copies the file to executors, new ones too
+    atexit.register(shutil.rmtree, folder, True)
     path = os.path.join(folder, "lexicon.bin")
     write_arrays(compile_lexicon({w.encode(): v.merge(w.encode()) for w in top}), path)
     with open(path, "rb") as f:
