@@ -6,7 +6,8 @@ if its least possible distance is below kth / factor. Factor one restores exact
 walk the tree together, nearer child first. Distances are Euclidean in double precision; what is returned is computed from
 differences of the original vectors.
 
-Every row is indexed, in the tree of its shard. Defined cases: vectors null, empty, zero, or with null or non-finite
+Every row is indexed, in the tree of its shard. Queries start from the kth distance that seed rows show (``search_shards``).
+Defined cases: an empty table gives no rows; vectors null, empty, zero, or with null or non-finite
 components take no part; queries with fewer candidates return all found; repeated vec_ids are candidates each, one of them is the query, and a row
 never matches its own vec_id; ties go to smaller ids; extra columns play no part.
 """
@@ -43,8 +44,10 @@ class VPTree:
         split = lambda part, d: (self._build(part, leaf), d.min(), d.max())
         return vantage, split(inside, far[far <= middle]), split(outside, far[far > middle])
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray):
+    def search(self, query_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray | None = None):
+        """``bounds``: distances within which k rows elsewhere lie, NaN where unknown; what is farther can't be among the nearest."""
         self.q, self.q_ids, self.q_norm = q, query_ids, (q**2).sum(1)
+        self.bounds = np.full(len(q), np.inf) if bounds is None else np.where(np.isnan(bounds), np.inf, bounds)
         self.dist = np.full((len(q), self.k), np.inf)
         self.where = np.full((len(q), self.k), -1, np.int64)
         self._visit(self.root, np.arange(len(q)))
@@ -52,6 +55,9 @@ class VPTree:
         found = self.where[r, c]
         return query_ids[r], self.ids[found], np.sqrt(((q[r] - self.x[found]) ** 2).sum(1))
 
+    def _kth(self, on: np.ndarray) -> np.ndarray:
+        return np.minimum(self.dist[on, -1], self.bounds[on])
+
     def _visit(self, node, on: np.ndarray) -> None:
         if isinstance(node, np.ndarray):
             for a in range(0, len(node), 4096):
@@ -63,14 +69,14 @@ class VPTree:
         first = np.where(least[0] == least[1], d > (kids[0][2] + kids[1][1]) / 2, least[1] < least[0]).astype(int)
         for turn in (0, 1):
             for k, (kid, _, _) in enumerate(kids):
-                some = ((first == k) if turn == 0 else (first != k)) & (least[k] * self.factor <= self.dist[on, -1])
+                some = ((first == k) if turn == 0 else (first != k)) & (least[k] * self.factor <= self._kth(on))
                 if some.any():
                     self._visit(kid, on[some])
 
     def _measure(self, points: np.ndarray, on: np.ndarray) -> None:
         self.measured += len(points) * len(on)
         square = self.q_norm[on][:, None] + self.norm[points][None, :] - 2 * (self.q[on] @ self.x[points].T)
-        near = square <= (self.dist[on, -1:] + 1e-7) ** 2
+        near = square <= (self._kth(on)[:, None] * (1 + 1e-9) + 1e-7) ** 2 + 1e-9 * self.q_norm[on][:, None]
         near &= self.q_ids[on][:, None] != self.ids[points][None, :]
         rows = np.flatnonzero(near.any(1))
         r, c = np.nonzero(near[rows])
@@ -83,11 +89,28 @@ class VPTree:
         self.dist[row], self.where[row] = np.take_along_axis(d, keep, 1), np.take_along_axis(w, keep, 1)
 
 
+def seed_bounds(k: int):
+    """For queries, the distance of the kth nearest of some rows; NaN if there are fewer."""
+
+    def bound(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if len(ids) <= k:
+            return np.full(len(q), np.nan)
+        square = (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * (q @ x.T)
+        square[query_ids[:, None] == ids[None, :]] = np.inf
+        near = np.argpartition(square, k, axis=1)[:, : k + 1]
+        far = np.sqrt(((q[:, None, :] - x[near]) ** 2).sum(2))
+        far[query_ids[:, None] == ids[near]] = np.inf
+        kth = np.sort(far, axis=1)[:, k - 1]
+        return np.where(np.isfinite(kth), kth, np.nan)
+
+    return bound
+
+
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float = FACTOR) -> DataFrame:
     def shard(ids, x):
         return VPTree(ids, x, k, factor).search
 
-    return search_shards(packed(usable(vectors, nonzero=True)), every, k, shard, "asc")
+    return search_shards(packed(usable(vectors, nonzero=True)), every, k, shard, seed_bounds(k), "asc")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,7 +270,7 @@ def repeated_entries(docs: DataFrame, scratch: Scratch, span: int = SPAN, reach:
     some = repeated(windows, ["k", "d", "w"], scratch, "equal").groupBy("k", "f").agg(F.sort_array(F.collect_set("d")).alias("ds"))
     states = one_each.select("k", "f", "n").join(some, ["k", "f"], "left")
     states = states.select("k", "f", ((F.col("n") > 1) | F.col("ds").isNotNull()).alias("on"), F.when(F.col("n") == 1, F.col("ds")).alias("ds"))
-    rows = found.join(states, ["k", "f"])
+    rows = found.join(scratch.save(states, "states"), ["k", "f"])
     one = F.when(F.col("on"), F.struct("a", "lo", "hi", "ds"))
     by = rows.groupBy("t1", "t2").agg(F.collect_set(one).alias("entries"), F.max("apart").alias("apart"), F.count("*").alias("n"), F.size(F.collect_set("a")).alias("m"))
     return scratch.save(by.select("t1", "t2", "entries", (F.col("apart") | (F.col("n") > F.col("m"))).alias("shares")), "texts")
@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, reach: int = REACH, batche
     scratch = Scratch(docs.sparkSession, "repeats")
     try:
         found = repeated_entries(docs, scratch, span, reach, batches)
-        for name in ("hits", "found", "cores", "one-each", "runs", "around", "equal", "windows"):
+        for name in ("hits", "found", "cores", "one-each", "runs", "around", "equal", "windows", "states"):
             scratch.drop(name)
     except BaseException:
         scratch.drop()
