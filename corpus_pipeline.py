@@ -1,4 +1,10 @@
-"""A corpus pipeline over ``documents``: each stage's result is written as Parquet and read again by the next."""
+"""A corpus pipeline over ``documents``: each stage's result is written as Parquet and read again by the next.
+
+Defined cases, for every stage: an empty table gives an empty one; null and empty texts are rows like others (never rejected, one group of
+near copies, no secrets, size 0, so the mix takes none or some of them, no tokens); repeated rows are rows of their own until one
+stays of their group; very long texts are read whole; ties (a group's rows with one id and one fingerprint, places of equal size
+in the mix) go to one row or by id and a hash of the text; extra columns, whatever they are called, go through to the mix.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with secrets in their texts replaced by a mark."""
-    return redact_documents(docs)
+    return redact_documents(docs, tokenizer_path())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES[:-1]):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    with Scratch(spark, "pipeline") as scratch:
+        for i, (_, stage) in enumerate(STAGES[:-1]):
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
+            if i:
+                scratch.drop(f"stage{i - 1}")
+        return STAGES[-1][1](spark, docs, sf_dir)
