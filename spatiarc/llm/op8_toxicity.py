@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from spatiarc.llm.common import field_sql, hash_sample, table, text_slices, with_columns
 
-SAMPLE, FOLDS, FEATURES, RARE, CLEAR, THRESHOLD, CACHE = 8192, 4, 1024, 3, 3.0, 0.35, 300_000
+SAMPLE, FOLDS, FEATURES, RARE, CLEAR, SURE, THRESHOLD, CACHE = 8192, 4, 1024, 3, 3.0, 2.2, 0.35, 300_000
 CATEGORIES = ("toxic_main", "toxic_other", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -86,7 +86,7 @@ class Chain:
         return p
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25):
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 25):
     """Logistic regression over sparse presence (rows, cols) and dense ``extra`` columns: weights, extra weights, bias.
 
     Conjugate-gradient Newton steps; deterministic.
@@ -149,8 +149,9 @@ def fit_chain(texts: list[np.ndarray], main: np.ndarray, toxic: np.ndarray) -> C
         on = np.bincount(cols, y[rows], len(seen))
         log = np.log((on + 0.5) / (y.sum() + 1)) - np.log((total - on + 0.5) / (n - y.sum() + 1))
         strength = np.abs(log) * np.sqrt(np.maximum(on, total * (y.sum() / max(n, 1))))
+        sure = log / np.sqrt(1 / (on + 0.5) + 1 / (total - on + 0.5))  # in standard errors: few rows must not make a mark
         order = np.argsort(-strength, kind="stable")
-        of[k, order[log[order] >= CLEAR][: FEATURES // 2]] = True
+        of[k, order[(log[order] >= CLEAR) & (sure[order] >= SURE) & (on[order] >= RARE)][: FEATURES // 2]] = True
     used = np.flatnonzero(of.any(0))
     number = np.full(len(seen), -1)
     number[used] = np.arange(len(used))
