@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,24 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
                 start, total = i + 1, 0
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_slices(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in slices of about ``most`` bytes that end before white space, so no word is cut; one slice if it is no longer."""
+    at = 0
+    while at < len(text):
+        end = at + most
+        found = _SPACE.search(text, end) if end < len(text) else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+def word_count(text: bytes) -> int:
+    return sum(len(part.split()) for part in word_slices(text))
+
+
 def with_columns(batch: pa.RecordBatch, keep: list[str], **new) -> pa.RecordBatch:
     """Columns ``keep`` of a batch, then the new ones."""
     arrays = [batch.column(k) for k in keep] + [v if isinstance(v, pa.Array) else pa.array(v) for v in new.values()]

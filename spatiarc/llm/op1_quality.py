@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiarc.llm.common import field_sql, hash_sample, table, text_slices, with_columns
+from spatiarc.llm.common import field_sql, hash_sample, table, text_slices, with_columns, word_slices
 
 SAMPLE, BUCKETS, RANK, NEIGHBOURS, POWER, THRESHOLD, FORM_WEIGHT = 4096, 4096, 64, 15, 8.0, 0.3, 2.0
 _CLASS = np.zeros(256, np.int64)  # 0 other symbols, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 plain punctuation, 7 beyond ASCII
@@ -30,27 +30,37 @@ for _chars, _k in ((range(97, 123), 1), (range(65, 91), 2), (range(48, 58), 3),
     _CLASS[list(_chars)] = _k
 
 
-def trigrams(text: bytes) -> np.ndarray:
-    b = np.frombuffer(text, np.uint8).astype(np.uint32)
-    if len(b) < 3:
-        return np.zeros(BUCKETS, np.float32)
-    mixed = (((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - 12)
-    return np.bincount(mixed, minlength=BUCKETS).astype(np.float32)
+def trigrams(text: bytes, most: int = 1 << 20) -> np.ndarray:
+    out = np.zeros(BUCKETS, np.int64)
+    for a in range(0, max(len(text) - 2, 0), most):
+        b = np.frombuffer(text, np.uint8, min(most + 2, len(text) - a), a).astype(np.uint32)
+        mixed = (((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - 12)
+        out += np.bincount(mixed, minlength=BUCKETS)
+    return out.astype(np.float32)
 
 
 def form(text: bytes, grams: np.ndarray) -> list[float]:
-    """Measures of form: shares of character classes, repeats of words and lines, lengths."""
-    shares = np.bincount(_CLASS, np.bincount(np.frombuffer(text, np.uint8), minlength=256), minlength=8) / max(len(text), 1)
-    words, lines = text.split(), [x for x in text.split(b"\n") if x]
-    n = max(len(words), 1)
-    distinct = len(set(words))
-    adjacent = sum(map(bytes.__eq__, words, words[1:])) / n
-    short = sum(len(w) < 3 for w in words) / n
+    """Measures of form: shares of character classes, repeats of words and lines, lengths. Words and lines are told apart by 64-bit
+    hashes, eight bytes each, so a long text needs no list of its words."""
+    shares = np.zeros(8)
+    for a in range(0, len(text), 1 << 20):
+        shares += np.bincount(_CLASS, np.bincount(np.frombuffer(text[a : a + (1 << 20)], np.uint8), minlength=256), minlength=8)
+    shares /= max(len(text), 1)
+    h, hashes, short, length = xxhash.xxh3_64_intdigest, [np.zeros(0, np.uint64)], 0, 0
+    for part in word_slices(text):
+        words = part.split()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        short, length = short + int((sizes < 3).sum()), length + int(sizes.sum())
+        hashes.append(np.fromiter(map(h, words), np.uint64, len(words)))
+    words = np.concatenate(hashes)
+    lines = [h(x) for x in text.split(b"\n") if x]
+    n, distinct = max(len(words), 1), len(np.unique(words))
+    pairs = words[1:] * np.uint64(0x9E3779B97F4A7C15) + words[:-1]
     total = max(float(grams.sum()), 1.0)
     return [
-        *np.sqrt(shares).tolist(), np.log(distinct + 1) / np.log(n + 2), adjacent, short, min(sum(map(len, words)) / n, 40.0) / 10,
+        *np.sqrt(shares).tolist(), np.log(distinct + 1) / np.log(n + 2), float((words[1:] == words[:-1]).sum()) / n, short / n, min(length / n, 40.0) / 10,
         len(set(lines)) / max(len(lines), 1), np.log1p(len(lines)) - np.log1p(n), np.log1p(n) / 4, float((grams > 0).sum()) / min(total, BUCKETS),
-        float(grams.max()) / total, len(set(zip(words, words[1:]))) / n,
+        float(grams.max()) / total, len(np.unique(pairs)) / n,
     ]
 
 
