@@ -9,7 +9,7 @@ Trees go to tasks with their shard instead of by broadcast, as their size grows
 
 Defined cases: texts null or without words have fingerprint zero, which links like any other; with fewer words than a
 shingle takes, the whole sequence is the shingle; repeated rows stay rows; a null doc_id is never a component's id unless
-all of the component's are null; very long texts are hashed whole; extra columns are ignored; empty tables give none.
+all of the component's are null; very long texts are hashed whole, slice by slice; extra columns are ignored; empty tables give none.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiarc.llm.common import field_sql, sorted_groups, table, text_slices, with_columns
+from spatiarc.llm.common import field_sql, sorted_groups, table, text_slices, with_columns, word_slices
 from spatiarc.plans.components import connected_components
 from spatiarc.plans.scratch import Scratch
 
@@ -28,24 +28,31 @@ SHINGLE, RADIUS, SEED, SHARD, HEAVY, DEPTH = 4, 4, 42, 256, 8192, 4
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the XXH64 values of the word shingles of an ASCII-lower-cased text; zero without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     joined = b" ".join(words)
-    hashed = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return hashed(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    h = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-    counts = np.zeros((8, 8), np.int64)  # by bit of a byte, then byte
-    for a in range(0, len(h), 255):  # a byte lane counts to 255
-        part = h[a : a + 255]
-        for bit in range(8):
-            counts[bit] += np.add.reduce((part >> np.uint64(bit)) & _LANES).reshape(1).astype("<u8").view(np.uint8)
-    on = (2 * counts > len(h)).T.reshape(-1)  # byte by byte, low bit first
+    hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Bits set in over half of the XXH64 values of the word shingles of an ASCII-lower-cased text; zero without words."""
+    counts, total = np.zeros((8, 8), np.int64), 0  # by bit of a byte, then byte
+    words: list[bytes] = []
+    for part in word_slices(text):  # a long text slice by slice, with the words that its next shingles begin with
+        words = words[max(0, len(words) - shingle + 1) :] + part.lower().split()
+        if len(words) < shingle:
+            continue
+        h = shingle_hashes(words, shingle)
+        total += len(h)
+        for a in range(0, len(h), 255):  # a byte lane counts to 255
+            lanes = h[a : a + 255]
+            for bit in range(8):
+                counts[bit] += np.add.reduce((lanes >> np.uint64(bit)) & _LANES).reshape(1).astype("<u8").view(np.uint8)
+    if not total:
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+    on = (2 * counts > total).T.reshape(-1)  # byte by byte, low bit first
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
 
 
