@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiarc.llm.common import field_sql, hash_sample, table, text_slices, with_columns
+from spatiarc.llm.common import field_sql, hash_sample, table, text_slices, with_columns, word_slices
 
 SAMPLE, FOLDS, FEATURES, RARE, CLEAR, SURE, THRESHOLD, CACHE = 8192, 4, 1024, 3, 3.0, 2.2, 0.35, 300_000
 CATEGORIES = ("toxic_main", "toxic_other", "toxic")
@@ -41,7 +41,10 @@ def word_features(word: str) -> list[int]:
 
 
 def text_words(text: bytes) -> set[str]:
-    return set(_WORD.findall(text.decode("utf-8", "replace").lower()))
+    found: set[str] = set()
+    for part in word_slices(text):  # white space parts words here too
+        found.update(_WORD.findall(part.decode("utf-8", "replace").lower()))
+    return found
 
 
 def text_features(text: bytes) -> np.ndarray:
