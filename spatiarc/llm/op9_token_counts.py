@@ -8,7 +8,8 @@ of a batch walk the automaton together.
 A word is a maximal run of bytes other than white space, with the mark of a word's start before it. A word that pieces
 cannot cover counts as one unknown piece (with all single bytes in the vocabulary there is none).
 
-Defined cases: null and empty texts have 0 tokens; repeated rows stay; other columns, nulls among them, play no part.
+Defined cases: null and empty texts have 0 tokens; an empty table gives no rows; very long texts are counted slice by slice; of pieces
+that match, the longest is taken, so there are no ties; repeated rows stay; other columns, nulls among them, play no part.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from spatiarc.llm.common import field_sql, table, text_slices, with_columns
+from spatiarc.llm.common import field_sql, table, text_slices, with_columns, word_slices
 from spatiarc.llm.op5_bpe import byte_letters, tokenizer_path
 
-CACHE, STUCK = 300_000, 1 << 40
+CACHE, STUCK, LONG = 300_000, 1 << 40, 1 << 20
 
 
 class LongestMatch:
@@ -104,14 +105,28 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         if name not in _OPEN:
             _OPEN[name] = LongestMatch(vocabulary(SparkFiles.get(name)))
         known: dict[bytes, int] = {}
-        for b, texts in text_slices(batches):
-            split = [t.split() for t in texts]
-            fresh = list({w for ws in split for w in ws if w not in known})
+
+        def counted(known, parts, counts):
+            """Add the tokens of split texts; words new to the worker walk the automaton together."""
+            fresh = list({w for _, ws in parts for w in ws if w not in known})
             if len(known) + len(fresh) > CACHE:
-                known, fresh = {}, list({w for ws in split for w in ws})
+                known.clear()
+                fresh = list({w for _, ws in parts for w in ws})
             known.update(zip(fresh, _OPEN[name].lengths([b" " + w for w in fresh]).tolist(), strict=True))
-            counts = [sum(map(known.__getitem__, ws)) for ws in split]
-            yield with_columns(b, ["doc_id"], n_words=pa.array(list(map(len, split)), pa.int64()), n_tokens=pa.array(counts, pa.int64()))
+            for i, ws in parts:
+                counts[i] += sum(map(known.__getitem__, ws))
+
+        for b, texts in text_slices(batches):
+            words, counts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            parts = [(i, part.split()) for i, t in enumerate(texts) if len(t) <= LONG for part in (t,)]
+            for i, split in parts:
+                words[i] = len(split)
+            counted(known, parts, counts)
+            for i, t in enumerate(texts):
+                for part in word_slices(t) if len(t) > LONG else ():
+                    words[i] += len(split := part.split())
+                    counted(known, [(i, split)], counts)
+            yield with_columns(b, ["doc_id"], n_words=pa.array(words), n_tokens=pa.array(counts))
 
     return docs.select("doc_id", "text").mapInArrow(run, field_sql(docs, "doc_id") + ", n_words bigint, n_tokens bigint")
 
