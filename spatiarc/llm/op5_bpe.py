@@ -29,10 +29,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatiarc.llm.common import field_sql, table, text_slices, with_columns
+from spatiarc.llm.common import field_sql, table, text_slices, with_columns, word_slices
 from spatiarc.plans.scratch import Scratch
 
 LEXICON, LONGEST, LONG, CACHE = 65_536, 48, 64, 300_000
+LONG_TEXT = 1 << 20
+_CUT = regex.compile(r"(?<=\S) (?=\p{L})")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -228,6 +230,20 @@ def lookup(lexicon: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     return np.where(good, number, -1)
 
 
+def text_pieces(text: str, most: int = 1 << 19) -> list[str]:
+    """A text in pieces of about ``most`` characters, cut before a space that follows a non-space and leads a letter: there the
+    pattern always begins a pre-token, and no special string holds a space."""
+    if len(text) <= most:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        found = _CUT.search(text, at + most) if at + most < len(text) else None
+        end = found.start() if found else len(text)
+        out.append(text[at:end])
+        at = end
+    return out
+
+
 class Encoder:
     """Pre-tokens to ids: a cache of the worker, then the automaton, then exact merges."""
 
@@ -249,7 +265,13 @@ class Encoder:
         self.known.update(zip((w for w, _ in unseen), self.v.merge_all([b for _, b in unseen]), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; words new to the worker are looked up together."""
+        """Ids of each text as little-endian unsigned 32-bit integers; a long text piece by piece."""
+        if all(len(t) <= LONG_TEXT for t in texts):
+            return self._encode(texts)
+        return [b"".join(self._encode([p])[0] for p in text_pieces(t)) for t in texts]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Words that are new to the worker are looked up together."""
         special = lambda t: self.v.split is not None and any(s in t for s in self.v.special)
         parts = [[(p, p in self.v.special) for p in self.v.split.split(t) if p] if special(t) else [(t, False)] for t in texts]
         split = [[[p] if mark else self.find(p) for p, mark in ps] for ps in parts]
@@ -270,7 +292,9 @@ class Encoder:
         return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        get = self.v.bytes_of.__getitem__
+        parts = [b"".join(map(get, np.frombuffer(ids[a : a + (1 << 20)], "<u4").tolist())) for a in range(0, len(ids), 1 << 20)]
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 _OPEN: dict[tuple, Encoder] = {}
@@ -300,7 +324,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         counts: Counter = Counter()
         for _, texts in text_slices(batches):
             for t in texts:
-                counts.update(t.split())
+                for part in word_slices(t):
+                    counts.update(part.split())
             if len(counts) > CACHE:
                 yield counted(counts)
                 counts.clear()
