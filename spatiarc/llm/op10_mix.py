@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spatiarc.llm.common import field_sql, table, text_slices, with_columns
+from spatiarc.llm.common import field_sql, table, text_slices, with_columns, word_count
 from spatiarc.plans.scratch import Scratch
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, "mix-1"
@@ -32,7 +32,7 @@ def word_sizes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b, texts in text_slices(batches):
             hashes = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)
-            yield with_columns(b, ["doc_id", "source"], size=pa.array([len(x.split()) for x in texts], pa.int64()), h=pa.array(hashes, pa.int64()))
+            yield with_columns(b, ["doc_id", "source"], size=pa.array(list(map(word_count, texts)), pa.int64()), h=pa.array(hashes, pa.int64()))
 
     return docs.select("doc_id", "source", "text").mapInArrow(run, field_sql(docs, "doc_id", "source") + ", size bigint, h bigint")
 
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     def run(batches):
         for b, texts in text_slices(batches):
             hashes = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)
-            yield with_columns(b, b.schema.names, __n=pa.array([len(x.split()) for x in texts], pa.int64()), __x=pa.array(hashes, pa.int64()))
+            yield with_columns(b, b.schema.names, __n=pa.array(list(map(word_count, texts)), pa.int64()), __x=pa.array(hashes, pa.int64()))
 
     rows = docs.mapInArrow(run, field_sql(docs, *docs.columns) + ", `__n` bigint, `__x` bigint")
     rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "source", "__n", "__x").orderBy(F.xxhash64("text"), "text")))

@@ -21,7 +21,7 @@ from spatiarc.llm import op7_simhash as q7
 from spatiarc.llm import op8_toxicity as q8
 from spatiarc.llm import op9_token_counts as q9
 from spatiarc.llm import op10_mix as q10
-from spatiarc.llm.common import hash_sample
+from spatiarc.llm.common import hash_sample, word_count, word_slices
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, score double, size string, component_id int, entries string, rank int"
@@ -706,6 +706,54 @@ def test_mix_targets(spark):
     assert len({r["place"] for r in got if r["source"] == "a"}) == sum(r[2] == "a" for r in rows)
 
 
+# very long texts
+
+
+def test_word_slices():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = bytes(rng.choice(b"ab \n\t") for _ in range(rng.randrange(60)))
+        parts = list(word_slices(text, 7))
+        assert b"".join(parts) == text and [w for p in parts for w in p.split()] == text.split()
+    assert word_count(b"a b\x0bc  ") == 3 and word_count(b"") == 0
+
+
+def test_slices_change_no_result(monkeypatch, tokenizer):
+    """Texts longer than a slice, with small slices, against whole ones."""
+    rng = random.Random(8)
+    words = ["alpha", "be", "épée", "<|endoftext|>", "'s", "12", "日本", "x!", "\n\n", "  ", "don't"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "", "  ", "\n"]) for _ in range(900)) for _ in range(12)]
+    slices, encoder = q7.word_slices, q5.Encoder(q5.Vocabulary(q5.tokenizer_path()), None)
+    for t in texts:
+        raw = t.encode()
+        want = q7.fingerprint(raw), q1.form(raw, q1.trigrams(raw)), q1.trigrams(raw).tolist(), q8.text_words(raw)
+        with monkeypatch.context() as m:
+            for module in (q1, q7, q8):
+                m.setattr(module, "word_slices", lambda x: slices(x, 50))
+            got = q7.fingerprint(raw), q1.form(raw, q1.trigrams(raw)), q1.trigrams(raw, 37).tolist(), q8.text_words(raw)
+        assert got[0] == want[0] == brute_print(t) and np.allclose(got[1], want[1]) and got[2:] == want[2:]
+        ids = b"".join(encoder.encode(p) for p in q5.text_pieces(t, 40))
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids and len(q5.text_pieces(t, 40)) > 20
+
+
+def test_a_text_of_tens_of_megabytes():
+    """Memory beside the text stays within a few times its length."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    block = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(200_000)).encode()
+    text = block * 24  # about 32 MB
+    fine = {
+        "form": lambda: q1.form(text, q1.trigrams(text)), "entries": lambda: sum(b.num_rows for b in q4.entries_of([text])), "fingerprint": lambda: q7.fingerprint(text),
+        "words": lambda: q8.text_words(text), "count": lambda: word_count(text),
+    }
+    for name, run in fine.items():
+        tracemalloc.start()
+        assert run()
+        assert tracemalloc.get_traced_memory()[1] < 12 * len(text), name
+        tracemalloc.stop()
+
+
 # the pipeline
 
 
@@ -734,6 +782,49 @@ def test_pipeline_stages(spark, odd, none, tokenizer):
     assert p.run(spark, SF).count() == len(out)
 
 
+def test_pipeline_run_on_odd_rows(spark, odd, none, tokenizer, tmp_path):
+    """The whole run with null and repeated ids, against brute force stage by stage."""
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([(4, 0), (6, 0), (None, 1)], "doc_id long, toxic int").withColumn("quality", F.lit(1))
+    for name, df in (("odd", odd), ("none", none)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
+    out = rows_of(p.run(spark, f"{tmp_path}/odd"))
+    groups = brute_groups([(r[0], brute_print(r[1])) for r in odd_rows()])
+    left = {i for _, _, i in groups if i is not None}
+    texts = {i: next(r[1] or "" for r in odd_rows() if r[0] == i) for i in left}
+    texts = {i: q6.redact(t, q6.find_secrets(t)) for i, t in texts.items()}
+    assert {r["doc_id"] for r in out} <= left
+    for r in out:
+        assert list(r["ids"]) == tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+    sizes = {i: len(t.encode().split()) for i, t in texts.items()}
+    assert all(n <= 2 for n in Counter(r["doc_id"] for r in out).values()) and sum(sizes[r["doc_id"]] for r in out) <= 2 * sum(sizes.values())
+
+
+def test_quality_query_matches_brute_force(spark):
+    """Scores of the query against a vote of all labelled rows, one document at a time."""
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    import zlib
+
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5}
+    x = {i: q1.features([docs[i]]) for i in known}
+    order = sorted(known, key=lambda i: (known[i], q1.hash_bytes(zlib.compress(np.concatenate([*x[i]], 1)[0].astype("<f4").tobytes(), 1))))
+    latent = q1.Latent(np.concatenate([x[i][0] for i in order]), np.concatenate([x[i][1] for i in order]), np.array([known[i] > 0.5 for i in order]))
+    got = {r.doc_id: r for r in q1.op1_quality(spark, d).collect()}
+    assert got.keys() == docs.keys()
+    for i, text in docs.items():
+        g, f = q1.features([text])
+        z = latent.unit(latent.weigh(g, f) @ latent.axes)[0]
+        cos = [float(z @ v) for v in latent.vectors]
+        near = sorted(range(len(cos)), key=lambda j: (-cos[j], j))[: q1.NEIGHBOURS]
+        w = [max(cos[j], 1e-3) ** q1.POWER for j in near]
+        assert math.isclose(got[i].score, sum(a * latent.labels[j] for a, j in zip(w, near, strict=True)) / sum(w), abs_tol=2e-2)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_registered_names():
     import __spark_entry__ as e
 
