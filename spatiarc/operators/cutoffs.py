@@ -102,7 +102,7 @@ def balanced_draws(rows: DataFrame, sizes: DataFrame, n_repeats: int, seed: int)
     upto = F.sum("m").over(Window.partitionBy(*keys, "repeat").orderBy("bucket"))  # as many rows as buckets
     ends = counts.withColumn("upto", upto).where("upto >= n_draw").groupBy(*keys, "repeat").agg(F.min(F.struct("bucket", (F.col("n_draw") - F.col("upto") + F.col("m")).alias("left"))).alias("e"))
     last = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("repeat", "e.bucket", "e.left"))).alias("last"))
-    table = Lookup(once(edges.join(last, keys), "draws"), keys)
+    table = Lookup(edges.join(last, keys), keys)
     again = table.join(units).transform(hashed(F.explode(F.sequence(F.lit(1), F.lit(n_repeats))))).withColumn("end", F.element_at("last", F.col("repeat")))
     whole = again.where("bucket < end.bucket").select("feature", "repeat", "value")
     order = Window.partitionBy(*keys, "repeat").orderBy("h", "key")

@@ -38,6 +38,7 @@ def module_scores(points: PointSet, sets: DataFrame, nbin: int = 10, ctrl: int =
     present = sets.join(points.genes.select("gene"), "gene")
     weights = present.groupBy("set_name", "gene").agg(F.count("*").cast("double").alias("m"))
     chosen = weights.join(control_genes(points, sets, nbin, ctrl, seed).withColumn("c", F.lit(1.0)), ["set_name", "gene"], "full").na.fill(0.0, ["m", "c"])
+    chosen = Lookup(chosen, ["set_name", "gene"]).table  # found once; several readers follow
     sizes = chosen.groupBy("set_name").agg(F.sum("m").alias("nm"), F.sum("c").alias("nc"))
     values = points.expr.where(F.col("layer") == points.layer).select("obs_idx", "gene", finite(F.col("value")).alias("v"))
     names = sets.select("set_name").distinct().join(sizes, "set_name", "left")

@@ -1,18 +1,21 @@
 """Neighbourhoods of a radius around points instead of grid cells.
 
-"Within the radius of an active point" is a range semi-join: both sides are dealt into squares as wide as the radius, one of
-them into the nine squares around its own, so Spark sees an equi-join with the exact distance as a residual.
+"Within the radius of an active point" is a range semi-join. Small squares decide most rows before any shuffle; for the rest both
+sides are dealt into squares as wide as the radius, one of them into the nine squares around its own, so Spark sees an equi-join
+with the exact distance as a residual.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import names_of, radius_steps, rounded_ratio, shift_rows, shift_table
 from spatiarc.operators.displace import niche_feature, niche_map
 from spatiarc.operators.raster import above, local_cutoffs
-from spatiarc.plans.lookup import Lookup
+from spatiarc.plans.lookup import Lookup, bounded
 from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet
 
@@ -45,10 +48,44 @@ def active_points(points: PointSet, names: list[str], quantiles=None, cutoffs=No
     return once(out, "active-points"), cut
 
 
-def near(probe: DataFrame, sites: DataFrame, radius: float, keys: list[str], probe_moves: bool) -> DataFrame:
-    """Rows of ``probe`` (keys, x, y, dx, dy) with a site (keys, x, y) less than ``radius`` away once the moving side is
-    displaced by (dx, dy): active points move, anchors don't. A semi-join stops at the first site, so nothing is paired and
-    made distinct again."""
+class Sites:
+    """Points (keys, x, y) that others may lie near to, and the small squares that decide most of them.
+
+    Any two points of a small square are near, so with a site in its own square a point is in; without one in the two squares
+    around it, it is out. The table of such squares follows the area, not the points; it is counted, and broadcast if small (else
+    no point is decided by it).
+    """
+
+    def __init__(self, rows: DataFrame, radius: float, keys: list[str]):
+        self.rows, self.radius, self.keys = rows.select(*keys, "x", "y"), float(radius), keys
+        self.side = F.lit(self.radius / 2**0.5 * (1 - 1e-6))  # the margin is for sums that doubles round
+
+    def square(self, c: str) -> Column:
+        return F.floor(F.col(c) / self.side).cast("bigint")
+
+    @cached_property
+    def squares(self) -> DataFrame | None:
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
+        held = self.rows.select(*self.keys, self.square("x").alias("mx"), self.square("y").alias("my")).distinct().select(*self.keys, "mx", "my", around.alias("o"))
+        held = held.select(*self.keys, (F.col("mx") + F.col("o.i")).alias("mx"), (F.col("my") + F.col("o.j")).alias("my"), F.expr("o.i = 0 AND o.j = 0").alias("sure"))
+        return bounded(held.groupBy(*self.keys, "mx", "my").agg(F.max("sure").alias("sure")))
+
+
+def near(probe: DataFrame, sites: Sites, probe_moves: bool) -> DataFrame:
+    """Rows of ``probe`` (keys, x, y, dx, dy) with a site less than the radius away once the moving side is displaced by (dx, dy):
+    active points move, anchors don't. Only rows along the rims, which squares don't decide, go to the exact test."""
+    if sites.squares is None:
+        return within(probe, sites.rows, sites.radius, sites.keys, probe_moves)
+    sign = 1 if probe_moves else -1
+    at = probe.withColumns({"px": F.col("x") + sign * F.col("dx"), "py": F.col("y") + sign * F.col("dy")}).withColumns({"mx": sites.square("px"), "my": sites.square("py")})
+    marked = at.join(F.broadcast(sites.squares), [*sites.keys, "mx", "my"]).select(*probe.columns, "sure")
+    rim = within(marked.where("NOT sure").drop("sure"), sites.rows, sites.radius, sites.keys, probe_moves)
+    return marked.where("sure").drop("sure").unionByName(rim)
+
+
+def within(probe: DataFrame, sites: DataFrame, radius: float, keys: list[str], probe_moves: bool) -> DataFrame:
+    """The exact test: both sides are dealt into squares as wide as the radius. A semi-join stops at the first site, so nothing
+    is paired and made distinct again; the rows of a dense square are split by adaptive execution."""
     r, sign = F.lit(float(radius)), 1 if probe_moves else -1
     square = lambda c: F.floor(c / r).cast("bigint")
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -68,19 +105,19 @@ def standing(spark) -> DataFrame:
     return shift_table(spark, [(0.0, "none", 0.0, 0.0)])
 
 
-def domains(anchors: DataFrame, actives: DataFrame, names: list[str], radius: float, shifts: DataFrame | None = None) -> DataFrame:
+def domains(anchors: DataFrame, actives: Sites, names: list[str], shifts: DataFrame | None = None) -> DataFrame:
     """Rows of ``anchors`` (sample, x, y, ...) for each feature (and displacement) whose active points come within the radius."""
     shifts = standing(anchors.sparkSession) if shifts is None else shifts
     each = F.explode(F.array(*[F.lit(n) for n in names])).alias("feature")
     probe = anchors.select("*", each).crossJoin(F.broadcast(shifts))  # as many rows as displacements asked for
-    return near(probe, actives.select("sample", "feature", "x", "y"), radius, ["sample", "feature"], False)
+    return near(probe, actives, False)
 
 
 def shift_coverage(points: PointSet, actives: DataFrame, shifts: DataFrame, radius: float) -> DataFrame:
     """``sample, feature, step, direction, n_active, n_covered, coverage``: displaced active points with an anchor near."""
     keys = ["sample", "feature", "step", "direction"]
     moved = actives.select("sample", "feature", "x", "y").crossJoin(F.broadcast(shifts))
-    hit = near(moved, points.cells.select("sample", "x", "y"), radius, ["sample"], True)
+    hit = near(moved, Sites(points.cells, radius, ["sample"]), True)
     covered = hit.groupBy(*keys).agg(F.count("*").alias("n_covered"))
     total = actives.groupBy("sample", "feature").agg(F.count("*").alias("n_active")).crossJoin(F.broadcast(shifts)).select(*keys, "n_active")
     out = total.join(covered, keys, "left").na.fill(0, ["n_covered"])
@@ -91,12 +128,12 @@ def radius_stats(points: PointSet, actives: DataFrame, target: str, names: list[
     """Per sample, feature and displacement: the Jaccard index of the domains over all anchors, its change, and coverage.
     Displacements below ``min_coverage`` have NULL and counts 0; no active point (NULL coverage) passes."""
     keys = ["sample", "feature", "step", "direction"]
-    places = points.cells.select("sample", "obs_idx", "x", "y")
-    target_domain = domains(places, actives, [target], radius).select("obs_idx", F.lit(1).alias("t"))
+    places, sites = points.cells.select("sample", "obs_idx", "x", "y"), Sites(actives, radius, ["sample", "feature"])
+    target_domain = domains(places, sites, [target]).select("obs_idx", F.lit(1).alias("t"))
     anchors = once(places.join(target_domain, "obs_idx", "left").na.fill(0, ["t"]), "anchors")
     wanted = actives.where(F.col("feature").isin(names))
-    still = domains(anchors, wanted, names, radius).groupBy("sample", "feature").agg(F.count("*").alias("of"), F.sum("t").alias("oi"))
-    met = domains(anchors, wanted, names, radius, shifts).groupBy(*keys).agg(F.count("*").alias("nb"), F.sum("t").alias("i"))
+    still = domains(anchors, sites, names).groupBy("sample", "feature").agg(F.count("*").alias("of"), F.sum("t").alias("oi"))
+    met = domains(anchors, sites, names, shifts).groupBy(*keys).agg(F.count("*").alias("nb"), F.sum("t").alias("i"))
     per_sample = anchors.groupBy("sample").agg(F.count("*").alias("cnt_all"), F.sum("t").alias("ot"))
     listed = F.explode(F.array(*[F.lit(n) for n in names])).alias("feature")
     rows = per_sample.select("*", listed).crossJoin(F.broadcast(shifts)).join(still, ["sample", "feature"], "left").join(met, keys, "left")
@@ -161,11 +198,11 @@ def domain_map(points: PointSet, target: str, feature: str, radius: float = 15.0
     check_radius(radius)
     names = names_of([target, feature])
     actives, _ = active_points(points, names, quantiles, cutoffs, niches)
-    places = points.cells.select("obs_idx", "sample", "x", "y")
+    places, sites = points.cells.select("obs_idx", "sample", "x", "y"), Sites(actives, radius, ["sample", "feature"])
     moved = shift_table(places.sparkSession, [(0.0, "shift", float(shift[0]), float(shift[1]))])
     marks = {
         "target_positive": actives.where(F.col("feature") == target).select("obs_idx"), "feature_positive": actives.where(F.col("feature") == feature).select("obs_idx"),
-        "target_domain": domains(places, actives, [target], radius).select("obs_idx"), "feature_domain": domains(places, actives, [feature], radius, moved).select("obs_idx"),
+        "target_domain": domains(places, sites, [target]).select("obs_idx"), "feature_domain": domains(places, sites, [feature], moved).select("obs_idx"),
     }
     out = places
     for name, rows in marks.items():
@@ -179,9 +216,9 @@ def pairwise_radius_scores(points: PointSet, names, step: float, radius: float =
     spark = points.cells.sparkSession
     shifts = shift_table(spark, shift_rows([step], direction_mode == "euclidean"))
     actives, _ = active_points(points, names, quantiles, cutoffs, niches)
-    anchors = points.cells.select("sample", "obs_idx", "x", "y")
-    still = once(domains(anchors, actives, names, radius).select("sample", "feature", "obs_idx"), "domains")
-    hit = once(domains(anchors, actives, names, radius, shifts).select("sample", "feature", "direction", "obs_idx"), "moved-domains")
+    anchors, sites = points.cells.select("sample", "obs_idx", "x", "y"), Sites(actives, radius, ["sample", "feature"])
+    still = once(domains(anchors, sites, names).select("sample", "feature", "obs_idx"), "domains")
+    hit = once(domains(anchors, sites, names, shifts).select("sample", "feature", "direction", "obs_idx"), "moved-domains")
     own = still.select("sample", F.col("feature").alias("target"), "obs_idx")
     a0 = own.groupBy("sample", "target").agg(F.count("*").alias("a0"))
     b0 = still.groupBy("sample", "feature").agg(F.count("*").alias("b0"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spatiarc.plans.scratch import once
+
 #: Rows that are broadcast at most, and parts that the rows of a key are dealt into beyond that.
 BROADCAST_ROWS, SALTS = 200_000, 64
 
@@ -17,11 +19,11 @@ def bounded(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
 
 class Lookup:
     """A table of one row for each key, counted once. A small one goes to every task, so rows aren't shuffled by a key that may
-    hold a third of them; a larger one is repeated for each salt, and rows meet it by key and salt."""
+    hold a third of them; a larger one is written, repeated for each salt, and rows meet it by key and salt."""
 
     def __init__(self, table: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS, salts: int = SALTS):
         self.keys, self.salts, self.small = list(keys), salts, bounded(table, limit)
-        self.table = table if self.small is None else self.small
+        self.table = once(table, "lookup") if self.small is None else self.small
 
     def join(self, rows: DataFrame, how: str = "inner") -> DataFrame:
         if self.small is not None:

@@ -196,3 +196,19 @@ def test_figure_data_names(spark):
     rows = plotdata.niche_feature_values(found, "f", points, "g", "cell", quantiles=None).collect()
     assert len(rows) == 64 and {(r.vmin, r.vmax) for r in rows} == {(0.0, 1.0)} and sum(r.niche for r in rows) == 32
     assert {(r.vmin, r.vmax) for r in plotdata.niche_feature_values(found, "f", points, "g", vmin=-1.0, vmax=9.0).collect()} == {(-1.0, 9.0)}
+
+
+def test_squares_decide_as_the_exact_test_does(spark):
+    """Sites and probes about the rim, at offsets of just the radius too, against all pairs."""
+    from spatiarc.operators.radius import Sites, near, within
+
+    rng = random.Random(4)
+    sites = [("s", rng.uniform(0, 40), rng.uniform(0, 40)) for _ in range(25)] + [("t", 0.0, 0.0)]
+    probes = [(rng.choice("st"), rng.uniform(-20, 60), rng.uniform(-20, 60), rng.choice([0.0, 5.0, -7.5]), rng.choice([0.0, 3.0])) for _ in range(1500)]
+    probes += [("t", 3.0, 4.0, 0.0, 0.0), ("t", 5.0, 0.0, 0.0, 0.0), ("t", 4.999999, 0.0, 0.0, 0.0), ("t", -3.5, -3.5, 0.0, 0.0)]
+    left = spark.createDataFrame(probes, "sample string, x double, y double, dx double, dy double")
+    right = spark.createDataFrame(sites, "sample string, x double, y double")
+    for moves, sign in ((True, 1), (False, -1)):
+        want = sorted(p for p in probes if any(s == p[0] and (x - p[1] - sign * p[3]) ** 2 + (y - p[2] - sign * p[4]) ** 2 < 25 for s, x, y in sites))
+        assert sorted(map(tuple, near(left, Sites(right, 5.0, ["sample"]), moves).collect())) == want
+        assert sorted(map(tuple, within(left, right, 5.0, ["sample"], moves).collect())) == want
