@@ -258,10 +258,11 @@ class Encoder:
             self.known, fresh = {}, list(words)
         raw = [w.encode() for w in fresh]
         numbers = lookup(self.lexicon, raw).tolist() if self.lexicon is not None and fresh else [-1] * len(fresh)
-        found = [(w, i) for w, i in zip(fresh, numbers, strict=True) if i >= 0]
         unseen = [(w, b) for w, b, i in zip(fresh, raw, numbers, strict=True) if i < 0]
-        for w, i in found:
-            self.known[w] = self.lexicon["ids"][self.lexicon["at"][i] : self.lexicon["at"][i + 1]].tobytes()
+        if len(unseen) < len(fresh):
+            on, at, ids = np.array([i for i in numbers if i >= 0]), self.lexicon["at"], memoryview(self.lexicon["ids"]).cast("B")
+            found = zip((w for w, i in zip(fresh, numbers, strict=True) if i >= 0), (4 * at[on]).tolist(), (4 * at[on + 1]).tolist(), strict=True)
+            self.known.update((w, bytes(ids[a:e])) for w, a, e in found)
         self.known.update(zip((w for w, _ in unseen), self.v.merge_all([b for _, b in unseen]), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -315,10 +316,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """
 
     def counted(counts):
-        kept = [(b" " + w, n) for w, n in counts.items() if len(w) < LONGEST]
-        words = [(w.decode("utf-8", "replace"), n) for w, n in kept]
-        words = [(w, n) for w, n in words if w[1:].isalpha() or w[1:].isdecimal()]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int64())], names=["word", "n"])
+        kept = [(w, n) for w, n in counts.items() if len(w) < LONGEST and word(w)]
+        words = pa.array([b" " + w for w, _ in kept], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([words, pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+
+    def word(w: bytes) -> bool:
+        if w.isascii():
+            return w.isalpha() or w.isdigit()
+        try:
+            text = w.decode()
+        except UnicodeDecodeError:
+            return False
+        return text.isalpha() or text.isdecimal()
 
     def run(batches):
         counts: Counter = Counter()
