@@ -264,6 +264,7 @@ def repeated_entries(docs: DataFrame, scratch: Scratch, span: int = SPAN, reach:
     one_each = found.groupBy("k", "f").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "a", "lo", "hi")).alias("e"))
     one_each = scratch.save(one_each.select("k", "f", "n", "e.*"), "one-each")
     per_text = repeated(one_each, ["k"], scratch, "cores").groupBy("t1", "t2").agg(F.collect_list(F.struct("k", "f", "a", "lo", "hi")).alias("es"))
+    per_text = scratch.save(per_text, "per-text")  # beside it the rows of a text with many copies can be split
     keyed = with_text_key(docs.select("text").where(F.octet_length("text") >= span))
     around = scratch.save(around_cores(keyed, per_text, span, step).dropDuplicates(["k", "f", "p"]), "around")  # copies of a text are cut the same
     windows = scratch.save(window_names(repeated(around, ["k", "p", "s"], scratch, "runs"), step), "windows")
@@ -282,7 +283,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, reach: int = REACH, batche
     scratch = Scratch(docs.sparkSession, "repeats")
     try:
         found = repeated_entries(docs, scratch, span, reach, batches)
-        for name in ("hits", "found", "cores", "one-each", "runs", "around", "equal", "windows", "states"):
+        for name in ("hits", "found", "cores", "per-text", "one-each", "runs", "around", "equal", "windows", "states"):
             scratch.drop(name)
     except BaseException:
         scratch.drop()
