@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from spatiarc.llm.common import field_sql, table, text_slices, with_columns
 from spatiarc.plans.scratch import Scratch
 
-SPAN, REACH, CORE, STEP, SLICE = 400, 128, 145, 16, 2 << 20
+SPAN, REACH, CORE, STEP, SLICE = 400, 128, 145, 16, 1 << 20
 #: Bytes of text to a batch, and the least number of batches.
 BATCH_BYTES, LEAST_BATCHES = 64 << 30, 4
 ENTRY = "k bigint, f bigint, t1 bigint, t2 bigint, a bigint, lo int, hi int"
