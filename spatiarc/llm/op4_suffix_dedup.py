@@ -18,7 +18,8 @@ third of all rows is dealt over as many tasks as any other.
 
 Rows are named by a 128-bit hash of their text, so exact copies meet by partial aggregation and no copy group is ever
 listed. A core that lies in different texts, or in copies of one, also marks its rows: ``shares_passage`` is 1 wherever
-``core + reach - 1`` bytes (272, about fifty words) repeat in another row, and never for less than ``core`` bytes.
+``core + reach - 1`` bytes (272, about fifty words) repeat in another row and begin at least ``span`` bytes before the end of both
+texts, and never for less than ``core`` bytes. What begins later, or in texts shorter than ``span``, has no anchors and isn't marked.
 
 Defined cases: null and empty texts have no bytes and keep none; texts shorter than ``span`` stay whole; an empty table
 gives no rows; very long texts are indexed in pieces of ``SLICE`` bytes that overlap by a window, so memory follows the text's
