@@ -18,8 +18,8 @@ third of all rows is dealt over as many tasks as any other.
 
 Rows are named by a 128-bit hash of their text, so exact copies meet by partial aggregation and no copy group is ever
 listed. A core that lies in different texts, or in copies of one, also marks its rows: ``shares_passage`` is 1 wherever
-``core + reach - 1`` bytes (272, about fifty words) repeat in another row and begin at least ``span`` bytes before the end of both
-texts, and never for less than ``core`` bytes. What begins later, or in texts shorter than ``span``, has no anchors and isn't marked.
+``core + reach - 1`` bytes (272, about fifty words) repeat in another row, and never for less than ``core`` bytes. Where a window of
+that size begins but none of ``span`` bytes, at a text's end, its anchor makes an entry for the mark alone (lo and hi are -1).
 
 Defined cases: null and empty texts have no bytes and keep none; texts shorter than ``span`` stay whole; an empty table
 gives no rows; very long texts are indexed in pieces of ``SLICE`` bytes that overlap by a window, so memory follows the text's
@@ -52,12 +52,18 @@ def core_size(span: int, reach: int) -> int:
     return min(CORE, span - reach + 1)
 
 
-def anchors(buffer: bytes, ends: list[tuple[int, int]], span: int = SPAN, reach: int = REACH):
-    """Anchors of all windows in the texts at (start, end) of ``buffer``: text number, anchor, and the least and greatest
-    distance back to a window's start."""
+def mark_size(span: int, reach: int) -> int:
+    """The bytes that mark a row wherever they repeat in another: an anchor and its core lie within them."""
+    return core_size(span, reach) + reach - 1
+
+
+def anchors(buffer: bytes, ends: list[tuple[int, int, bool]], span: int = SPAN, reach: int = REACH):
+    """Anchors of all windows in the texts at (start, end, last) of ``buffer``: text number, anchor, and the least and greatest
+    distance back to a window's start. Behind the last window the anchors of smaller ones, for the mark, have distances -1."""
     none = np.zeros(0, np.int64)
     b = np.frombuffer(buffer, np.uint8)
-    if len(b) < span:
+    small = mark_size(span, reach)
+    if len(b) < small:
         return none, none, none, none
     x = b.astype(np.uint64)
     for width in (1, 2, 4):  # to 8 bytes at each position
@@ -70,18 +76,25 @@ def anchors(buffer: bytes, ends: list[tuple[int, int]], span: int = SPAN, reach:
         more = min(done, reach - done)
         x = np.minimum(x[: len(x) - more], x[more:])
         done += more
-    valid, number = [], []
-    for i, (start, end) in enumerate(ends):
-        if end - start >= span:
-            valid.append(np.arange(start, end - span + 1))
-            number.append(np.full(end - start - span + 1, i))
+    valid, number, whole = [], [], []
+    for i, (start, end, last) in enumerate(ends):
+        n = max(end - start - span + 1, 0)
+        more = max(end - start - small + 1, 0) if last else n
+        if more:
+            valid.append(np.arange(start, start + more))
+            number.append(np.full(more, i))
+            whole.append(np.arange(more) < n)
     if not valid:
         return none, none, none, none
-    p, number = np.concatenate(valid), np.concatenate(number)
+    p, number, whole = np.concatenate(valid), np.concatenate(number), np.concatenate(whole)
     a = (x[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(number) != 0))))
+    moved = (np.diff(a) != 0) | (np.diff(number) != 0)
+    first = np.flatnonzero(np.concatenate(([True], moved | (np.diff(whole) != 0))))
     last = np.concatenate((first[1:] - 1, [len(p) - 1]))
-    return number[first], a[first], a[first] - p[last], a[first] - p[first]
+    keep = whole[first] | np.concatenate(([True], moved))[first]  # an anchor that a whole window has is there already
+    first, last = first[keep], last[keep]
+    lo, hi = a[first] - p[last], a[first] - p[first]
+    return number[first], a[first], np.where(whole[first], lo, -1), np.where(whole[first], hi, -1)
 
 
 def text_key(text: bytes) -> tuple[int, int]:
@@ -89,15 +102,15 @@ def text_key(text: bytes) -> tuple[int, int]:
     return int(h[0]), int(h[1])
 
 
-def pieces(texts: list[bytes], span: int, most: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(text, start, bytes) in groups of about ``most`` bytes; a longer text comes in several, which overlap so that each
-    window lies in one of them."""
-    held: list[tuple[int, int, bytes]] = []
+def pieces(texts: list[bytes], span: int, most: int, least: int | None = None) -> Iterator[list[tuple[int, int, bytes, bool]]]:
+    """(text, start, bytes, whether they end the text) in groups of about ``most`` bytes; a longer text comes in several, which
+    overlap so that each window lies in one of them. Texts shorter than ``least`` (``span`` if None) are left out."""
+    held: list[tuple[int, int, bytes, bool]] = []
     total = 0
     for i, t in enumerate(texts):
-        for start in range(0, max(len(t) - span + 1, 0), most):
+        for start in range(0, max(len(t) - span + 1, int(len(t) >= (least or span))), most):
             part = t[start : start + most + span - 1]
-            held.append((i, start, part))
+            held.append((i, start, part, start + len(part) == len(t)))
             total += len(part)
             if total >= most:
                 yield held
@@ -109,14 +122,14 @@ def pieces(texts: list[bytes], span: int, most: int) -> Iterator[list[tuple[int,
 def entries_of(texts: list[bytes], span: int = SPAN, reach: int = REACH, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     core, h = core_size(span, reach), xxhash.xxh64_intdigest
     names = np.array([text_key(t) for t in texts], np.int64).reshape(-1, 2)
-    for group in pieces(texts, span, most):
-        buffer = b"".join(x for _, _, x in group)
-        starts = np.concatenate(([0], np.cumsum([len(x) for _, _, x in group]))).astype(np.int64)
-        number, a, lo, hi = anchors(buffer, list(zip(starts.tolist(), starts[1:].tolist(), strict=False)), span, reach)
+    for group in pieces(texts, span, most, mark_size(span, reach)):
+        buffer = b"".join(x for _, _, x, _ in group)
+        starts = np.concatenate(([0], np.cumsum([len(x) for _, _, x, _ in group]))).astype(np.int64)
+        number, a, lo, hi = anchors(buffer, list(zip(starts.tolist(), starts[1:].tolist(), (e for *_, e in group), strict=False)), span, reach)
         view = memoryview(buffer)
         k = np.fromiter((h(view[i : i + core]) for i in a.tolist()), np.uint64, len(a)).view(np.int64)
         parts = zip((a - hi).tolist(), (a - lo + span).tolist(), (lo * 1024 + hi).tolist(), strict=True)
-        f = np.fromiter((h(view[i:j], s) for i, j, s in parts), np.uint64, len(a)).view(np.int64)
+        f = np.fromiter((h(view[i:j], s) if s >= 0 else 0 for i, j, s in parts), np.uint64, len(a)).view(np.int64)
         of, offset = (np.array(c, np.int64) for c in list(zip(*group, strict=True))[:2])
         keys = names[of[number]]
         arrays = [k, f, keys[:, 0], keys[:, 1], a - starts[number] + offset[number], lo.astype(np.int32), hi.astype(np.int32)]
@@ -262,7 +275,7 @@ def repeated_entries(docs: DataFrame, scratch: Scratch, span: int = SPAN, reach:
     finally:
         family.scratch.drop()
     scratch.drop("entries")
-    one_each = found.groupBy("k", "f").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "a", "lo", "hi")).alias("e"))
+    one_each = found.where("lo >= 0").groupBy("k", "f").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "a", "lo", "hi")).alias("e"))
     one_each = scratch.save(one_each.select("k", "f", "n", "e.*"), "one-each")
     per_text = repeated(one_each, ["k"], scratch, "cores").groupBy("t1", "t2").agg(F.collect_list(F.struct("k", "f", "a", "lo", "hi")).alias("es"))
     per_text = scratch.save(per_text, "per-text")  # beside it the rows of a text with many copies can be split
@@ -272,9 +285,10 @@ def repeated_entries(docs: DataFrame, scratch: Scratch, span: int = SPAN, reach:
     some = repeated(windows, ["k", "d", "w"], scratch, "equal").groupBy("k", "f").agg(F.sort_array(F.collect_set("d")).alias("ds"))
     states = one_each.select("k", "f", "n").join(some, ["k", "f"], "left")
     states = states.select("k", "f", ((F.col("n") > 1) | F.col("ds").isNotNull()).alias("on"), F.when(F.col("n") == 1, F.col("ds")).alias("ds"))
-    rows = found.join(scratch.save(states, "states"), ["k", "f"])
-    one = F.when(F.col("on"), F.struct("a", "lo", "hi", "ds"))
-    by = rows.groupBy("t1", "t2").agg(F.collect_set(one).alias("entries"), F.max("apart").alias("apart"), F.count("*").alias("n"), F.size(F.collect_set("a")).alias("m"))
+    rows = found.join(scratch.save(states, "states"), ["k", "f"], "left")
+    one = F.when(F.col("on") & (F.col("lo") >= 0), F.struct("a", "lo", "hi", "ds"))
+    places = F.size(F.collect_set(F.struct("a", "lo")))  # a text of several pieces may have an anchor in two
+    by = rows.groupBy("t1", "t2").agg(F.collect_set(one).alias("entries"), F.max("apart").alias("apart"), F.count("*").alias("n"), places.alias("m"))
     return scratch.save(by.select("t1", "t2", "entries", (F.col("apart") | (F.col("n") > F.col("m"))).alias("shares")), "texts")
 
 

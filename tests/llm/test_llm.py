@@ -261,10 +261,10 @@ def test_long_texts_come_in_pieces():
     for most in (60, 333, 10_000):
         windows = Counter()
         for group in q4.pieces(texts, 50, most):
-            for i, start, part in group:
+            for i, start, part, _ in group:
                 windows.update((i, start + p) for p in range(len(part) - 49))
         assert windows == Counter({(i, p): 1 for i, t in enumerate(texts) for p in range(len(t) - 49)})
-    covered = lambda most: {(k, a - d) for b in q4.entries_of(texts, 50, 20, most) for k, a, lo, hi in zip(*(b.column(c).to_pylist() for c in ("t1", "a", "lo", "hi")), strict=True) for d in range(lo, hi + 1)}
+    covered = lambda most: {(k, a - d) for b in q4.entries_of(texts, 50, 20, most) for k, a, lo, hi in zip(*(b.column(c).to_pylist() for c in ("t1", "a", "lo", "hi")), strict=True) for d in range(lo, hi + 1) if lo >= 0}
     assert covered(60) == covered(333) == covered(10_000)
 
 
@@ -278,6 +278,26 @@ def test_shared_passages(spark):
     assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 1, 9: 1, 10: 0}
 
 
+def test_shared_passages_match_brute_force(spark):
+    """272 bytes that repeat in another row mark it, wherever they lie; less than 145 never do. A text of several pieces is one text."""
+    rng = random.Random(12)
+    noise = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n)).decode()
+    texts = [noise(2_300_000)]
+    for length in (100, 144, 150, 271, 272, 280, 330, 399):
+        passage = noise(length)
+        for before, after in ((0, 0), (500, 0), (0, 500), (40, 60), (300, 10)):
+            texts.append(noise(before) + passage + noise(after))
+    got = {r["doc_id"]: (r["shares_passage"], r["n_removed"]) for r in rows_of(q4.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), digest=True))}
+    strings = lambda n: [{t[p : p + n] for p in range(len(t) - n + 1)} for t in texts[1:]]
+    for n, says in ((272, 1), (145, 0)):
+        each = strings(n)
+        often = Counter(x for s in each for x in s)
+        for i, s in enumerate(each, 1):
+            if any(often[x] > 1 for x in s) == bool(says):
+                assert got[i][0] == says, (i, n)
+    assert got[0] == (0, 0)
+
+
 def test_suffix_levels_merge(spark):
     """Levels merge geometrically, and each new batch is scanned against all levels: its repeats are known at once."""
     family = q4.SuffixFamily(spark)
