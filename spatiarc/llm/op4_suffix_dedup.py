@@ -8,8 +8,8 @@ bytes: that brings equal ones together as well, and the bytes themselves would f
 
 ``SuffixFamily`` holds sorted arrays (k, n, and the least and greatest text) as written tables. A new batch becomes an array
 of level 0 and is merge-scanned against the levels present: while the last level has its size the two merge into one of the
-next level, so each suffix is rewritten a logarithmic number of times, and the levels that stay are scanned beside it. Every
-scan adds the cores that the new batch repeats to ``hits``, so after each batch all long matches so far are known.
+next level (only the last of these merges is written), so each suffix is rewritten a logarithmic number of times at most, and the
+levels that stay are scanned beside it. Every scan adds the cores that the new batch repeats to ``hits``, so after each batch all long matches so far are known.
 
 Entries with equal (k, f) repeat in all their windows. Of entries that share only ``k``, windows are compared by what lies
 around the core: by all bytes but ``STEP`` first, then one distance at a time, which also finds matches that begin or
@@ -158,25 +158,25 @@ class SuffixFamily:
         counted = rows.groupBy("k").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y")).sortWithinPartitions("k")
         self.levels.append((level, name, self.scratch.save(counted, name)))
 
-    def _found(self, rows: DataFrame) -> None:
-        hits = rows.where("n > 1").select("k", (F.col("x") != F.col("y")).alias("apart"))
-        self.hits.append(self.scratch.save(hits, f"hits{self.made}-{len(self.hits)}"))
-
     def add(self, entries: DataFrame) -> None:
-        """Sort a batch, merge-scan it against the levels present, and merge levels of equal size."""
+        """Sort a batch together with the last levels of equal size, one after another, into one new level; scan it against the rest."""
         short = F.shiftright("t1", 32).cast("int")
-        self._write(entries.select("k", F.lit(1).cast("bigint").alias("n"), short.alias("x"), short.alias("y")), 0)
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:  # a merge is a scan of both
-            (level, new, a), (_, old, b) = self.levels.pop(), self.levels.pop()
-            self._write(a.unionByName(b), level + 1)
-            for name in (new, old):
-                self.scratch.drop(name)
+        rows = entries.select("k", F.lit(1).cast("bigint").alias("n"), short.alias("x"), short.alias("y"))
+        level, merged = 0, []
+        while self.levels and self.levels[-1][0] == level:  # a merge is a scan of what it merges
+            _, name, old = self.levels.pop()
+            rows, level = rows.unionByName(old), level + 1
+            merged.append(name)
+        self._write(rows, level)
+        if merged:
+            self.scratch.drop(*merged)
         newest = self.levels[-1][2]
-        self._found(newest)
-        for _, _, level in self.levels[:-1]:
-            there = level.select("k", F.col("n").alias("m"), F.col("x").alias("u"), F.col("y").alias("v"))
-            both = newest.join(there, "k")
-            self._found(both.select("k", (F.col("n") + F.col("m")).alias("n"), F.least("x", "u").alias("x"), F.greatest("y", "v").alias("y")))
+        both = newest
+        for _, _, older in self.levels[:-1]:
+            there = older.select("k", F.col("n").alias("m"), F.col("x").alias("u"), F.col("y").alias("v"))
+            pairs = newest.join(there, "k")
+            both = both.unionByName(pairs.select("k", (F.col("n") + F.col("m")).alias("n"), F.least("x", "u").alias("x"), F.greatest("y", "v").alias("y")))
+        self.hits.append(self.scratch.save(both.where("n > 1").select("k", (F.col("x") != F.col("y")).alias("apart")), f"hits{self.made}"))
 
     def scan(self) -> DataFrame:
         """``k, apart`` of all cores that repeat."""
