@@ -1,8 +1,8 @@
 """Neighbourhoods of a radius around points instead of grid cells.
 
-"Within the radius of an active point" is a range semi-join. Small squares decide most rows before any shuffle; for the rest both
-sides are dealt into squares as wide as the radius, one of them into the nine squares around its own, so Spark sees an equi-join
-with the exact distance as a residual.
+"Within the radius of an active point" is a range semi-join. Points of one place share the answer, so places are asked, with
+their points counted. Small squares decide most of them before any shuffle; the rest meet the sites that reach their square, an
+equi-join with the exact distance as a residual. No such join is left to a broadcast: files tell too little of how many rows they give.
 """
 
 from __future__ import annotations
@@ -48,8 +48,18 @@ def active_points(points: PointSet, names: list[str], quantiles=None, cutoffs=No
     return once(out, "active-points"), cut
 
 
+def at_places(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, y, n): each place once, with its number of rows."""
+    return once(rows.groupBy(*keys, "x", "y").agg(F.count("*").alias("n")), "places")
+
+
+def around() -> Column:
+    """The squares up to two away, each with a bit of its own."""
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(1 << (5 * (i + 2) + j + 2)).alias("bit")) for i in range(-2, 3) for j in range(-2, 3)])
+
+
 class Sites:
-    """Points (keys, x, y) that others may lie near to, and the small squares that decide most of them.
+    """Places (keys, x, y) that others may lie near to, and the small squares that decide most of them.
 
     Any two points of a small square are near, so with a site in its own square a point is in; without one in the two squares
     around it, it is out. The table of such squares follows the area, not the points; it is counted, and broadcast if small (else
@@ -65,11 +75,28 @@ class Sites:
 
     @cached_property
     def squares(self) -> DataFrame | None:
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
-        held = self.rows.select(*self.keys, self.square("x").alias("mx"), self.square("y").alias("my")).distinct().select(*self.keys, "mx", "my", around.alias("o"))
+        held = self.rows.select(*self.keys, self.square("x").alias("mx"), self.square("y").alias("my")).distinct().select(*self.keys, "mx", "my", F.explode(around()).alias("o"))
         held = held.select(*self.keys, (F.col("mx") + F.col("o.i")).alias("mx"), (F.col("my") + F.col("o.j")).alias("my"), F.expr("o.i = 0 AND o.j = 0").alias("sure"))
         return bounded(held.groupBy(*self.keys, "mx", "my").agg(F.max("sure").alias("sure")))
 
+    @cached_property
+    def facing(self) -> DataFrame:
+        """(keys, qx, qy, open): of squares with sites, which of those around are undecided, as bits."""
+        bits = self.squares.where("NOT sure").select(*self.keys, "mx", "my", F.explode(around()).alias("o"))
+        bits = bits.select(*self.keys, (F.col("mx") - F.col("o.i")).alias("qx"), (F.col("my") - F.col("o.j")).alias("qy"), "o.bit")
+        held = self.squares.where("sure").select(*self.keys, F.col("mx").alias("qx"), F.col("my").alias("qy"))
+        return bits.join(F.broadcast(held), [*self.keys, "qx", "qy"]).groupBy(*self.keys, "qx", "qy").agg(F.bit_or("bit").alias("open"))
+
+    @cached_property
+    def reaching(self) -> DataFrame:
+        """(s_keys, sx, sy, smx, smy): sites beside the undecided squares that some point there may be near to. Sites amid others face none."""
+        at = self.rows.withColumns({"qx": self.square("x"), "qy": self.square("y")}).join(F.broadcast(self.facing), [*self.keys, "qx", "qy"])
+        at = at.select("*", F.explode(F.filter(around(), lambda o: F.col("open").bitwiseAND(o["bit"]) != 0)).alias("o"))
+        at = at.select(*[F.col(k).alias(f"s_{k}") for k in self.keys], F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("qx") + F.col("o.i")).alias("smx"), (F.col("qy") + F.col("o.j")).alias("smy"))
+        gap = lambda c, m: F.greatest(F.col(m) * self.side - F.col(c), F.col(c) - (F.col(m) + 1) * self.side, F.lit(0.0))
+        gx, gy = gap("sx", "smx"), gap("sy", "smy")
+        return at.where(gx * gx + gy * gy < (self.radius * (1 + 1e-6)) ** 2)
+
 
 def near(probe: DataFrame, sites: Sites, probe_moves: bool) -> DataFrame:
     """Rows of ``probe`` (keys, x, y, dx, dy) with a site less than the radius away once the moving side is displaced by (dx, dy):
@@ -78,26 +105,32 @@ def near(probe: DataFrame, sites: Sites, probe_moves: bool) -> DataFrame:
         return within(probe, sites.rows, sites.radius, sites.keys, probe_moves)
     sign = 1 if probe_moves else -1
     at = probe.withColumns({"px": F.col("x") + sign * F.col("dx"), "py": F.col("y") + sign * F.col("dy")}).withColumns({"mx": sites.square("px"), "my": sites.square("py")})
-    marked = at.join(F.broadcast(sites.squares), [*sites.keys, "mx", "my"]).select(*probe.columns, "sure")
-    rim = within(marked.where("NOT sure").drop("sure"), sites.rows, sites.radius, sites.keys, probe_moves)
-    return marked.where("sure").drop("sure").unionByName(rim)
+    marked = at.join(F.broadcast(sites.squares), [*sites.keys, "mx", "my"]).select(*probe.columns, "mx", "my", "sure")
+    rim = beside(marked.where("NOT sure"), sites.reaching, sites.radius, [*sites.keys, "mx", "my"], [*[f"s_{k}" for k in sites.keys], "smx", "smy"], probe_moves)
+    return marked.where("sure").select(*probe.columns).unionByName(rim.select(*probe.columns))
+
+
+def beside(left: DataFrame, right: DataFrame, radius: float, keys: list[str], others: list[str], probe_moves: bool) -> DataFrame:
+    """Rows of ``left`` (x, y, dx, dy) with one of ``right`` (sx, sy) of the same keys less than the radius away. A semi-join stops at
+    the first site, so nothing is paired and made distinct again. It is a merge join, which spills; the left rows of a dense square are
+    split by adaptive execution."""
+    gap = lambda p, q, d: F.col(q) - F.col(p) - F.col(d) if probe_moves else F.col(p) - F.col(q) - F.col(d)
+    gx, gy = gap("x", "sx", "dx"), gap("y", "sy", "dy")
+    on = gx * gx + gy * gy < F.lit(float(radius)) * F.lit(float(radius))
+    for k, other in zip(keys, others):
+        on = on & (F.col(k) == F.col(other))
+    return left.join(right.hint("merge"), on, "left_semi")
 
 
 def within(probe: DataFrame, sites: DataFrame, radius: float, keys: list[str], probe_moves: bool) -> DataFrame:
-    """The exact test: both sides are dealt into squares as wide as the radius. A semi-join stops at the first site, so nothing
-    is paired and made distinct again; the rows of a dense square are split by adaptive execution."""
+    """The exact test without small squares: both sides are dealt into squares as wide as the radius, the sites into the nine around their own."""
     r, sign = F.lit(float(radius)), 1 if probe_moves else -1
     square = lambda c: F.floor(c / r).cast("bigint")
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = probe.withColumn("bx", square(F.col("x") + sign * F.col("dx"))).withColumn("by", square(F.col("y") + sign * F.col("dy")))
     right = sites.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode(around).alias("o"))
     right = right.select("*", (square(F.col("sx")) + F.col("o.i")).alias("sbx"), (square(F.col("sy")) + F.col("o.j")).alias("sby")).drop("o")
-    gap = lambda p, q, d: F.col(q) - F.col(p) - F.col(d) if probe_moves else F.col(p) - F.col(q) - F.col(d)
-    gx, gy = gap("x", "sx", "dx"), gap("y", "sy", "dy")
-    on = (F.col("bx") == F.col("sbx")) & (F.col("by") == F.col("sby")) & (gx * gx + gy * gy < r * r)
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"s_{k}"))
-    return left.join(right, on, "left_semi").drop("bx", "by")
+    return beside(left, right, radius, ["bx", "by", *keys], ["sbx", "sby", *[f"s_{k}" for k in keys]], probe_moves).drop("bx", "by")
 
 
 def standing(spark) -> DataFrame:
@@ -113,13 +146,15 @@ def domains(anchors: DataFrame, actives: Sites, names: list[str], shifts: DataFr
     return near(probe, actives, False)
 
 
-def shift_coverage(points: PointSet, actives: DataFrame, shifts: DataFrame, radius: float) -> DataFrame:
-    """``sample, feature, step, direction, n_active, n_covered, coverage``: displaced active points with an anchor near."""
+def shift_coverage(points: PointSet, actives: DataFrame, shifts: DataFrame, radius: float, places: DataFrame | None = None) -> DataFrame:
+    """``sample, feature, step, direction, n_active, n_covered, coverage``: displaced active points with an anchor near.
+    ``places``: those of the anchors, if they are known."""
     keys = ["sample", "feature", "step", "direction"]
-    moved = actives.select("sample", "feature", "x", "y").crossJoin(F.broadcast(shifts))
-    hit = near(moved, Sites(points.cells, radius, ["sample"]), True)
-    covered = hit.groupBy(*keys).agg(F.count("*").alias("n_covered"))
-    total = actives.groupBy("sample", "feature").agg(F.count("*").alias("n_active")).crossJoin(F.broadcast(shifts)).select(*keys, "n_active")
+    held = at_places(actives, ["sample", "feature"]) if "n" not in actives.columns else actives
+    places = at_places(points.cells, ["sample"]) if places is None else places
+    hit = near(held.crossJoin(F.broadcast(shifts)), Sites(places, radius, ["sample"]), True)
+    covered = hit.groupBy(*keys).agg(F.sum("n").alias("n_covered"))
+    total = held.groupBy("sample", "feature").agg(F.sum("n").alias("n_active")).crossJoin(F.broadcast(shifts)).select(*keys, "n_active")
     out = total.join(covered, keys, "left").na.fill(0, ["n_covered"])
     return out.withColumn("coverage", F.expr("try_divide(CAST(n_covered AS DOUBLE), CAST(n_active AS DOUBLE))"))
 
@@ -128,16 +163,17 @@ def radius_stats(points: PointSet, actives: DataFrame, target: str, names: list[
     """Per sample, feature and displacement: the Jaccard index of the domains over all anchors, its change, and coverage.
     Displacements below ``min_coverage`` have NULL and counts 0; no active point (NULL coverage) passes."""
     keys = ["sample", "feature", "step", "direction"]
-    places, sites = points.cells.select("sample", "obs_idx", "x", "y"), Sites(actives, radius, ["sample", "feature"])
-    target_domain = domains(places, sites, [target]).select("obs_idx", F.lit(1).alias("t"))
-    anchors = once(places.join(target_domain, "obs_idx", "left").na.fill(0, ["t"]), "anchors")
-    wanted = actives.where(F.col("feature").isin(names))
-    still = domains(anchors, sites, names).groupBy("sample", "feature").agg(F.count("*").alias("of"), F.sum("t").alias("oi"))
-    met = domains(anchors, sites, names, shifts).groupBy(*keys).agg(F.count("*").alias("nb"), F.sum("t").alias("i"))
-    per_sample = anchors.groupBy("sample").agg(F.count("*").alias("cnt_all"), F.sum("t").alias("ot"))
+    places, held = at_places(points.cells, ["sample"]), at_places(actives, ["sample", "feature"])
+    sites = Sites(held, radius, ["sample", "feature"])
+    target_domain = domains(places, sites, [target]).select("sample", "x", "y", F.lit(1).alias("t"))
+    anchors = once(places.join(target_domain.hint("merge"), ["sample", "x", "y"], "left").na.fill(0, ["t"]), "anchors")
+    wanted = held.where(F.col("feature").isin(names))
+    still = domains(anchors, sites, names).groupBy("sample", "feature").agg(F.sum("n").alias("of"), F.sum(F.expr("n * t")).alias("oi"))
+    met = domains(anchors, sites, names, shifts).groupBy(*keys).agg(F.sum("n").alias("nb"), F.sum(F.expr("n * t")).alias("i"))
+    per_sample = anchors.groupBy("sample").agg(F.sum("n").alias("cnt_all"), F.sum(F.expr("n * t")).alias("ot"))
     listed = F.explode(F.array(*[F.lit(n) for n in names])).alias("feature")
     rows = per_sample.select("*", listed).crossJoin(F.broadcast(shifts)).join(still, ["sample", "feature"], "left").join(met, keys, "left")
-    rows = rows.join(shift_coverage(points, wanted, shifts, radius).select(*keys, "n_active", "coverage"), keys, "left").na.fill(0, ["of", "oi", "nb", "i", "n_active"])
+    rows = rows.join(shift_coverage(points, wanted, shifts, radius, places).select(*keys, "n_active", "coverage"), keys, "left").na.fill(0, ["of", "oi", "nb", "i", "n_active"])
     rows = rows.withColumn("ok", F.coalesce(F.col("coverage") >= min_coverage, F.lit(True)))
     for c in ("nb", "i"):
         rows = rows.withColumn(c, F.when(F.col("ok"), F.col(c)).otherwise(0))
@@ -198,7 +234,7 @@ def domain_map(points: PointSet, target: str, feature: str, radius: float = 15.0
     check_radius(radius)
     names = names_of([target, feature])
     actives, _ = active_points(points, names, quantiles, cutoffs, niches)
-    places, sites = points.cells.select("obs_idx", "sample", "x", "y"), Sites(actives, radius, ["sample", "feature"])
+    places, sites = points.cells.select("obs_idx", "sample", "x", "y"), Sites(at_places(actives, ["sample", "feature"]), radius, ["sample", "feature"])
     moved = shift_table(places.sparkSession, [(0.0, "shift", float(shift[0]), float(shift[1]))])
     marks = {
         "target_positive": actives.where(F.col("feature") == target).select("obs_idx"), "feature_positive": actives.where(F.col("feature") == feature).select("obs_idx"),
@@ -216,7 +252,7 @@ def pairwise_radius_scores(points: PointSet, names, step: float, radius: float =
     spark = points.cells.sparkSession
     shifts = shift_table(spark, shift_rows([step], direction_mode == "euclidean"))
     actives, _ = active_points(points, names, quantiles, cutoffs, niches)
-    anchors, sites = points.cells.select("sample", "obs_idx", "x", "y"), Sites(actives, radius, ["sample", "feature"])
+    anchors, sites = points.cells.select("sample", "obs_idx", "x", "y"), Sites(at_places(actives, ["sample", "feature"]), radius, ["sample", "feature"])
     still = once(domains(anchors, sites, names).select("sample", "feature", "obs_idx"), "domains")
     hit = once(domains(anchors, sites, names, shifts).select("sample", "feature", "direction", "obs_idx"), "moved-domains")
     own = still.select("sample", F.col("feature").alias("target"), "obs_idx")

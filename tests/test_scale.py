@@ -212,3 +212,32 @@ def test_squares_decide_as_the_exact_test_does(spark):
         want = sorted(p for p in probes if any(s == p[0] and (x - p[1] - sign * p[3]) ** 2 + (y - p[2] - sign * p[4]) ** 2 < 25 for s, x, y in sites))
         assert sorted(map(tuple, near(left, Sites(right, 5.0, ["sample"]), moves).collect())) == want
         assert sorted(map(tuple, within(left, right, 5.0, ["sample"], moves).collect())) == want
+
+
+def radius_joins(spark, name):
+    """The operators of the semi-joins of a query's plan, where every table counts as small enough to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        text = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    return re.findall(r"(\w+Join) [^\n]*LeftSemi", text)
+
+
+@pytest.mark.parametrize("name", ["vectors_radius_sphere", "vectors_radius_niche_target", "radius_coverage", "radius_domain"])
+def test_radius_joins_are_not_broadcast(spark, name):
+    """The sites of the exact test never go to the driver, however small their files are."""
+    joins = radius_joins(spark, name)
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
+def test_points_of_one_place_count_each(spark):
+    """Repeated points weigh as many as they are, whatever else lies there."""
+    from spatiarc.operators.radius import radius_vectors
+
+    cells = blob(spark).cells.withColumnsRenamed({"sample": "sample_name", "x": "x_centroid", "y": "y_centroid"})
+    weighed = cells.select("*", F.explode(F.sequence(F.lit(1), F.when(F.col("f") > 0, 3).otherwise(1))).alias("k"))
+    points = PointSet.of(weighed.withColumn("obs_idx", F.col("obs_idx") * 10 + F.col("k")).drop("k"))
+    (row,) = radius_vectors(points, "f", ["g"], [2], 0.5, cutoffs={"f": 0.5, "g": 0.5}).collect()
+    assert (row.n_anchors, row.n_positive_target, row.n_positive_feature) == (128, 96, 48)
