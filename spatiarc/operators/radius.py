@@ -252,18 +252,22 @@ def pairwise_radius_scores(points: PointSet, names, step: float, radius: float =
     spark = points.cells.sparkSession
     shifts = shift_table(spark, shift_rows([step], direction_mode == "euclidean"))
     actives, _ = active_points(points, names, quantiles, cutoffs, niches)
-    anchors, sites = points.cells.select("sample", "obs_idx", "x", "y"), Sites(at_places(actives, ["sample", "feature"]), radius, ["sample", "feature"])
-    still = once(domains(anchors, sites, names).select("sample", "feature", "obs_idx"), "domains")
-    hit = once(domains(anchors, sites, names, shifts).select("sample", "feature", "direction", "obs_idx"), "moved-domains")
-    own = still.select("sample", F.col("feature").alias("target"), "obs_idx")
-    a0 = own.groupBy("sample", "target").agg(F.count("*").alias("a0"))
-    b0 = still.groupBy("sample", "feature").agg(F.count("*").alias("b0"))
-    i0 = still.join(own, ["sample", "obs_idx"]).groupBy("sample", "target", "feature").agg(F.count("*").alias("i0"))
-    b1 = hit.groupBy("sample", "feature", "direction").agg(F.count("*").alias("b1"))
-    i1 = hit.join(own, ["sample", "obs_idx"]).groupBy("sample", "target", "feature", "direction").agg(F.count("*").alias("i1"))
-    cover = shift_coverage(points, actives, shifts, radius).select("sample", "feature", "direction", "coverage")
+    at = ["sample", "x", "y"]
+    places, held = at_places(points.cells, ["sample"]), at_places(actives, ["sample", "feature"])
+    sites = Sites(held, radius, ["sample", "feature"])
+    own = domains(places, sites, names).groupBy(*at).agg(F.array_sort(F.collect_list("feature")).alias("own"))  # as many as named features
+    anchors = once(places.join(own.hint("merge"), at, "left"), "anchors")
+    inside = once(anchors.where("own IS NOT NULL").groupBy("sample", "own").agg(F.sum("n").alias("n")), "domains")
+    met = once(domains(anchors, sites, names, shifts).groupBy("sample", "feature", "direction", "own").agg(F.sum("n").alias("n")), "moved-domains")
+    each = inside.select("sample", "own", "n", F.explode("own").alias("feature"))
+    b0 = each.groupBy("sample", "feature").agg(F.sum("n").alias("b0"))
+    a0 = b0.select("sample", F.col("feature").alias("target"), F.col("b0").alias("a0"))
+    i0 = each.select("sample", "feature", "n", F.explode("own").alias("target")).groupBy("sample", "target", "feature").agg(F.sum("n").alias("i0"))
+    b1 = met.groupBy("sample", "feature", "direction").agg(F.sum("n").alias("b1"))
+    i1 = met.select("sample", "feature", "direction", "n", F.explode("own").alias("target")).groupBy("sample", "target", "feature", "direction").agg(F.sum("n").alias("i1"))
+    cover = shift_coverage(points, held, shifts, radius, places).select("sample", "feature", "direction", "coverage")
     pairs = spark.createDataFrame([(t, f) for t in names for f in names if t != f], "target string, feature string")
-    rows = anchors.select("sample").distinct().crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(shifts.select("direction")))
+    rows = places.select("sample").distinct().crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(shifts.select("direction")))
     for other, keys in ((a0, ["sample", "target"]), (b0, ["sample", "feature"]), (i0, ["sample", "target", "feature"]), (b1, ["sample", "feature", "direction"]), (i1, ["sample", "target", "feature", "direction"]), (cover, ["sample", "feature", "direction"])):
         rows = rows.join(other, keys, "left")
     rows = rows.na.fill(0, ["a0", "b0", "i0", "b1", "i1"])

@@ -241,3 +241,11 @@ def test_points_of_one_place_count_each(spark):
     points = PointSet.of(weighed.withColumn("obs_idx", F.col("obs_idx") * 10 + F.col("k")).drop("k"))
     (row,) = radius_vectors(points, "f", ["g"], [2], 0.5, cutoffs={"f": 0.5, "g": 0.5}).collect()
     assert (row.n_anchors, row.n_positive_target, row.n_positive_feature) == (128, 96, 48)
+
+
+def test_pairwise_radius_is_not_broadcast(spark):
+    """Which domains a place lies in travels with the place, so no domain is joined with another."""
+    joins = radius_joins(spark, "pairwise_radius")
+    assert set(joins) <= {"SortMergeJoin"}
+    text = plan(QUERIES["pairwise_radius"](spark, SF))
+    assert "obs_idx" not in text
