@@ -6,13 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatiarc.functions.expressions import names_of, ratio
 from spatiarc.functions.quantiles import group_quantiles
 from spatiarc.operators.raster import explicit_cutoffs, grid_values
-from spatiarc.plans.lookup import Lookup
+from spatiarc.plans.lookup import Lookup, bounded
 from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet
 
@@ -24,6 +26,8 @@ METHODS = {
     "balanced_global_mean": (),
 }
 PRIME, BUCKETS = 2147483647, 64
+#: Draws (of samples, features and repeats) that a task counts in arrays at most, and hashes that it holds at once.
+DRAWS, HASHES = 20_000, 200_000
 
 
 def cutoff_level(level: str) -> str:
@@ -75,6 +79,13 @@ def units(points: PointSet, features, level: str, grid_size=20.0, agg="mean", mi
     return rows.where("value IS NOT NULL")
 
 
+def numbered(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with the two numbers ``a, b`` that a unit's name gives."""
+    name = F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", "sample", "key"))
+    number = lambda at: F.conv(F.substring(name, at, 8), 16, 10).cast("bigint") % PRIME
+    return rows.select("feature", "sample", "key", "value", number(1).alias("a"), number(9).alias("b"))
+
+
 def balanced_draws(rows: DataFrame, sizes: DataFrame, n_repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Draws of ``n_draw`` units of each (feature, sample), ``n_repeats`` times: those first in order of a hash, then of their key.
 
@@ -85,12 +96,10 @@ def balanced_draws(rows: DataFrame, sizes: DataFrame, n_repeats: int, seed: int)
     Returns (drawn rows of whole buckets: feature, repeat, value; drawn rows of the last buckets, the same).
     """
     keys = ["feature", "sample"]
-    name = F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", "sample", "key"))
-    number = lambda at: F.conv(F.substring(name, at, 8), 16, 10).cast("bigint") % PRIME
     share = F.col("n_draw") / F.col("n_units")
     room = 6 * F.sqrt(share / F.col("n_units")) + 20 / F.col("n_units")
     edges = sizes.select(*keys, "n_draw", (share - room).alias("lo"), (2 * room / (BUCKETS - 2)).alias("wide"))
-    units = rows.select(*keys, "key", "value", number(1).alias("a"), number(9).alias("b"))
+    units = numbered(rows, seed)
     h = (F.col("a") * F.col("repeat") * F.lit(48271) % PRIME + F.col("b")) % PRIME
     bucket = F.greatest(F.lit(-1), F.least(F.lit(BUCKETS), F.floor((F.col("h") / PRIME - F.col("lo")) / F.col("wide")))).cast("int")
 
@@ -110,6 +119,72 @@ def balanced_draws(rows: DataFrame, sizes: DataFrame, n_repeats: int, seed: int)
     return whole, cut.select("feature", "repeat", "value")
 
 
+def balanced_means(rows: DataFrame, sizes: DataFrame, n_repeats: int, seed: int) -> DataFrame:
+    """``feature, repeat, cutoff``: the means of ``balanced_draws``, whose draws these are.
+
+    Tasks hash whole arrays of units and repeats and keep a count and a sum of each bucket, so no unit becomes a row for each repeat;
+    only those of the bucket where a draw ends do, to be put in order. More than ``DRAWS`` draws go by rows instead.
+    """
+    keys, spark = ["feature", "sample"], rows.sparkSession
+    small = bounded(sizes.select(*keys, "n_units", "n_draw"), DRAWS // n_repeats)
+    if small is None:
+        whole, cut = balanced_draws(rows, sizes, n_repeats, seed)
+        return whole.unionByName(cut).groupBy("feature", "repeat").agg(F.avg("value").alias("cutoff"))
+    groups = [r for r in small.collect() if r.sample is not None]  # counted
+    if not groups:
+        return spark.createDataFrame([], "feature string, repeat int, cutoff double")
+    n, drawn = (np.array([r[c] for r in groups], float) for c in ("n_units", "n_draw"))
+    room = 6 * np.sqrt(drawn / n / n) + 20 / n
+    lo, wide, times = drawn / n - room, 2 * room / (BUCKETS - 2), np.arange(1, n_repeats + 1, dtype=np.int64) * 48271 % PRIME
+    table = spark.createDataFrame([(r.feature, r.sample, i, r.n_draw) for i, r in enumerate(groups)], "feature string, sample string, g int, n_draw bigint")
+    units = numbered(rows, seed).join(F.broadcast(table), keys).select("g", "a", "b", "value", "key")
+
+    def buckets(batch: pa.RecordBatch):
+        """Parts of a batch: where it begins, and the group of each unit, and its hash and bucket in each repeat."""
+        g, a, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+        size = max(1, HASHES // n_repeats)
+        for at in range(0, len(g), size):
+            i = g[at : at + size]
+            h = a[at : at + size, None] * times % PRIME + b[at : at + size, None]
+            h -= PRIME * (h >= PRIME)
+            yield at, i, h, np.clip(np.floor((h / PRIME - lo[i, None]) / wide[i, None]), -1, BUCKETS).astype(np.int64)
+
+    def counted(batches):
+        shape = (len(groups), n_repeats, BUCKETS + 2)
+        m, s = np.zeros(shape, np.int64), np.zeros(shape)
+        for batch in batches:
+            value = batch.column(3).to_numpy(zero_copy_only=False)
+            for at, i, _, k in buckets(batch):
+                where = ((i[:, None] * n_repeats + np.arange(n_repeats)) * (BUCKETS + 2) + k + 1).ravel()
+                m += np.bincount(where, minlength=m.size).reshape(shape)
+                s += np.bincount(where, np.repeat(value[at : at + len(i)], n_repeats), minlength=m.size).reshape(shape)
+        g, r, k = np.nonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.astype(np.int32), (r + 1).astype(np.int32), (k - 1).astype(np.int32), m[g, r, k], s[g, r, k])], ["g", "repeat", "bucket", "m", "s"])
+
+    by = Window.partitionBy("g", "repeat").orderBy("bucket")  # as many rows as buckets
+    counts = units.select("g", "a", "b", "value").mapInArrow(counted, "g int, repeat int, bucket int, m bigint, s double")
+    counts = counts.groupBy("g", "repeat", "bucket").agg(F.sum("m").alias("m"), F.sum("s").alias("s")).join(F.broadcast(table.select("g", "n_draw", "feature")), "g")
+    upto = counts.withColumns({"upto": F.sum("m").over(by), "below": F.coalesce(F.sum("s").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
+    ends = upto.where("upto >= n_draw").groupBy("g", "repeat", "feature").agg(F.min(F.struct("bucket", (F.col("n_draw") - F.col("upto") + F.col("m")).alias("left"), "below", "n_draw")).alias("e"))
+    ends = bounded(ends.select("g", "repeat", "feature", "e.*"), DRAWS)
+    end = np.full((len(groups), n_repeats), BUCKETS + 1)
+    for r in ends.select("g", "repeat", "bucket").collect():  # counted
+        end[r.g, r["repeat"] - 1] = r.bucket
+
+    def last(batches):
+        for batch in batches:
+            for at, i, h, k in buckets(batch):
+                u, r = np.nonzero(k == end[i])
+                taken = batch.take(pa.array(u + at))
+                yield pa.RecordBatch.from_arrays([pa.array(i[u].astype(np.int32)), pa.array((r + 1).astype(np.int32)), pa.array(h[u, r]), taken.column(3), taken.column(4)], ["g", "repeat", "h", "value", "key"])
+
+    order = Window.partitionBy("g", "repeat").orderBy("h", "key")
+    cut = units.mapInArrow(last, "g int, repeat int, h bigint, value double, key string").withColumn("place", F.row_number().over(order))
+    cut = cut.join(F.broadcast(ends), ["g", "repeat"]).where(F.col("place") <= F.col("left")).select("feature", "repeat", F.col("value").alias("s"), F.lit(1).cast("bigint").alias("m"))
+    parts = ends.select("feature", "repeat", F.col("below").alias("s"), (F.col("n_draw") - F.col("left")).alias("m")).unionByName(cut)
+    return parts.groupBy("feature", "repeat").agg((F.sum("s") / F.sum("m")).alias("cutoff"))
+
+
 def cohort_cutoffs(
     points: PointSet, features, samples=None, level: str = "grid", method: str = "balanced_global_mean", grid_size: float = 20.0, agg: str = "mean", min_cells: int = 1,
     n_repeats: int = 100, round_to: int = 1000, balance_n: int | None = None, seed: int = 666, check: bool = True,
@@ -140,9 +215,12 @@ def cohort_cutoffs(
     least = counted.groupBy("feature").agg(F.min("n_units").alias("least"), F.count("*").alias("n_samples")).collect()  # as many as named features
     facts = [(r.feature, draw_size(r.least, round_to, balance_n), r.n_samples) for r in least]
     facts = F.broadcast(points.cells.sparkSession.createDataFrame(facts, "feature string, n_draw bigint, n_samples bigint"))
-    whole, cut = balanced_draws(rows, counted.join(facts, "feature"), n_repeats, seed)
-    drawn, by = whole.unionByName(cut), ["feature", "repeat"]
-    reps = drawn.groupBy(*by).agg(F.avg("value").alias("cutoff")) if method.endswith("mean") else group_quantiles(drawn, by, 0.5, "cutoff")
+    wanted, by = counted.join(facts, "feature"), ["feature", "repeat"]
+    if method.endswith("mean"):
+        reps = balanced_means(rows, wanted, n_repeats, seed)
+    else:
+        whole, cut = balanced_draws(rows, wanted, n_repeats, seed)
+        reps = group_quantiles(whole.unionByName(cut), by, 0.5, "cutoff")
     reps = reps.join(facts, "feature").select(*by, "cutoff", F.col("n_draw").alias("n_per_sample"), "n_samples", F.lit(level).alias("level"))
     outer = reps.groupBy("feature").agg(F.avg("cutoff").alias("cutoff")) if method.endswith("mean") else group_quantiles(reps, ["feature"], 0.5, "cutoff", "cutoff")
     return Cutoffs(outer, stats, reps, level, method)

@@ -14,7 +14,7 @@ from spatiarc import api
 from spatiarc.functions.quantiles import group_quantiles
 from spatiarc.operators import displace, niches, plotdata, raster
 from spatiarc.operators.adjust import adjust, bin_statistics
-from spatiarc.operators.cutoffs import balanced_draws, cohort_cutoffs, cutoff_method
+from spatiarc.operators.cutoffs import balanced_draws, balanced_means, cohort_cutoffs, cutoff_method
 from spatiarc.plans.lookup import Lookup
 from spatiarc.plans.queries import QUERIES
 from spatiarc.sources.points import PointSet
@@ -249,3 +249,21 @@ def test_pairwise_radius_is_not_broadcast(spark):
     assert set(joins) <= {"SortMergeJoin"}
     text = plan(QUERIES["pairwise_radius"](spark, SF))
     assert "obs_idx" not in text
+
+
+def test_balanced_means_are_those_of_the_draws(spark, monkeypatch):
+    """By arrays, and by rows where there are many draws; no unit becomes a row for each repeat."""
+    from spatiarc.operators import cutoffs
+
+    sizes = {("f", "s"): (3000, 2000), ("f", "t"): (2000, 2000), ("g", "s"): (9, 1), ("g", "t"): (1, 1)}
+    units = [(f, s, str(i), i + 0.25) for (f, s), (n, _) in sizes.items() for i in range(n)]
+    rows = spark.createDataFrame(units, "feature string, sample string, key string, value double").repartition(4)
+    counted = spark.createDataFrame([(f, s, n, d) for (f, s), (n, d) in sizes.items()], "feature string, sample string, n_units long, n_draw long")
+    whole, cut = balanced_draws(rows, counted, 7, 11)
+    want = {(r.feature, r["repeat"]): r.v for r in whole.unionByName(cut).groupBy("feature", "repeat").agg(F.avg("value").alias("v")).collect()}
+    means = balanced_means(rows, counted, 7, 11)
+    assert "explode" not in plan(means)
+    monkeypatch.setattr(cutoffs, "DRAWS", 20)
+    for way in (means, balanced_means(rows, counted, 7, 11)):
+        got = {(r.feature, r["repeat"]): r.cutoff for r in way.collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in want.items())
