@@ -7,8 +7,12 @@ equi-join with the exact distance as a residual. No such join is left to a broad
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +62,61 @@ def around() -> Column:
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(1 << (5 * (i + 2) + j + 2)).alias("bit")) for i in range(-2, 3) for j in range(-2, 3)])
 
 
+#: Displaced rows that are asked one by one at most; of more, squares that are all in or all out are counted as one.
+PROBES = 50_000_000
+
+#: Sites of one square that are held at once at most, while others may still beat them.
+FRONTIER_ROWS = 100_000
+
+
+def unbeaten(x: np.ndarray, y: np.ndarray, slack: float) -> np.ndarray:
+    """Which of the sites may be the nearest to some point of the square from (0, 0) to (1, 1). A site nearer than another to all four
+    corners is nearer to every point between them. Those nearest to points of a lattice beat the rest, a finer lattice the rest of that."""
+    kept = np.arange(len(x))
+    for most in (4, 16):
+        g = (np.arange(n := min(most, int(len(kept) ** 0.5) + 1)) + 0.5) / n
+        ax, ay = x[kept], y[kept]
+        best = np.unique(((ax - np.repeat(g, n)[:, None]) ** 2 + (ay - np.tile(g, n)[:, None]) ** 2).argmin(axis=1))
+        corners = np.stack([(ax - i) ** 2 + (ay - j) ** 2 for i in (0, 1) for j in (0, 1)])
+        beaten = np.zeros(len(kept), dtype=bool)
+        for b in best:
+            beaten |= (corners[:, b, None] + slack <= corners).all(axis=0)
+        kept = kept[~beaten]
+    out = np.zeros(len(x), dtype=bool)
+    out[kept] = True
+    return out
+
+
+def frontier(sites: DataFrame, side: float, keys: list[str]) -> DataFrame:
+    """``sites`` (keys, sx, sy, smx, smy) without those that another site of the same square is nearer than, wherever a point lies in the
+    square: the exact test gives the same without them. A dense square keeps its rim, not its area; rows are streamed square by square."""
+    of = [*keys, "smx", "smy"]
+
+    def prune(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = (rows[f"s{c}"].to_numpy() / side - rows[f"sm{c}"].to_numpy() for c in "xy")
+        return rows[unbeaten((x + 1e-6) / (1 + 2e-6), (y + 1e-6) / (1 + 2e-6), 1e-6)]  # the square is a little wider, for what doubles round
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            new = np.zeros(len(rows), dtype=bool)
+            for c in of:
+                at = rows[c].to_numpy()
+                new[1:] |= at[1:] != at[:-1]
+            ends = [*np.flatnonzero(new), len(rows)]
+            whole = [prune(rows.iloc[a:b]) for a, b in zip([0, *ends], ends[:-1])]
+            held = prune(rows.iloc[ends[-2] if len(ends) > 1 else 0 :])
+            if len(held) > FRONTIER_ROWS:
+                whole, held = [*whole, held], None
+            if whole:
+                yield pd.concat(whole, ignore_index=True)
+        if held is not None:
+            yield held
+
+    return sites.repartition(*of).sortWithinPartitions(*of).mapInPandas(stream, sites.schema)
+
+
 class Sites:
     """Places (keys, x, y) that others may lie near to, and the small squares that decide most of them.
 
@@ -68,7 +127,8 @@ class Sites:
 
     def __init__(self, rows: DataFrame, radius: float, keys: list[str]):
         self.rows, self.radius, self.keys = rows.select(*keys, "x", "y"), float(radius), keys
-        self.side = F.lit(self.radius / 2**0.5 * (1 - 1e-6))  # the margin is for sums that doubles round
+        self.width = self.radius / 2**0.5 * (1 - 1e-6)  # the margin is for sums that doubles round
+        self.side = F.lit(self.width)
 
     def square(self, c: str) -> Column:
         return F.floor(F.col(c) / self.side).cast("bigint")
@@ -79,6 +139,14 @@ class Sites:
         held = held.select(*self.keys, (F.col("mx") + F.col("o.i")).alias("mx"), (F.col("my") + F.col("o.j")).alias("my"), F.expr("o.i = 0 AND o.j = 0").alias("sure"))
         return bounded(held.groupBy(*self.keys, "mx", "my").agg(F.max("sure").alias("sure")))
 
+    @cached_property
+    def windows(self) -> DataFrame:
+        """(keys, wx, wy, sure): four squares each, of which some hold or face a site; ``sure`` if they all decide that points are in."""
+        four = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+        held = self.squares.select(*self.keys, "mx", "my", "sure", F.explode(four).alias("o"))
+        held = held.select(*self.keys, (F.col("mx") - F.col("o.i")).alias("wx"), (F.col("my") - F.col("o.j")).alias("wy"), "sure")
+        return held.groupBy(*self.keys, "wx", "wy").agg((F.count_if("sure") == 4).alias("sure"))
+
     @cached_property
     def facing(self) -> DataFrame:
         """(keys, qx, qy, open): of squares with sites, which of those around are undecided, as bits."""
@@ -89,13 +157,15 @@ class Sites:
 
     @cached_property
     def reaching(self) -> DataFrame:
-        """(s_keys, sx, sy, smx, smy): sites beside the undecided squares that some point there may be near to. Sites amid others face none."""
+        """(s_keys, sx, sy, smx, smy): sites beside the undecided squares that some point there may be near to, and nearest
+        to. Sites amid others face none."""
         at = self.rows.withColumns({"qx": self.square("x"), "qy": self.square("y")}).join(F.broadcast(self.facing), [*self.keys, "qx", "qy"])
         at = at.select("*", F.explode(F.filter(around(), lambda o: F.col("open").bitwiseAND(o["bit"]) != 0)).alias("o"))
         at = at.select(*[F.col(k).alias(f"s_{k}") for k in self.keys], F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("qx") + F.col("o.i")).alias("smx"), (F.col("qy") + F.col("o.j")).alias("smy"))
         gap = lambda c, m: F.greatest(F.col(m) * self.side - F.col(c), F.col(c) - (F.col(m) + 1) * self.side, F.lit(0.0))
         gx, gy = gap("sx", "smx"), gap("sy", "smy")
-        return at.where(gx * gx + gy * gy < (self.radius * (1 + 1e-6)) ** 2)
+        at = at.where(gx * gx + gy * gy < (self.radius * (1 + 1e-6)) ** 2)
+        return once(frontier(at, self.width, [f"s_{k}" for k in self.keys]), "reaching")
 
 
 def near(probe: DataFrame, sites: Sites, probe_moves: bool) -> DataFrame:
@@ -105,11 +175,44 @@ def near(probe: DataFrame, sites: Sites, probe_moves: bool) -> DataFrame:
         return within(probe, sites.rows, sites.radius, sites.keys, probe_moves)
     sign = 1 if probe_moves else -1
     at = probe.withColumns({"px": F.col("x") + sign * F.col("dx"), "py": F.col("y") + sign * F.col("dy")}).withColumns({"mx": sites.square("px"), "my": sites.square("py")})
-    marked = at.join(F.broadcast(sites.squares), [*sites.keys, "mx", "my"]).select(*probe.columns, "mx", "my", "sure")
-    rim = beside(marked.where("NOT sure"), sites.reaching, sites.radius, [*sites.keys, "mx", "my"], [*[f"s_{k}" for k in sites.keys], "smx", "smy"], probe_moves)
+    held = sites.squares.withColumnsRenamed({c: f"held_{c}" for c in (*sites.keys, "mx", "my")})
+    here = [F.col(c) == F.col(f"held_{c}") for c in (*sites.keys, "mx", "my")]
+    # the square is read off the table of squares: were the exact test on columns of the probe alone, Spark would run it below this join, on every row
+    marked = at.join(F.broadcast(held), here).select(*probe.columns, "held_mx", "held_my", "sure")
+    rim = beside(marked.where("NOT sure"), sites.reaching, sites.radius, [*sites.keys, "held_mx", "held_my"], [*[f"s_{k}" for k in sites.keys], "smx", "smy"], probe_moves)
     return marked.where("sure").select(*probe.columns).unionByName(rim.select(*probe.columns))
 
 
+def near_counts(rows: DataFrame, sites: Sites, by: list[str], shifts: DataFrame, probe_moves: bool) -> DataFrame:
+    """``by, step, direction, n``: how many of ``rows`` (by, x, y, n; ``by`` has the keys of the sites) are near a site, by displacement.
+
+    A displaced small square of rows lies in four squares of the sites. Where all four are in or all are out, its rows are counted as one;
+    only rows of the other squares and displacements become rows of their own, so the dense inside of an area costs what its squares cost.
+    """
+    out = [*by, "step", "direction"]
+    total = lambda found: found.groupBy(*out).agg(F.sum("n").alias("n"))
+    plain = rows.select(*by, "x", "y", "n")
+    every = lambda: total(near(plain.crossJoin(F.broadcast(shifts)), sites, probe_moves))
+    sign, listed = 1 if probe_moves else -1, shifts.collect()  # as many as displacements asked for
+    if sites.squares is None or plain.count() * len(listed) <= PROBES:
+        return every()
+    told = []
+    for i, s in enumerate(listed):
+        at = [sign * d / sites.width for d in (s.dx, s.dy)]
+        clear = all(a == 0 or 1e-6 < a % 1 < 1 - 1e-6 for a in at)  # else what doubles round may reach a third square
+        told.append(f"({i}, {s.step!r}D, '{s.direction}', {s.dx!r}D, {s.dy!r}D, {math.floor(at[0])}L, {math.floor(at[1])}L, {str(clear).lower()})")
+    moves = rows.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(told)} AS moves(i, step, direction, dx, dy, ox, oy, clear)")
+    placed = plain.withColumns({"qx": sites.square("x"), "qy": sites.square("y")})
+    held = once(placed.groupBy(*by, "qx", "qy").agg(F.sum("n").alias("n")), "square-counts")
+    judged = held.crossJoin(F.broadcast(moves)).withColumns({"wx": F.expr("qx + ox"), "wy": F.expr("qy + oy")}).join(F.broadcast(sites.windows), [*sites.keys, "wx", "wy"], "left")
+    mixed = bounded(judged.where("NOT clear OR NOT sure").groupBy(*sites.keys, "qx", "qy").agg(F.collect_set("i").alias("open")))
+    if mixed is None:
+        return every()
+    asked = placed.join(F.broadcast(mixed), [*sites.keys, "qx", "qy"]).select(*plain.columns, F.explode("open").alias("i"))
+    asked = asked.join(F.broadcast(moves.select("i", "step", "direction", "dx", "dy")), "i").drop("i")
+    return total(total(judged.where("clear AND sure")).unionByName(total(near(asked, sites, probe_moves))))
+
+
 def beside(left: DataFrame, right: DataFrame, radius: float, keys: list[str], others: list[str], probe_moves: bool) -> DataFrame:
     """Rows of ``left`` (x, y, dx, dy) with one of ``right`` (sx, sy) of the same keys less than the radius away. A semi-join stops at
     the first site, so nothing is paired and made distinct again. It is a merge join, which spills; the left rows of a dense square are
@@ -141,19 +244,21 @@ def standing(spark) -> DataFrame:
 def domains(anchors: DataFrame, actives: Sites, names: list[str], shifts: DataFrame | None = None) -> DataFrame:
     """Rows of ``anchors`` (sample, x, y, ...) for each feature (and displacement) whose active points come within the radius."""
     shifts = standing(anchors.sparkSession) if shifts is None else shifts
-    each = F.explode(F.array(*[F.lit(n) for n in names])).alias("feature")
-    probe = anchors.select("*", each).crossJoin(F.broadcast(shifts))  # as many rows as displacements asked for
+    probe = for_each(anchors, names).crossJoin(F.broadcast(shifts))  # as many rows as displacements asked for
     return near(probe, actives, False)
 
 
+def for_each(anchors: DataFrame, names: list[str]) -> DataFrame:
+    return anchors.select("*", F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"))
+
+
 def shift_coverage(points: PointSet, actives: DataFrame, shifts: DataFrame, radius: float, places: DataFrame | None = None) -> DataFrame:
     """``sample, feature, step, direction, n_active, n_covered, coverage``: displaced active points with an anchor near.
     ``places``: those of the anchors, if they are known."""
     keys = ["sample", "feature", "step", "direction"]
     held = at_places(actives, ["sample", "feature"]) if "n" not in actives.columns else actives
     places = at_places(points.cells, ["sample"]) if places is None else places
-    hit = near(held.crossJoin(F.broadcast(shifts)), Sites(places, radius, ["sample"]), True)
-    covered = hit.groupBy(*keys).agg(F.sum("n").alias("n_covered"))
+    covered = near_counts(held, Sites(places, radius, ["sample"]), ["sample", "feature"], shifts, True).withColumnRenamed("n", "n_covered")
     total = held.groupBy("sample", "feature").agg(F.sum("n").alias("n_active")).crossJoin(F.broadcast(shifts)).select(*keys, "n_active")
     out = total.join(covered, keys, "left").na.fill(0, ["n_covered"])
     return out.withColumn("coverage", F.expr("try_divide(CAST(n_covered AS DOUBLE), CAST(n_active AS DOUBLE))"))
@@ -169,7 +274,8 @@ def radius_stats(points: PointSet, actives: DataFrame, target: str, names: list[
     anchors = once(places.join(target_domain.hint("merge"), ["sample", "x", "y"], "left").na.fill(0, ["t"]), "anchors")
     wanted = held.where(F.col("feature").isin(names))
     still = domains(anchors, sites, names).groupBy("sample", "feature").agg(F.sum("n").alias("of"), F.sum(F.expr("n * t")).alias("oi"))
-    met = domains(anchors, sites, names, shifts).groupBy(*keys).agg(F.sum("n").alias("nb"), F.sum(F.expr("n * t")).alias("i"))
+    met = near_counts(for_each(anchors, names), sites, ["sample", "feature", "t"], shifts, False)
+    met = met.groupBy(*keys).agg(F.sum("n").alias("nb"), F.sum(F.expr("n * t")).alias("i"))
     per_sample = anchors.groupBy("sample").agg(F.sum("n").alias("cnt_all"), F.sum(F.expr("n * t")).alias("ot"))
     listed = F.explode(F.array(*[F.lit(n) for n in names])).alias("feature")
     rows = per_sample.select("*", listed).crossJoin(F.broadcast(shifts)).join(still, ["sample", "feature"], "left").join(met, keys, "left")
@@ -258,7 +364,7 @@ def pairwise_radius_scores(points: PointSet, names, step: float, radius: float =
     own = domains(places, sites, names).groupBy(*at).agg(F.array_sort(F.collect_list("feature")).alias("own"))  # as many as named features
     anchors = once(places.join(own.hint("merge"), at, "left"), "anchors")
     inside = once(anchors.where("own IS NOT NULL").groupBy("sample", "own").agg(F.sum("n").alias("n")), "domains")
-    met = once(domains(anchors, sites, names, shifts).groupBy("sample", "feature", "direction", "own").agg(F.sum("n").alias("n")), "moved-domains")
+    met = once(near_counts(for_each(anchors, names), sites, ["sample", "feature", "own"], shifts, False).drop("step"), "moved-domains")
     each = inside.select("sample", "own", "n", F.explode("own").alias("feature"))
     b0 = each.groupBy("sample", "feature").agg(F.sum("n").alias("b0"))
     a0 = b0.select("sample", F.col("feature").alias("target"), F.col("b0").alias("a0"))

@@ -232,6 +232,75 @@ def test_radius_joins_are_not_broadcast(spark, name):
     assert joins and set(joins) == {"SortMergeJoin"}
 
 
+def test_exact_test_sees_rims_only(spark):
+    """The squares decide before the exact test: its semi-join isn't run below the join with them, on every displaced row."""
+    text = QUERIES["vectors_radius_niche_target"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(re.match(r"[\s:+|-]*", line)[0])
+    found = [i for i, line in enumerate(text) if "Join LeftSemi" in line]
+    assert found
+    for i in found:
+        below = [line for line in text[i + 1 : next((j for j in range(i + 1, len(text)) if depth(text[j]) <= depth(text[i])), len(text))]]
+        right = max(j for j, line in enumerate(below) if depth(line) == depth(below[0]))
+        assert any("Join Inner" in line and "held_mx" in line for line in below[:right])
+
+
+def test_frontier_of_sites_answers_as_all_do(spark):
+    """However near to a square, or in it, sites are nearest or not at all; a dense block leaves its rim, in batches of any size."""
+    from spatiarc.operators.radius import frontier, unbeaten
+
+    draw = np.random.default_rng(5)
+    asked = draw.uniform(0, 1, (400, 2))
+    for shape in ((1.5, 0.0), (-0.5, -0.5), (-1.5, 1.2), (0.0, -2.0)):
+        at = draw.uniform(0, 1, (3000, 2)) * draw.choice([0.1, 1.0, 2.0]) + shape
+        at = np.concatenate([at, at[:50]])
+        kept = at[unbeaten(at[:, 0], at[:, 1], 1e-6)]
+        nearest = lambda sites: ((asked[:, None] - sites) ** 2).sum(axis=2).min(axis=1)
+        assert np.array_equal(nearest(kept), nearest(at))
+    block = [("s", 2.0 + i / 100, j / 100, m, 0) for i in range(200) for j in range(100) for m in (0, -1)]
+    sites = spark.createDataFrame(block, "s_sample string, sx double, sy double, smx long, smy long").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        sizes = set()
+        for batch in (7000, 50000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            rows = frontier(sites, 1.0, ["s_sample"]).toPandas()
+            assert set(rows.columns) == set(sites.columns) and {0, -1} == set(rows.smx) and len(rows) < 1500
+            for m in (0, -1):
+                some = rows[rows.smx == m][["sx", "sy"]].to_numpy()
+                every = np.array([(x, y) for _, x, y, sq, _ in block if sq == m])
+                points = asked[:100] + (m, 0)
+                gap = lambda sites: ((points[:, None] - sites) ** 2).sum(axis=2).min(axis=1)  # noqa: E731, B023
+                assert np.array_equal(gap(some), gap(every))
+            sizes.add(len(rows))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_squares_counted_as_one_count_the_same(spark, monkeypatch):
+    """Displacements by nothing, along an axis, by whole squares and by any length; few rows of a dense area are asked one by one."""
+    from spatiarc.functions.expressions import shift_table
+    from spatiarc.operators import radius
+
+    rng = random.Random(6)
+    width = radius.Sites(spark.range(0).selectExpr("'s' AS sample", "0.0D AS x", "0.0D AS y"), 5.0, ["sample"]).width
+    sites = [("s", float(x), float(y)) for x in range(60) for y in range(60)] + [("t", rng.uniform(0, 90), rng.uniform(0, 90)) for _ in range(30)]
+    rows = [(rng.choice("st"), rng.choice("ab"), rng.uniform(-5, 65), rng.uniform(-5, 65), rng.randint(1, 3)) for _ in range(6000)]
+    moves = [(0.0, 0.0), (12.0, 0.0), (0.0, -7.25), (width, 2 * width), (-width, 3.0), (9.5, 9.5), (-300.0, 4.0)]
+    shifts = shift_table(spark, [(float(i), f"d{i}", dx, dy) for i, (dx, dy) in enumerate(moves)])
+    left = spark.createDataFrame(rows, "sample string, feature string, x double, y double, n long")
+    right = spark.createDataFrame(sites, "sample string, x double, y double")
+    by, asked, near = ["sample", "feature"], [], radius.near
+    monkeypatch.setattr(radius, "near", lambda probe, *how: asked.append(probe.count()) or near(probe, *how))
+    for probe_moves in (True, False):
+        got = {}
+        for most in (0, 10**9):
+            monkeypatch.setattr(radius, "PROBES", most)
+            got[most] = sorted(map(tuple, radius.near_counts(left, radius.Sites(right, 5.0, ["sample"]), by, shifts, probe_moves).collect()))
+        assert got[0] == got[10**9] and got[0]
+        few, each = asked[-2:]
+        assert each == len(rows) * len(moves) and few < each * 0.8
+
+
 def test_points_of_one_place_count_each(spark):
     """Repeated points weigh as many as they are, whatever else lies there."""
     from spatiarc.operators.radius import radius_vectors
