@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from spatiarc.functions.expressions import names_of, radius_steps, rounded_ratio, shift_rows, shift_table
 from spatiarc.operators.displace import niche_feature, niche_map
 from spatiarc.operators.raster import above, local_cutoffs
-from spatiarc.plans.lookup import Lookup, bounded
+from spatiarc.plans.lookup import BROADCAST_ROWS, Lookup, bounded
 from spatiarc.plans.scratch import once
 from spatiarc.sources.points import PointSet
 
@@ -205,8 +205,8 @@ def near_counts(rows: DataFrame, sites: Sites, by: list[str], shifts: DataFrame,
     placed = plain.withColumns({"qx": sites.square("x"), "qy": sites.square("y")})
     held = once(placed.groupBy(*by, "qx", "qy").agg(F.sum("n").alias("n")), "square-counts")
     judged = held.crossJoin(F.broadcast(moves)).withColumns({"wx": F.expr("qx + ox"), "wy": F.expr("qy + oy")}).join(F.broadcast(sites.windows), [*sites.keys, "wx", "wy"], "left")
-    mixed = bounded(judged.where("NOT clear OR NOT sure").groupBy(*sites.keys, "qx", "qy").agg(F.collect_set("i").alias("open")))
-    if mixed is None:
+    mixed = once(judged.where("NOT clear OR NOT sure").groupBy(*sites.keys, "qx", "qy").agg(F.collect_set("i").alias("open")), "mixed-squares")
+    if mixed.count() > BROADCAST_ROWS:
         return every()
     asked = placed.join(F.broadcast(mixed), [*sites.keys, "qx", "qy"]).select(*plain.columns, F.explode("open").alias("i"))
     asked = asked.join(F.broadcast(moves.select("i", "step", "direction", "dx", "dy")), "i").drop("i")
